@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lakestrata.functions.columns import hash_masked, named
 from lakestrata.sources.lake import drop_slices, overwrite_partitions, read_slices, slice_path
-from lakestrata.sources.storage import Files, partition_value
+from lakestrata.sources.storage import NULL_PARTITION, Files, partition_value
 
 # The layers of the lake.
 LAYERS = ("bronze", "silver", "gold")
@@ -102,7 +102,8 @@ def expired(df: DataFrame, day: Column, retention: Retention, as_of: date) -> Da
 def partition_days(spark: SparkSession, path: str, column: str) -> dict[date, str]:
     """Day partitions `column=yyyy-MM-dd` of a table, by listing folders; no file is opened."""
     found = Files(spark).glob(slice_path(path, {column: "*"}))
-    return {date.fromisoformat(partition_value(item, column)): item for item in found}
+    values = {partition_value(item, column): item for item in found}
+    return {date.fromisoformat(value): item for value, item in values.items() if value != NULL_PARTITION}
 
 
 def drop_expired(spark: SparkSession, path: str, column: str, retention: Retention, as_of: date) -> list[date]:
@@ -121,7 +122,7 @@ def archive_expired(
     old = sorted(day for day in partition_days(spark, path, column) if day < cutoff)
     if old:
         rows = read_slices(spark, path, [{column: day.isoformat()} for day in old])
-        overwrite_partitions(rows, archive_path, [column])
+        overwrite_partitions(rows, archive_path, [column], clustered=True)
     return drop_expired(spark, path, column, retention, as_of)
 
 
@@ -136,21 +137,26 @@ def erase(df: DataFrame, subjects: DataFrame, key: str) -> DataFrame:
 
 
 def erase_from_table(spark: SparkSession, path: str, subjects: DataFrame, key: str, column: str) -> list[str]:
-    """Erase data subjects from a partitioned table; returns the partitions that changed.
+    """Erase data subjects from a table partitioned by a date column; returns the changed partitions.
 
-    A first pass over the key finds the partitions with rows to erase. Only those are rewritten,
-    and those without any other row are dropped, which an overwrite alone would leave in place.
+    A first pass over the key alone finds the partitions with rows to erase. Only those are
+    rewritten, and those without any other row are dropped, which an overwrite would leave as is.
     """
-    table = spark.read.parquet(path)
     listed = subjects.select(named(key)).na.drop()
-    hit = table.join(listed, key, "left_semi").select(F.col(column).cast("string")).distinct()
-    touched = sorted(row[0] for row in hit.collect())  # partition values, a few per day at most
-    if not touched:
+    matched = spark.read.parquet(path).join(listed, key, "left_semi")
+    hits = _rows_per_partition(matched, column)
+    if not hits:
         return []
-    slices = [{column: value} for value in touched]
-    kept = erase(read_slices(spark, path, slices), subjects, key)
-    left = {row[0] for row in kept.select(F.col(column).cast("string")).distinct().collect()}
-    if left:
-        overwrite_partitions(kept, path, [column])
-    drop_slices(spark, [slice_path(path, {column: value}) for value in touched if value not in left])
-    return touched
+    touched = read_slices(spark, path, [{column: value} for value in hits])
+    rows = _rows_per_partition(touched, column)  # counted from the file footers
+    emptied = [value for value in hits if hits[value] == rows[value]]
+    if len(emptied) < len(hits):
+        overwrite_partitions(erase(touched, subjects, key), path, [column], clustered=True)
+    drop_slices(spark, [slice_path(path, {column: value}) for value in emptied])
+    return sorted(hits)
+
+
+def _rows_per_partition(df: DataFrame, column: str) -> dict[str, int]:
+    # One row per partition of the table reaches the driver.
+    value = F.coalesce(named(column).cast("string"), F.lit(NULL_PARTITION)).alias("value")
+    return {row["value"]: row["rows"] for row in df.groupBy(value).agg(F.count(F.lit(1)).alias("rows")).collect()}

@@ -75,21 +75,24 @@ def append_events(events: DataFrame, path: str) -> int:
 def run_summary(events: DataFrame) -> DataFrame:
     """Per execution: first and last event, duration, events by status, last status, first failed step.
 
-    Ties in time are broken by `log_id`, so the result does not depend on the row order.
+    Events are first reduced to one row per execution, step and status. That takes numbers only, so
+    it is a hash aggregate before the shuffle, and the texts are compared on a handful of rows.
+    Events at the same microsecond are ordered by step and status, whatever order they are read in.
     """
-    moment = F.struct("timestamp_utc", "log_id")
-    status = F.col("status")
+    status, number = F.col("status"), F.col("events")
+    per_step = events.groupBy("execution_id", "step_name", "status").agg(
+        F.min("timestamp_utc").alias("first"), F.max("timestamp_utc").alias("last"), F.count(F.lit(1)).alias("events")
+    )
+    failed_first = F.when(status == "FAILED", F.struct("first", "step_name"))
     return (
-        events.groupBy("execution_id")
+        per_step.groupBy("execution_id")
         .agg(
-            F.min("timestamp_utc").alias("started_at"),
-            F.max("timestamp_utc").alias("ended_at"),
-            F.count(F.lit(1)).alias("events"),
-            *(F.count_if(status == name).alias(name.lower()) for name in STATUSES),
-            F.max_by("status", moment).alias("last_status"),
-            F.min_by(F.when(status == "FAILED", F.col("step_name")), F.when(status == "FAILED", moment)).alias(
-                "failed_step"
-            ),
+            F.min("first").alias("started_at"),
+            F.max("last").alias("ended_at"),
+            F.sum("events").alias("events"),
+            *(F.sum(F.when(status == name, number).otherwise(0)).alias(name.lower()) for name in STATUSES),
+            F.max(F.struct("last", "step_name", "status"))["status"].alias("last_status"),
+            F.min(failed_first)["step_name"].alias("failed_step"),
         )
         .withColumn("duration_seconds", F.unix_timestamp("ended_at") - F.unix_timestamp("started_at"))
     )

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 from lakestrata.operators.contract import Contract
 from lakestrata.operators.quality import (
@@ -38,7 +39,7 @@ from lakestrata.sources.lake import (
     slice_path,
 )
 from lakestrata.sources.landing import landing_path, read_files
-from lakestrata.sources.storage import Files, partition_value
+from lakestrata.sources.storage import NULL_PARTITION, Files, partition_value
 
 
 @dataclass(frozen=True)
@@ -116,7 +117,8 @@ class DailyJob:
         silver = with_date(self.timestamp_column)(chain(rows, steps_for("silver", self.steps)))
         part = {"load_date": day.isoformat()}
         before = self._silver_folders(spark, part)
-        written = overwrite_slice(silver, self.path("silver"), part, ["order_date"])
+        on_time = F.col("order_date") == F.lit(day)
+        written = overwrite_slice(silver, self.path("silver"), part, ["order_date"], bulk=on_time)
         return written, sorted({**before, **self._silver_folders(spark, part)})
 
     def _silver_folders(self, spark: SparkSession, part: dict[str, str], order_date: str = "*") -> dict[date, list[str]]:
@@ -125,7 +127,7 @@ class DailyJob:
         folders: dict[date, list[str]] = {}
         for path in Files(spark).glob(slice_path(self.path("silver"), {**part, "order_date": order_date})):
             value = partition_value(path, "order_date")
-            if not value.startswith("__"):
+            if value != NULL_PARTITION:
                 folders.setdefault(date.fromisoformat(value), []).append(path)
         return folders
 
@@ -155,7 +157,7 @@ class DailyJob:
     def _gold_dates(self, spark: SparkSession) -> set[date]:
         found = Files(spark).glob(slice_path(self.path("gold"), {"order_date": "*"}))
         values = {partition_value(path, "order_date") for path in found}
-        return {date.fromisoformat(value) for value in values if not value.startswith("__")}
+        return {date.fromisoformat(value) for value in values if value != NULL_PARTITION}
 
     def gold(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(self.path("gold"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, DataFrameWriter, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lakestrata.sources.storage import Files
@@ -25,27 +25,42 @@ def overwrite_table(df: DataFrame, path: str) -> int:
     return _write(df, path, lambda w: w.mode("overwrite").option("partitionOverwriteMode", "static"))
 
 
-def overwrite_slice(df: DataFrame, path: str, parts: Mapping[str, str], partition_by: Sequence[str] = ()) -> int:
+def overwrite_slice(
+    df: DataFrame,
+    path: str,
+    parts: Mapping[str, str],
+    partition_by: Sequence[str] = (),
+    bulk: Column | None = None,
+) -> int:
     """Replace exactly one partition (a day, a layer and date) and nothing else.
 
     Inner partitions that the new rows no longer have go away too, so a corrected rerun leaves
-    no stale rows behind.
+    no stale rows behind. `bulk` marks the rows of the one inner partition that is known to hold
+    most of them: they are written where they are read, and only the others are shuffled.
     """
-    df = _clustered(df.drop(*parts), partition_by)
+    rows = df.drop(*parts)
+    if partition_by and bulk is not None:
+        most = F.coalesce(bulk, F.lit(False))
+        rows = rows.where(most).unionByName(_clustered(rows.where(~most), partition_by))
+    else:
+        rows = _clustered(rows, partition_by)
     return _write(
-        df,
+        rows,
         slice_path(path, parts),
         lambda w: _partitioned(w.mode("overwrite").option("partitionOverwriteMode", "static"), partition_by),
     )
 
 
-def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> int:
-    """Replace the partitions present in `df`, and leave all others as they are."""
+def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str], clustered: bool = False) -> int:
+    """Replace the partitions present in `df`, and leave all others as they are.
+
+    Rows that already lie together by partition (`clustered`) are not shuffled again.
+    """
     missing = [name for name in partition_by if name not in df.columns]
     if missing:
         raise ValueError(f"partition columns not in the data: {', '.join(missing)}")
     return _write(
-        _clustered(df, partition_by),
+        df if clustered else _clustered(df, partition_by),
         path,
         lambda w: _partitioned(w.mode("overwrite").option("partitionOverwriteMode", "dynamic"), partition_by),
     )

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+# Fixed value: the folder Spark writes rows to whose partition column is NULL.
+NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+
 
 class Files:
     def __init__(self, spark: SparkSession):

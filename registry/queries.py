@@ -870,8 +870,8 @@ SELECT execution_id, epoch_us(MIN(ts)) AS started_us, epoch_us(MAX(ts)) AS ended
        COUNT(*) FILTER (WHERE status = 'STARTING') AS starting, COUNT(*) FILTER (WHERE status = 'SUCCEEDED') AS succeeded,
        COUNT(*) FILTER (WHERE status = 'FAILED') AS failed, COUNT(*) FILTER (WHERE status = 'INFO') AS info,
        COUNT(*) FILTER (WHERE status = 'WARNING') AS warning,
-       (array_agg(status ORDER BY ts DESC, log_id DESC))[1] AS last_status,
-       (array_agg(step_name ORDER BY ts, log_id) FILTER (WHERE status = 'FAILED'))[1] AS failed_step,
+       (array_agg(status ORDER BY ts DESC, step_name DESC, status DESC))[1] AS last_status,
+       (array_agg(step_name ORDER BY ts, step_name) FILTER (WHERE status = 'FAILED'))[1] AS failed_step,
        epoch_us(MAX(ts)) // 1000000 - epoch_us(MIN(ts)) // 1000000 AS duration_seconds
 FROM log GROUP BY execution_id""")
 def run_summary(spark, sf_dir):

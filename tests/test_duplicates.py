@@ -1,0 +1,59 @@
+from collections import Counter
+
+import pytest
+from conftest import plan, rows
+from hypothesis import HealthCheck, given, settings as hyp
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from lakestrata.operators.duplicates import rows_with_duplicated_key, rows_without_duplicated_key
+
+
+def brute(data, duplicated):
+    counts = Counter(key for key, _ in data if key is not None)
+    return sorted(((k, v) for k, v in data if (counts[k] > 1) == duplicated), key=repr)
+
+
+# One key holds more than a third of all rows, some keys are NULL, most are single.
+SKEWED = [("hot", n) for n in range(400)] + [(None, n) for n in range(300)]
+SKEWED += [(f"k{n}", n) for n in range(300)] + [(f"k{n}", -n) for n in range(0, 300, 7)]
+
+
+@pytest.mark.parametrize("max_hot_keys", [1, 3, 20_000])
+@pytest.mark.parametrize("threshold", ["-1", "10MB"])
+def test_against_brute_force_with_a_hot_key(spark, settings, max_hot_keys, threshold):
+    settings(spark__sql__autoBroadcastJoinThreshold=threshold)
+    df = spark.createDataFrame(SKEWED, "k string, v int").repartition(4)
+    assert rows(rows_with_duplicated_key(df, ["k"], max_hot_keys)) == brute(SKEWED, True)
+    assert rows(rows_without_duplicated_key(df, ["k"], max_hot_keys=max_hot_keys)) == brute(SKEWED, False)
+
+
+@hyp(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(data=st.lists(st.tuples(st.one_of(st.none(), st.sampled_from("abcd")), st.integers(0, 3)), max_size=25))
+def test_every_row_is_on_one_side(spark, data):
+    df = spark.createDataFrame(data, "k string, v int")
+    assert rows(rows_with_duplicated_key(df, ["k"], 2)) == brute(data, True)
+    assert rows(rows_without_duplicated_key(df, ["k"], max_hot_keys=2)) == brute(data, False)
+
+
+def test_composite_key(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (None, "a"), (None, "a")], "d int, k string")
+    assert rows(rows_with_duplicated_key(df, ["d", "k"])) == [(1, "a"), (1, "a")]
+    assert rows(rows_without_duplicated_key(df, ["d", "k"])) == [(2, "a"), (None, "a"), (None, "a")]
+
+
+def test_no_window_no_cross_join_and_no_more_hot_keys_than_proven(spark, tmp_path):
+    spark.createDataFrame(SKEWED, "k string, v int").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    text = plan(rows_with_duplicated_key(df, ["k"]))
+    assert "Window" not in text and "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_rows_of_a_hot_key_are_not_shuffled(spark, settings, tmp_path):
+    settings(spark__sql__autoBroadcastJoinThreshold="-1")
+    spark.createDataFrame(SKEWED, "k string, v int").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t")).withColumn("seen", F.spark_partition_id())
+    result = rows_with_duplicated_key(df, ["k"], 3)
+    places = result.where("k = 'hot'").select("seen", F.spark_partition_id().alias("now")).distinct().collect()
+    # Hot rows stay in the partition the scan gave them.
+    assert {row["seen"] for row in places} == {row["now"] for row in places}
