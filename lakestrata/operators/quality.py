@@ -308,25 +308,30 @@ def failing_rows(df: DataFrame, rules: Sequence[Rule], day_column: str | None =
     return result
 
 
-def passing_rows(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def passing_rows(df: DataFrame, rules: Sequence[Rule], day_column: str | None = None) -> DataFrame:
     """The rows that fail none of the rules."""
     usable = [rule for rule in rules if not is_broken(df, rule)]
     row_rules = [failing for rule in usable if (failing := rule.failing()) is not None]
     result = df.where(~F.coalesce(any_of(row_rules), F.lit(False))) if row_rules else df
     for key in dict.fromkeys(rule.unique_key for rule in usable if rule.unique_key):
-        result = rows_without_duplicated_key(result, [key], within=df)
+        keys = [day_column, key] if day_column else [key]
+        result = rows_without_duplicated_key(result, keys, within=df)
     return result
 
 
+def quarantine_due(results: Sequence[Row], rules: Sequence[Rule]) -> list[Row]:
+    """The results whose failing rows are to be quarantined."""
+    known = {rule.rule_id: rule for rule in rules}
+    return [
+        row
+        for row in results
+        if row["failing_records"] > 0 and "quarantine" in known[row["rule_id"]].actions(row["status"])
+    ]
+
+
 def quarantine(df: DataFrame, rules: Sequence[Rule], results: Sequence[Row], path: str, layer: str, day: str) -> int:
     """Copy the failing rows of the rules whose outcome asks for it; a rerun replaces them."""
-    asked = {
-        row["rule_id"]: None
-        for row in results
-        if row["failing_records"] > 0
-        for rule in rules
-        if rule.rule_id == row["rule_id"] and "quarantine" in rule.actions(row["status"])
-    }
+    asked = {row["rule_id"] for row in quarantine_due(results, rules)}
     chosen = [rule for rule in rules if rule.rule_id in asked]
     parts = {"target_layer": layer, "processing_date": day}
     if not chosen:

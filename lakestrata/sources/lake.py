@@ -38,19 +38,37 @@ def overwrite_slice(
     no stale rows behind. `bulk` marks the rows of the one inner partition that is known to hold
     most of them: they are written where they are read, and only the others are shuffled.
     """
-    rows = df.drop(*parts)
-    if partition_by and bulk is not None:
-        most = F.coalesce(bulk, F.lit(False))
-        rows = rows.where(most).unionByName(_clustered(rows.where(~most), partition_by))
-    else:
-        rows = _clustered(rows, partition_by)
     return _write(
-        rows,
+        _clustered(df.drop(*parts), partition_by, bulk),
         slice_path(path, parts),
         lambda w: _partitioned(w.mode("overwrite").option("partitionOverwriteMode", "static"), partition_by),
     )
 
 
+def overwrite_slices(
+    df: DataFrame,
+    path: str,
+    slices: Sequence[Mapping[str, str]],
+    partition_by: Sequence[str] = (),
+    bulk: Column | None = None,
+) -> int:
+    """Replace many such partitions by one write.
+
+    The rows carry the columns of the slices. An inner partition whose files are all still there
+    afterwards got no new rows, and is dropped.
+    """
+    if not slices:
+        return 0
+    files = Files(df.sparkSession)
+    patterns = [slice_path(path, {**parts, **dict.fromkeys(partition_by, "*")}) + "/*" for parts in slices]
+    before = {name for pattern in patterns for name in files.glob(pattern)}
+    columns = [*slices[0], *partition_by]
+    written = overwrite_partitions(_clustered(df, columns, bulk), path, columns, clustered=True)
+    after = {name for pattern in patterns for name in files.glob(pattern)}
+    drop_slices(df.sparkSession, sorted({name.rsplit("/", 1)[0] for name in before & after}))
+    return written
+
+
 def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str], clustered: bool = False) -> int:
     """Replace the partitions present in `df`, and leave all others as they are.
 
@@ -91,10 +109,15 @@ def drop_slices(spark: SparkSession, paths: Sequence[str]) -> None:
         files.delete(path)
 
 
-def _clustered(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+def _clustered(df: DataFrame, partition_by: Sequence[str], bulk: Column | None = None) -> DataFrame:
     # One writer per partition value instead of one file per task and value; AQE splits a
     # value that holds too many rows and merges small ones.
-    return df.hint("rebalance", *partition_by) if partition_by else df
+    if not partition_by:
+        return df
+    if bulk is None:
+        return df.hint("rebalance", *partition_by)
+    in_place = F.coalesce(bulk, F.lit(False))
+    return df.where(in_place).unionByName(df.where(~in_place).hint("rebalance", *partition_by))
 
 
 def _partitioned(writer: DataFrameWriter, partition_by: Sequence[str]) -> DataFrameWriter:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from datetime import date, timedelta
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakestrata.sources.storage import Files
@@ -32,6 +34,21 @@ def landing_paths(spark: SparkSession, template: str, days: Sequence[date], skip
     return [path for path in paths if files.qualified(path) in found]
 
 
+def landing_day(template: str, file_path: Column) -> Column:
+    """The day of a file, read from its path by the template it was found with."""
+    if not all(key in template for key in ("{yyyy}", "{MM}", "{dd}")):
+        raise ValueError(f"the template names no single day: {template}")
+    # From the folder of the first placeholder on; what comes before may be spelt differently.
+    tail = template[template.rfind("/", 0, template.index("{")) + 1 :].rstrip("/")
+    pattern = re.escape(tail)
+    for key, digits in (("{yyyy}", r"(\d+)"), ("{MM}", r"(\d{2})"), ("{dd}", r"(\d{2})")):
+        pattern = pattern.replace(re.escape(key), digits, 1)
+    group = {key: n + 1 for n, key in enumerate(sorted(("{yyyy}", "{MM}", "{dd}"), key=tail.index))}
+    written = f"${group['{yyyy}']}-${group['{MM}']}-${group['{dd}']}"
+    day = F.regexp_replace(file_path, f"^.*/{pattern}(?:/[^/]*)?$", written).try_cast("date")
+    return F.coalesce(day, F.raise_error(F.concat(F.lit("no day in the path "), file_path)).cast("date"))
+
+
 def read_files(
     spark: SparkSession,
     paths: str | Sequence[str],

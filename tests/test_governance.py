@@ -1,0 +1,149 @@
+import hashlib
+from datetime import date
+
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+
+from lakestrata.operators import governance
+from lakestrata.operators.governance import Governance, Retention, RolePolicy
+from lakestrata.plans.sales import GOVERNANCE
+from lakestrata.sources.lake import overwrite_partitions
+
+DATA = [(date(2025, 1, d), f"u{d % 3}@x", d) for d in range(1, 7)] + [(date(2025, 1, 2), None, 20)]
+
+
+@pytest.fixture
+def df(spark):
+    return spark.createDataFrame(DATA, "day date, email string, n int")
+
+
+@pytest.fixture
+def table(df, tmp_path):
+    path = str(tmp_path / "table")
+    overwrite_partitions(df, path, ["day"])
+    return path
+
+
+def files(path):
+    return {p.parent.name: p.name for p in path.glob("day=*/part-*.parquet")}
+
+
+def test_mask_is_sha256_and_keeps_null(df):
+    masked = governance.mask(df, [("email", "hash"), ("not_there", "hash")])
+    assert masked.columns == df.columns
+    expected = [(d, e and hashlib.sha256(e.encode()).hexdigest(), n) for d, e, n in DATA]
+    assert rows(masked) == sorted(expected, key=repr)
+
+
+def test_unknown_mask_is_refused(df):
+    with pytest.raises(ValueError, match="blur"):
+        governance.mask(df, [("email", "blur")])
+
+
+def test_role_view(df):
+    roles = (RolePolicy("analyst", ("silver",), (("email", "hash"),)), RolePolicy("engineer"), RolePolicy("loader", permissions=("write",)))
+    assert "@" not in governance.role_view(df, "silver", roles, "analyst").where("email IS NOT NULL").first()["email"]
+    assert rows(governance.role_view(df, "gold", roles, "engineer")) == rows(df)
+    for role, layer in (("analyst", "gold"), ("loader", "silver"), ("stranger", "silver")):
+        with pytest.raises(PermissionError):
+            governance.role_view(df, layer, roles, role)
+
+
+def test_masked_role_reads_gold_without_the_column(spark):
+    gold = spark.createDataFrame([("PROD_A", 1)], "product_id string, total_quantity int")
+    assert rows(governance.role_view(gold, "gold", GOVERNANCE.roles, "data_analyst_sales")) == [("PROD_A", 1)]
+
+
+def test_governance_from_a_document():
+    manifest = {
+        "retention_policies": {"bronze": {"duration": "30d", "disposition": "delete"}},
+        "access_control": {"rbac": [{"role": "r", "permissions": ["read"], "masking_rules": [{"column": "email", "type": "hash"}]}]},
+    }
+    found = Governance.from_dict(manifest)
+    assert found.roles == (RolePolicy("r", masks=(("email", "hash"),)),)
+    assert found.retention == {"bronze": Retention("30d", "delete")}
+
+
+@pytest.mark.parametrize(
+    "duration, as_of, cutoff",
+    [("30d", date(2024, 3, 1), date(2024, 1, 31)), ("1y", date(2024, 2, 29), date(2023, 2, 28)), ("5y", date(2025, 5, 5), date(2020, 5, 5))],
+)
+def test_cutoff(duration, as_of, cutoff):
+    assert Retention(duration, "delete").cutoff(as_of) == cutoff
+
+
+def test_unknown_duration():
+    with pytest.raises(ValueError, match="2 weeks"):
+        Retention("2 weeks", "delete").cutoff(date(2025, 1, 1))
+
+
+def test_cutoff_day_is_kept(df):
+    keep = Retention("2d", "delete")
+    kept = governance.retained(df, F.col("day"), keep, date(2025, 1, 6))
+    gone = governance.expired(df, F.col("day"), keep, date(2025, 1, 6))
+    assert rows(kept, "n") == [(4,), (5,), (6,)]
+    assert rows(gone, "n") == [(1,), (2,), (20,), (3,)]
+
+
+def test_drop_expired_leaves_the_other_files_alone(spark, table, tmp_path):
+    before = files(tmp_path / "table")
+    dropped = governance.drop_expired(spark, table, "day", Retention("2d", "delete"), date(2025, 1, 6))
+    assert dropped == [date(2025, 1, d) for d in (1, 2, 3)]
+    after = files(tmp_path / "table")
+    assert after == {day: name for day, name in before.items() if day >= "day=2025-01-04"}
+    assert governance.drop_expired(spark, table, "day", Retention("2d", "delete"), date(2025, 1, 6)) == []
+
+
+def test_archive_moves_and_can_be_repeated(spark, df, table, tmp_path):
+    archive = str(tmp_path / "archive")
+    keep = Retention("2d", "archive_local")
+    for _ in range(2):
+        governance.archive_expired(spark, table, archive, "day", keep, date(2025, 1, 6))
+    assert rows(spark.read.parquet(table), "day", "n") == [(date(2025, 1, d), d) for d in (4, 5, 6)]
+    assert rows(spark.read.parquet(archive), "n") == [(1,), (2,), (20,), (3,)]
+
+
+def test_erase_keeps_rows_without_a_key(spark, df):
+    subjects = spark.createDataFrame([("u1@x",), ("u1@x",), (None,), ("nobody@x",)], "email string")
+    left = governance.erase(df, subjects, "email")
+    assert left.columns == df.columns
+    assert rows(left) == sorted(((d, e, n) for d, e, n in DATA if e != "u1@x"), key=repr)
+
+
+def test_erase_from_table_rewrites_only_what_it_must(spark, table, tmp_path):
+    before = files(tmp_path / "table")
+    subjects = spark.createDataFrame([("u1@x",), ("u2@x",)], "email string")
+    touched = governance.erase_from_table(spark, table, subjects.where("email = 'u2@x'"), "email", "day")
+    assert touched == ["2025-01-02", "2025-01-05"]
+    after = files(tmp_path / "table")
+    # The fifth held nobody else and is gone; the second lost one of two rows.
+    assert "day=2025-01-05" not in after
+    assert {day for day in after if after[day] != before[day]} == {"day=2025-01-02"}
+    assert rows(spark.read.parquet(table), "n") == [(1,), (20,), (3,), (4,), (6,)]
+    assert governance.erase_from_table(spark, table, subjects.where("email = 'u2@x'"), "email", "day") == []
+
+
+def test_erase_in_the_partition_of_rows_without_a_day(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.createDataFrame([(None, "a", 1), (None, "b", 2), (date(2025, 1, 1), "a", 3)], "day date, email string, n int")
+    overwrite_partitions(df, path, ["day"])
+    governance.erase_from_table(spark, path, spark.createDataFrame([("a",)], "email string"), "email", "day")
+    assert rows(spark.read.parquet(path), "n") == [(2,)]
+
+
+def test_a_hot_subject_is_split_over_tasks(spark, settings):
+    settings(
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="20k",
+        spark__sql__adaptive__skewJoin__skewedPartitionFactor="2",
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="20k",
+    )
+    hot = F.when(F.col("id") % 3 == 0, F.lit("hot@x")).otherwise(F.concat(F.lit("u"), "id"))
+    # A text that does not compress, so that sizes show.
+    df = spark.range(0, 60_000, 1, 6).select(hot.alias("email"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    subjects = spark.range(0, 60_000, 10).select(F.concat(F.lit("u"), "id").alias("email"))
+    left = governance.erase(df, subjects, "email")
+    assert len(left.collect()) == 60_000 - len([n for n in range(0, 60_000, 10) if n % 3])
+    assert "skewed" in left._jdf.queryExecution().executedPlan().toString() or "isSkew=true" in left._jdf.queryExecution().executedPlan().toString() or "skew=true" in left._jdf.queryExecution().executedPlan().toString()
