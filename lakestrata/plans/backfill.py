@@ -49,9 +49,11 @@ def run_days(
         return {}
     rows = bronze_days(job, spark, loaded)
     results = check_days(job, rows, loaded)
+    by_day: dict[date, list[Row]] = {day: [] for day in loaded}
+    for row in results:
+        by_day[row["processing_date"]].append(row)
     statuses, good = {}, []
-    for day in loaded:
-        found = [row for row in results if row["processing_date"] == day]
+    for day, found in by_day.items():
         statuses[day] = overall_status(found)
         stopped = must_abort(found, job.rules, job.allow_partial_success)
         if not stopped and (skip_check or statuses[day] != "ERROR"):
