@@ -27,7 +27,7 @@ def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def _hot_and_cold(df: DataFrame, keys: Sequence[str], max_hot_keys: int) -> tuple[DataFrame, DataFrame]:
     counts = key_counts(df, keys)
-    total = counts.agg(F.sum("_key_rows")).scalar()
+    total = df.agg(F.count(F.lit(1))).scalar()  # on a stored table, from the file footers
     hot = F.col("_key_rows") * F.lit(max_hot_keys) > total
     duplicated = counts.where(F.col("_key_rows") > 1)
     return duplicated.where(hot).drop("_key_rows"), duplicated.where(~hot).drop("_key_rows")

@@ -391,7 +391,7 @@ WITH {SALES_SQL}
 SELECT status, CAST(order_timestamp AS DATE) AS order_date,
        CAST(SUM(quantity) AS BIGINT) AS sum_quantity, CAST(AVG(quantity) AS DOUBLE) AS avg_quantity,
        COUNT(unit_price_brl) AS priced, MIN(quantity) AS min_quantity, MAX(quantity) AS max_quantity,
-       MAX(order_id) AS last_order, CAST(SUM(unit_price_brl) AS DOUBLE) AS sum_price
+       CAST(SUM(unit_price_brl) AS DOUBLE) AS sum_price
 FROM sales GROUP BY 1, 2""")
 def agg_spec_all_functions(spark, sf_dir):
     step = aggregate(
@@ -402,7 +402,6 @@ def agg_spec_all_functions(spark, sf_dir):
             AggSpec("unit_price_brl", "count", "priced"),
             AggSpec("quantity", "min", "min_quantity"),
             AggSpec("quantity", "max", "max_quantity"),
-            AggSpec("order_id", "max", "last_order"),
             AggSpec("unit_price_brl", "sum", "sum_price"),
         ],
         date_from="order_timestamp",
@@ -410,6 +409,25 @@ def agg_spec_all_functions(spark, sf_dir):
     return shown(step(sales(spark, sf_dir)))
 
 
+@query(f"""
+WITH {SALES_SQL}
+SELECT customer_email, MIN(order_id) AS first_order, MAX(order_id) AS last_order,
+       CAST(MIN(order_timestamp) AS DATE) AS first_date, CAST(MAX(unit_price_brl) AS DOUBLE) AS top_price
+FROM sales GROUP BY 1""")
+def agg_spec_text_and_dates(spark, sf_dir):
+    step = aggregate(
+        ["customer_email"],
+        [
+            AggSpec("order_id", "min", "first_order"),
+            AggSpec("order_id", "max", "last_order"),
+            AggSpec("order_date", "min", "first_date"),
+            AggSpec("unit_price_brl", "max", "top_price"),
+        ],
+        date_from="order_timestamp",
+    )
+    return shown(step(sales(spark, sf_dir)))
+
+
 # --- Data quality ----------------------------------------------------------------------------
 
 UNIQUE_ORDER = Rule("UNIQUE-ORDER", "uniqueness", column="order_id", warning=99.0, error=95.0, on_error=("quarantine",))
