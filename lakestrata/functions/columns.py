@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
 from decimal import Decimal
 
 from pyspark.sql import Column
@@ -19,6 +20,13 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def instant(moment: datetime | str) -> Column:
+    """A timestamp literal. A datetime without zone is UTC, whatever the zone of driver or session."""
+    if isinstance(moment, datetime):
+        moment = (moment if moment.tzinfo else moment.replace(tzinfo=timezone.utc)).isoformat()
+    return F.lit(moment).cast("timestamp")
+
+
 def number(value: int | float | Decimal | str) -> Column:
     """A numeric literal typed as SQL text would be: 5 is an int, 5.0 a decimal."""
     return F.lit(value if isinstance(value, int) else Decimal(str(value)))

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakestrata.functions.columns import named
+from lakestrata.functions.columns import instant, named
 from lakestrata.operators.duplicates import key_counts
 from lakestrata.operators.quality import success_percentage
 
@@ -34,6 +34,10 @@ class ContractColumn:
         return TYPE_NAMES.get(self.type, self.type)
 
 
+# Added by the load itself, so it is in no contract.
+INGESTION_TIMESTAMP = ContractColumn("_ingestion_timestamp", "timestamp", comment="Time of the load")
+
+
 @dataclass(frozen=True)
 class CalculatedField:
     name: str
@@ -94,7 +98,7 @@ class Contract:
 
     def of_layer(self, layer: str) -> list[ContractColumn]:
         """The columns of a layer in layer order; a name the contract lacks is skipped with a warning."""
-        known = {column.name: column for column in self.columns}
+        known = {column.name: column for column in (INGESTION_TIMESTAMP, *self.columns)}
         wanted = self.layers[layer]
         for name in wanted:
             if name not in known:
@@ -201,7 +205,7 @@ def calculated_violations(df: DataFrame, contract: Contract) -> DataFrame:
 def freshness(df: DataFrame, timestamp: str, as_of: datetime | str, max_latency_minutes: int) -> DataFrame:
     """Age in minutes of the latest row at `as_of`, and whether it is within the limit."""
     latest = F.max(named(timestamp).cast("timestamp"))
-    seconds = F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp("latest")
+    seconds = F.unix_timestamp(instant(as_of)) - F.unix_timestamp("latest")
     return (
         df.agg(latest.alias("latest"))
         .withColumn("latency_minutes", F.floor(seconds / 60))

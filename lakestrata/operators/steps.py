@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakestrata.functions.columns import converted, named, quoted, total_value
+from lakestrata.functions.columns import converted, instant, named, quoted, total_value
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -22,7 +22,7 @@ AGGREGATES = {"sum": F.sum, "avg": F.avg, "count": F.count, "min": F.min, "max":
 
 def with_ingestion_timestamp(as_of: datetime | str) -> Step:
     """Add the load time, the same for every row of a load."""
-    return lambda df: df.withColumn("_ingestion_timestamp", F.lit(as_of).cast("timestamp"))
+    return lambda df: df.withColumn("_ingestion_timestamp", instant(as_of))
 
 
 def where_equals(column: str, value: Any) -> Step:
@@ -94,6 +94,8 @@ def template_step(sql: str, parameters: Mapping[str, Any]) -> Step:
             return "{input}"
         if name not in parameters:
             raise KeyError(f"the template needs the parameter {name}")
+        if match.group(3) and sql[: match.start()].count("'") % 2:
+            raise ValueError(f"the placeholder {name} stands inside a text literal, where no value can be bound")
         if match.group(1):
             # Doubled braces, for the text still passes through `{input}` formatting.
             return quoted(str(parameters[name])).replace("{", "{{").replace("}", "}}")

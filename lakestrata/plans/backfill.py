@@ -44,7 +44,8 @@ def run_days(
     """
     use_utc(spark)
     ingest_days(job, spark, days, as_of)
-    loaded = [day for day in days if Files(spark).exists(slice_path(job.path("bronze"), day_parts(day)))]
+    files = Files(spark)
+    loaded = [day for day in days if files.exists(slice_path(job.path("bronze"), day_parts(day)))]
     if not loaded:
         return {}
     rows = bronze_days(job, spark, loaded)
@@ -64,7 +65,10 @@ def run_days(
 
 
 def ingest_days(job: DailyJob, spark: SparkSession, days: Sequence[date], as_of: datetime) -> int:
-    """Landing files to bronze. Files lie together by day already, so nothing is shuffled."""
+    """Landing files to bronze. Files lie together by day already, so nothing is shuffled.
+
+    The files of one call must have the same header; if not, reading fails and nothing is replaced.
+    """
     paths = landing_paths(spark, job.landing, days, skip_missing=True)
     if not paths:
         raise FileNotFoundError(f"no landing files from {min(days)} to {max(days)}")
@@ -129,7 +133,7 @@ def build_silver_days(job: DailyJob, spark: SparkSession, days: Sequence[date])
         rows = passing_rows(rows, job.quarantine_rules(), LOAD_DATE)
     silver = with_date(job.timestamp_column)(chain(rows, steps_for("silver", job.steps)))
     parts = [{LOAD_DATE: day.isoformat()} for day in days]
-    touched = {day for part in parts for day in job.silver_folders(spark, part)}
+    touched = set(job.silver_folders(spark, days))
     on_time = F.col("order_date") == F.col(LOAD_DATE)
     overwrite_slices(silver, job.path("silver"), parts, ["order_date"], bulk=on_time)
-    return sorted(touched | {day for part in parts for day in job.silver_folders(spark, part)})
+    return sorted(touched | set(job.silver_folders(spark, days)))

@@ -119,17 +119,29 @@ class DailyJob:
         if self.drop_quarantined:
             rows = passing_rows(rows, self.quarantine_rules())
         silver = with_date(self.timestamp_column)(chain(rows, steps_for("silver", self.steps)))
-        part = {"load_date": day.isoformat()}
-        before = self.silver_folders(spark, part)
+        before = self.silver_folders(spark, [day])
         on_time = F.col("order_date") == F.lit(day)
-        written = overwrite_slice(silver, self.path("silver"), part, ["order_date"], bulk=on_time)
-        return written, sorted({**before, **self.silver_folders(spark, part)})
-
-    def silver_folders(self, spark: SparkSession, part: dict[str, str], order_date: str = "*") -> dict[date, list[str]]:
-        """Folders per order date, from folder names only. Rows without a timestamp lie in the
-        default partition, which has no date and so no gold row to refresh."""
+        written = overwrite_slice(
+            silver, self.path("silver"), {"load_date": day.isoformat()}, ["order_date"], bulk=on_time
+        )
+        return written, sorted({**before, **self.silver_folders(spark, [day])})
+
+    def silver_folders(
+        self, spark: SparkSession, load_days: Sequence[date] | None = None, order_dates: Sequence[date] | None = None
+    ) -> dict[date, list[str]]:
+        """Folders per order date, of some load days or all, and of some order dates or all.
+
+        Only names are listed. Rows without a timestamp lie in the default partition, which has
+        no date and so no gold row to refresh.
+        """
+        files, root = Files(spark), self.path("silver")
+        if load_days is None:
+            loads = files.glob(slice_path(root, {"load_date": "*"}))
+        else:
+            loads = [slice_path(root, {"load_date": day.isoformat()}) for day in load_days]
+        wanted = "*" if order_dates is None else "{" + ",".join(day.isoformat() for day in order_dates) + "}"
         folders: dict[date, list[str]] = {}
-        for path in Files(spark).glob(slice_path(self.path("silver"), {**part, "order_date": order_date})):
+        for path in files.glob_all(slice_path(load, {"order_date": wanted}) for load in loads):
             value = partition_value(path, "order_date")
             if value != NULL_PARTITION:
                 folders.setdefault(date.fromisoformat(value), []).append(path)
@@ -147,8 +159,7 @@ class DailyJob:
         """
         if dates is not None and not dates:
             return 0
-        pattern = "*" if dates is None else "{" + ",".join(day.isoformat() for day in dates) + "}"
-        folders = self.silver_folders(spark, {"load_date": "*"}, pattern)
+        folders = self.silver_folders(spark, order_dates=dates)
         written = 0
         if folders:
             paths = [path for found in folders.values() for path in found]

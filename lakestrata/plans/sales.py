@@ -43,7 +43,6 @@ CONTRACT = Contract(
         ContractColumn("order_date", "date", not_null=True, comment="Date of the order, UTC"),
         ContractColumn("total_quantity", "long", not_null=True, comment="Quantity per product and date"),
         ContractColumn("total_aggregated_value_usd", "decimal(20,2)", not_null=True, comment="Value in USD per product and date"),
-        ContractColumn("_ingestion_timestamp", "timestamp", comment="Time of the load"),
     ),
     layers=LAYER_COLUMNS,
     calculated=(CalculatedField("total_value_usd", "quantity * unit_price_usd", "decimal(18,2)"),),

@@ -61,10 +61,10 @@ def overwrite_slices(
         return 0
     files = Files(df.sparkSession)
     patterns = [slice_path(path, {**parts, **dict.fromkeys(partition_by, "*")}) + "/*" for parts in slices]
-    before = {name for pattern in patterns for name in files.glob(pattern)}
+    before = set(files.glob_all(patterns))
     columns = [*slices[0], *partition_by]
     written = overwrite_partitions(_clustered(df, columns, bulk), path, columns, clustered=True)
-    after = {name for pattern in patterns for name in files.glob(pattern)}
+    after = set(files.glob_all(patterns))
     drop_slices(df.sparkSession, sorted({name.rsplit("/", 1)[0] for name in before & after}))
     return written
 

@@ -30,7 +30,7 @@ def landing_paths(spark: SparkSession, template: str, days: Sequence[date], skip
         return paths
     files = Files(spark)
     patterns = {template.format(yyyy=d.year, MM=f"{d.month:02d}", dd="*").rstrip("/") for d in days}
-    found = {path for pattern in sorted(patterns) for path in files.glob(pattern)}
+    found = set(files.glob_all(sorted(patterns)))
     return [path for path in paths if files.qualified(path) in found]
 
 

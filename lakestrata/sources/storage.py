@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import SparkSession
 
 # Fixed value: the folder Spark writes rows to whose partition column is NULL.
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 
+LISTING_THREADS = 32
+
 
 class Files:
     def __init__(self, spark: SparkSession):
@@ -31,6 +36,11 @@ class Files:
         fs, located = self._open(pattern)
         return [str(status.getPath()) for status in fs.globStatus(located) or []]
 
+    def glob_all(self, patterns: Iterable[str]) -> list[str]:
+        """Paths matching any of many patterns; the listings overlap, as each one mostly waits."""
+        with ThreadPoolExecutor(LISTING_THREADS) as pool:
+            return [path for found in pool.map(self.glob, patterns) for path in found]
+
     def delete(self, path: str) -> None:
         fs, located = self._open(path)
         fs.delete(located, True)

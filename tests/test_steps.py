@@ -1,4 +1,4 @@
-from datetime import date
+from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
@@ -160,6 +160,17 @@ def test_template_parameters_cannot_change_the_query(spark):
         template_step(FILTER, hostile)(df).collect()
 
 
+def test_placeholder_inside_a_literal_is_refused():
+    with pytest.raises(ValueError, match="inside a text literal"):
+        template_step("SELECT 'x-{v}' AS t FROM {input_view_or_df}", {"v": 1})
+
+
+def test_moment_without_zone_is_utc(spark, settings):
+    settings(spark__sql__session__timeZone="America/Sao_Paulo")
+    df = with_ingestion_timestamp(datetime(2025, 5, 5, 1, 2, 3))(spark.range(1))
+    assert df.selectExpr("unix_seconds(_ingestion_timestamp)").first()[0] == 1746406923
+
+
 def test_template_needs_its_parameters():
     with pytest.raises(KeyError, match="desired_status"):
         template_step(FILTER, {"status_column": "status"})
