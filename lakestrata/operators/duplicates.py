@@ -21,7 +21,7 @@ MAX_HOT_KEYS = 20_000
 
 def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows per non-NULL key: counted before the shuffle, so a hot key costs one row per task."""
-    present = df.select(*(named(k) for k in keys)).na.drop(subset=list(keys))
+    present = df.where(~any_of([named(key).isNull() for key in keys]))
     return present.groupBy(*(named(k) for k in keys)).agg(F.count(F.lit(1)).alias("_key_rows"))
 
 

@@ -41,14 +41,14 @@ ORACLES: dict[str, str] = {}
 AS_OF = "2024-02-14 12:00:00"
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
     def register(function: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return function(use_utc(spark), sf_dir)
 
-        QUERIES[function.__name__] = run
+        QUERIES[name or function.__name__] = run
         if sql:
-            ORACLES[function.__name__] = sql
+            ORACLES[name or function.__name__] = sql
         return function
 
     return register
@@ -321,8 +321,8 @@ def line_total(spark, sf_dir):
     return shown(rows.select("order_id", "quantity", "unit_price_usd", "total_value_usd"))
 
 
-@query("SELECT event_id, CAST(ts AS DATE) AS order_date FROM events")
-def with_date_extracted(spark, sf_dir):
+@query("SELECT event_id, CAST(ts AS DATE) AS order_date FROM events", name="with_date")
+def event_dates(spark, sf_dir):
     return with_date("ts")(table(spark, sf_dir, "events")).select("event_id", "order_date")
 
 
@@ -354,7 +354,7 @@ WITH {SILVER_SQL}
 SELECT {SALES_OUT}, CAST(unit_price_usd AS DOUBLE) AS unit_price_usd,
        CAST(total_value_usd AS DOUBLE) AS total_value_usd
 FROM silver""")
-def layer_projection_silver(spark, sf_dir):
+def layer_projection(spark, sf_dir):
     wide = with_ingestion_timestamp(AS_OF)(silver(spark, sf_dir))
     rows = contracts.project(wide, domain.CONTRACT, "silver")
     return shown(with_date("order_timestamp")(rows).drop("order_timestamp"))
@@ -618,6 +618,44 @@ def dq_actions(spark, sf_dir):
     return quality.actions_due(results, STRICT_RULES).select("rule_id", "action", "handled")
 
 
+RULE_DOCUMENT = {
+    "quality_profile": {"name": "strict", "scope": ["silver"]},
+    "rules": [
+        {"rule_id": "POSITIVE", "type": "validity", "condition": {"sql": "quantity > 0"}},
+        {"rule_id": "PRICED", "type": "completeness", "target": {"column": "unit_price_brl"}},
+    ],
+}
+
+
+@query(f"""
+WITH {SALES_SQL}, worst AS (
+  SELECT CASE WHEN COUNT(*) FILTER (WHERE NOT (quantity > 0) OR unit_price_brl IS NULL) > 0 THEN 'ERROR' ELSE 'PASS' END
+         AS status FROM sales
+)
+SELECT 'bronze' AS layer, 0 AS rules, 'PASS' AS overall_status, false AS abort, false AS abort_partial
+UNION ALL SELECT 'silver', 2, status, status = 'ERROR', false FROM worst
+UNION ALL SELECT 'gold', 0, 'PASS', false, false""")
+def dq_scope_and_abort(spark, sf_dir):
+    """Rules apply to the layers of their profile; an ERROR stops a run unless partial success will do."""
+    rows = sales(spark, sf_dir)
+    decisions = []
+    for layer in governance.LAYERS:
+        rules = quality.rules_for(RULE_DOCUMENT, layer)
+        results = quality.run_rules(rows, rules, domain.PIPELINE_ID, layer, RUN_DAY)
+        decisions.append(
+            (
+                layer,
+                len(rules),
+                quality.overall_status(results),
+                quality.must_abort(results, rules),
+                quality.must_abort(results, rules, allow_partial_success=True),
+            )
+        )
+    return spark.createDataFrame(
+        decisions, "layer string, rules int, overall_status string, abort boolean, abort_partial boolean"
+    )
+
+
 # --- Contract --------------------------------------------------------------------------------
 
 
@@ -751,15 +789,15 @@ def contract_freshness(spark, sf_dir):
 
 @query("""
 WITH days AS (
-  SELECT DISTINCT CAST(o_orderdate AS DATE) AS load_date FROM orders WHERE o_totalprice > 400000
+  SELECT DISTINCT CAST(o_orderdate AS DATE) AS load_date FROM orders WHERE o_totalprice > 499000
 ), gaps AS (
   SELECT load_date, LAG(load_date) OVER (ORDER BY load_date) AS previous_date FROM days
 )
 SELECT load_date, previous_date, CAST((load_date - previous_date) * 24 AS INTEGER) AS gap_hours
 FROM gaps WHERE (load_date - previous_date) * 24 > 24""")
 def contract_load_gaps(spark, sf_dir):
-    """Days without an order of a high total, as gaps between the days that have one."""
-    large = table(spark, sf_dir, "orders").where(F.col("o_totalprice") > 400000)
+    """Gaps between the days that have an order of a very high total."""
+    large = table(spark, sf_dir, "orders").where(F.col("o_totalprice") > 499000)
     return contracts.load_gaps(large, "o_orderdate", domain.EXPECTED_INTERVAL_HOURS)
 
 
