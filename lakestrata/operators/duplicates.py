@@ -1,56 +1,85 @@
 """Rows whose key occurs more than once, without ever gathering a hot key in one task.
 
-A window over the key, or a plain join to the duplicated keys, sends all rows of a key to one
-task. Here the keys that hold much of the table are split off: since each of them holds more than
-1/MAX_HOT_KEYS of the rows there are fewer than MAX_HOT_KEYS of them, so they can be broadcast,
-and their rows are never shuffled. The other keys are small and meet in an ordinary shuffle join.
-Without hot keys AQE finds the broadcast side empty and drops that branch, scan included.
+The keys are counted first, over the key columns alone, and those that occur more than once are
+stored. Their stored size then decides how the rows are matched: Spark broadcasts the keys if there
+are few of them, so that the wide rows are not shuffled at all. Otherwise the keys that hold
+much of the table are split off: each of them holds more than 1/MAX_HOT_KEYS of the rows, so there
+are fewer than MAX_HOT_KEYS of them, and they can be broadcast. Only rows of the other keys, each of
+them small, meet in a shuffle join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lakestrata.functions.columns import any_of, named
+from lakestrata.session import scratch_dir
 
 MAX_HOT_KEYS = 20_000
+_ROWS = "_key_rows"
 
 
 def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows per non-NULL key: counted before the shuffle, so a hot key costs one row per task."""
-    present = df.where(~any_of([named(key).isNull() for key in keys]))
-    return present.groupBy(*(named(k) for k in keys)).agg(F.count(F.lit(1)).alias("_key_rows"))
+    return df.where(~_has_null(keys)).groupBy(*(named(key) for key in keys)).agg(F.count(F.lit(1)).alias(_ROWS))
 
 
-def _hot_and_cold(df: DataFrame, keys: Sequence[str], max_hot_keys: int) -> tuple[DataFrame, DataFrame]:
-    counts = key_counts(df, keys)
-    total = df.agg(F.count(F.lit(1))).scalar()  # on a stored table, from the file footers
-    hot = F.col("_key_rows") * F.lit(max_hot_keys) > total
-    duplicated = counts.where(F.col("_key_rows") > 1)
-    return duplicated.where(hot).drop("_key_rows"), duplicated.where(~hot).drop("_key_rows")
+def _has_null(keys: Sequence[str]) -> Column:
+    return any_of([named(key).isNull() for key in keys])
+
+
+@dataclass(frozen=True)
+class DuplicatedKeys:
+    """Stored keys that occur more than once: `hot` ones, fewer than `MAX_HOT_KEYS`, and the others."""
+
+    hot: DataFrame | None
+    cold: DataFrame | None
+
+
+def duplicated_keys(df: DataFrame, keys: Sequence[str], max_hot_keys: int = MAX_HOT_KEYS) -> DuplicatedKeys:
+    """Count the keys of `df` (this runs a job) and store those that occur more than once."""
+    path = scratch_dir(df.sparkSession, "duplicated-keys")
+    rows = F.col(_ROWS)
+    seen = Observation()
+    counts = key_counts(df, keys).observe(
+        seen, F.sum(rows).alias("rows"), F.max(rows).alias("most"), F.min(F.when(rows > 1, rows)).alias("least")
+    )
+    counts.where(rows > 1).write.parquet(path)
+    found = seen.get
+    if not found.get("least"):
+        return DuplicatedKeys(None, None)
+    stored = df.sparkSession.read.schema(counts.schema).parquet(path)
+    limit = found["rows"] // max_hot_keys  # more rows than this make a key hot
+    hot = stored.where(rows > limit).drop(_ROWS) if found["most"] > limit else None
+    cold = stored.where(rows <= limit).drop(_ROWS) if found["least"] <= limit else None
+    return DuplicatedKeys(hot, cold)
 
 
 def rows_with_duplicated_key(df: DataFrame, keys: Sequence[str], max_hot_keys: int = MAX_HOT_KEYS) -> DataFrame:
     """Every row whose key occurs more than once. NULL keys match nothing, so they are left out."""
-    hot, cold = _hot_and_cold(df, keys, max_hot_keys)
-    keys = list(keys)
-    hot_rows = df.join(F.broadcast(hot), keys, "left_semi")
-    cold_rows = df.join(F.broadcast(hot), keys, "left_anti").join(cold, keys, "left_semi")
-    return hot_rows.unionByName(cold_rows)
+    found, keys = duplicated_keys(df, keys, max_hot_keys), list(keys)
+    if found.hot is None:
+        return df.where(F.lit(False)) if found.cold is None else df.join(found.cold, keys, "left_semi")
+    hot_rows = df.join(F.broadcast(found.hot), keys, "left_semi")
+    if found.cold is None:
+        return hot_rows
+    others = df.join(F.broadcast(found.hot), keys, "left_anti")
+    return hot_rows.unionByName(others.join(found.cold, keys, "left_semi"))
 
 
 def rows_without_duplicated_key(
     df: DataFrame, keys: Sequence[str], within: DataFrame | None = None, max_hot_keys: int = MAX_HOT_KEYS
 ) -> DataFrame:
-    """The other rows, those with a NULL key among them; NULL keys stay out of the shuffle.
+    """The other rows, those with a NULL key among them.
 
-    Duplicates are looked for in `within`, if given, of which `df` is a part.
+    Duplicates are looked for in `within`, if given, of which `df` is a part. Should the rows be
+    shuffled at all, NULL keys meet in one partition, which AQE then splits.
     """
-    hot, cold = _hot_and_cold(df if within is None else within, keys, max_hot_keys)
-    keys = list(keys)
-    has_null = any_of([named(key).isNull() for key in keys])
-    single = df.where(~has_null).join(F.broadcast(hot), keys, "left_anti").join(cold, keys, "left_anti")
-    return df.where(has_null).unionByName(single)
+    found, keys = duplicated_keys(df if within is None else within, keys, max_hot_keys), list(keys)
+    if found.hot is not None:
+        df = df.join(F.broadcast(found.hot), keys, "left_anti")
+    return df if found.cold is None else df.join(found.cold, keys, "left_anti")

@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from lakestrata.operators.contract import Contract
 from lakestrata.operators.quality import (
+    RESULT_SCHEMA,
     DataQualityError,
     Rule,
-    evaluate,
     gate,
     must_abort,
     overall_status,
@@ -90,8 +90,7 @@ class DailyJob:
         layer, text = self.checked_layer, day.isoformat()
         results = run_rules(rows, self.rules, self.pipeline_id, layer, text)
         if results:
-            schema = evaluate(rows, self.rules, self.pipeline_id, layer, text).schema
-            save_results(spark.createDataFrame(results, schema), self.path("dq_results"), layer, text)
+            save_results(spark.createDataFrame(results, RESULT_SCHEMA), self.path("dq_results"), layer, text)
         quarantine(rows, self.rules, results, self.path("quarantine"), layer, text)
         if must_abort(results, self.rules, self.allow_partial_success):
             raise DataQualityError(f"data quality of {layer} on {text} is {overall_status(results)}", results)

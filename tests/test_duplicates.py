@@ -49,6 +49,38 @@ def test_no_window_no_cross_join_and_no_more_hot_keys_than_proven(spark, tmp_pat
     assert "Window" not in text and "CartesianProduct" not in text and "NestedLoop" not in text
 
 
+def test_many_null_keys_are_split_over_tasks(spark, settings):
+    settings(
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="20k",
+        spark__sql__adaptive__skewJoin__skewedPartitionFactor="2",
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="20k",
+    )
+    # A third of all rows has no key; of the others, some share theirs with a neighbour.
+    pair = F.floor(F.col("id") / 2)
+    key = F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 18 < 10, pair).otherwise(-F.col("id"))
+    df = spark.range(0, 54_000, 1, 6).select(key.alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    counts = Counter(row["k"] for row in df.select("k").collect())
+    expected = sum(n for k, n in counts.items() if k is None or n == 1)
+    single = rows_without_duplicated_key(df, ["k"], max_hot_keys=10)
+    assert len(single.collect()) == expected
+    assert "skew=true" in single._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_duplicated_keys_are_broadcast_and_rows_not_shuffled(spark, tmp_path):
+    spark.range(0, 1000).selectExpr("id % 997 AS k", "id").write.parquet(str(tmp_path / "t"))
+    found = rows_with_duplicated_key(spark.read.parquet(str(tmp_path / "t")), ["k"], 1)
+    assert rows(found, "id") == sorted(((n,) for n in (0, 1, 2, 997, 998, 999)), key=repr)
+    assert "hashpartitioning" not in plan(found) and "BroadcastHashJoin" in plan(found)
+
+
+def test_without_duplicates_the_rows_are_not_read_again(spark):
+    df = spark.range(10)
+    assert "Join" not in plan(rows_with_duplicated_key(df, ["id"])) and rows_with_duplicated_key(df, ["id"]).count() == 0
+    assert "Join" not in plan(rows_without_duplicated_key(df, ["id"])) and rows_without_duplicated_key(df, ["id"]).count() == 10
+
+
 def test_rows_of_a_hot_key_are_not_shuffled(spark, settings, tmp_path):
     settings(spark__sql__autoBroadcastJoinThreshold="-1")
     spark.createDataFrame(SKEWED, "k string, v int").write.parquet(str(tmp_path / "t"))
