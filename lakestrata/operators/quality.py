@@ -289,8 +289,8 @@ def must_abort(results: Sequence[Row], rules: Sequence[Rule], allow_partial_succ
 def failing_rows(df: DataFrame, rules: Sequence[Rule], day_column: str | None = None) -> DataFrame:
     """The rows that fail, with the `rule_id` they fail; a row failing two rules comes twice.
 
-    A uniqueness rule counts its keys here and now. Rules that cannot be resolved or have no test yield nothing. With `day_column`, keys must be
-    unique within a day only.
+    A uniqueness rule counts its keys here and now. Rules that cannot be resolved or have no test
+    yield nothing. With `day_column`, keys must be unique within a day only.
     """
     usable = [rule for rule in rules if not is_broken(df, rule)]
     row_rules = [(rule.rule_id, rule.failing()) for rule in usable if rule.failing() is not None]

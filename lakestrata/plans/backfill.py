@@ -61,6 +61,7 @@ def run_days(
             good.append(day)
     if good:
         job.refresh_gold(spark, build_silver_days(job, spark, good))
+        job.settle(spark, good)
     return statuses
 
 
@@ -133,7 +134,7 @@ def build_silver_days(job: DailyJob, spark: SparkSession, days: Sequence[date])
         rows = passing_rows(rows, job.quarantine_rules(), LOAD_DATE)
     silver = with_date(job.timestamp_column)(chain(rows, steps_for("silver", job.steps)))
     parts = [{LOAD_DATE: day.isoformat()} for day in days]
-    touched = set(job.silver_folders(spark, days))
+    touched = job.note_replaced(spark, days)
     on_time = F.col("order_date") == F.col(LOAD_DATE)
     overwrite_slices(silver, job.path("silver"), parts, ["order_date"], bulk=on_time)
     return sorted(touched | set(job.silver_folders(spark, days)))

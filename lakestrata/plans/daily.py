@@ -118,12 +118,29 @@ class DailyJob:
         if self.drop_quarantined:
             rows = passing_rows(rows, self.quarantine_rules())
         silver = with_date(self.timestamp_column)(chain(rows, steps_for("silver", self.steps)))
-        before = self.silver_folders(spark, [day])
+        before = self.note_replaced(spark, [day])
         on_time = F.col("order_date") == F.lit(day)
         written = overwrite_slice(
             silver, self.path("silver"), {"load_date": day.isoformat()}, ["order_date"], bulk=on_time
         )
-        return written, sorted({**before, **self.silver_folders(spark, [day])})
+        return written, sorted(before | set(self.silver_folders(spark, [day])))
+
+    def note_replaced(self, spark: SparkSession, load_days: Sequence[date]) -> set[date]:
+        """Note the order dates of silver rows that are about to be replaced, as folder names.
+
+        The note outlives a run that dies before gold is refreshed, so that the next run of the
+        day still knows which dates the replaced rows belonged to.
+        """
+        files, root = Files(spark), self.path("gold_pending")
+        replaced = [path for found in self.silver_folders(spark, load_days).values() for path in found]
+        columns = ("load_date", "order_date")
+        files.make_folders(slice_path(root, {name: partition_value(path, name) for name in columns}) for path in replaced)
+        loads = [slice_path(root, {"load_date": day.isoformat(), "order_date": "*"}) for day in load_days]
+        return {date.fromisoformat(partition_value(path, "order_date")) for path in files.glob_all(loads)}
+
+    def settle(self, spark: SparkSession, load_days: Sequence[date]) -> None:
+        """Drop the notes of load days whose dates have been refreshed in gold."""
+        drop_slices(spark, [slice_path(self.path("gold_pending"), {"load_date": day.isoformat()}) for day in load_days])
 
     def silver_folders(
         self, spark: SparkSession, load_days: Sequence[date] | None = None, order_dates: Sequence[date] | None = None
@@ -202,6 +219,7 @@ class DailyJob:
                 log.event(step, "SUCCEEDED", {"rows": written, "order_dates": len(touched)})
                 step = "TransformGold"
                 log.event(step, "SUCCEEDED", {"rows": self.refresh_gold(spark, touched)})
+                self.settle(spark, [day])
             log.event("PipelineEnd", "SUCCEEDED", {"status": status})
             return status
         except Exception as error:

@@ -41,6 +41,11 @@ class Files:
         with ThreadPoolExecutor(LISTING_THREADS) as pool:
             return [path for found in pool.map(self.glob, patterns) for path in found]
 
+    def make_folders(self, paths: Iterable[str]) -> None:
+        for path in paths:
+            fs, located = self._open(path)
+            fs.mkdirs(located)
+
     def delete(self, path: str) -> None:
         fs, located = self._open(path)
         fs.delete(located, True)

@@ -87,6 +87,23 @@ def test_a_corrected_load_takes_back_its_dates(spark, job):
     assert gold(job, spark) == [("A", D5, 2, Decimal("40.00")), ("B", D6, 4, Decimal("80.00"))]
 
 
+@pytest.mark.parametrize("many", [False, True])
+def test_a_run_that_dies_before_gold_is_made_good_by_the_next(spark, job, monkeypatch, many):
+    def run(day):
+        return run_days(job, spark, [day], AS_OF) if many else job.run(spark, day, AS_OF)
+
+    land(job, D6, line("O2", "A", 1, 100.0, "2025-05-05T22:00:00Z"), line("O3", "A", 4, 100.0, "2025-05-06T10:00:00Z"))
+    run(D6)
+    land(job, D6, line("O3", "B", 4, 100.0, "2025-05-06T10:00:00Z"))
+    with monkeypatch.context() as broken:
+        broken.setattr(DailyJob, "refresh_gold", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            run(D6)
+    assert len(gold(job, spark)) == 2  # still the old one
+    run(D6)
+    assert gold(job, spark) == [("B", D6, 4, Decimal("80.00"))]
+
+
 def test_untouched_gold_dates_are_not_rewritten(spark, job, tmp_path):
     def files():
         return {p.parent.name: p.name for p in (tmp_path / "lake/gold").glob("order_date=*/part-*")}

@@ -1,6 +1,5 @@
 import duckdb
 import pytest
-from conftest import rows  # noqa: F401
 
 import __spark_entry__ as entry
 from check_queries import TABLES, sorted_rows
