@@ -63,3 +63,52 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lines_dropped").alias("n_dropped"),
         F.sha2(whole_text().cast("binary"), 256).alias("kept_sha256"),
     )
+
+
+VOCABULARY = "byte_bpe_50k.json"
+MOST_TOKENS = 1024
+
+
+@query()
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lakestrata.llm.token_counts import token_counts
+
+    counts = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+    return counts.withColumn("over_limit", F.col("n_tokens") > MOST_TOKENS)
+
+
+WORDS_SQL = f"regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query(
+    f"""
+    WITH d AS (SELECT doc_id, row_number() OVER () AS r, {WORDS_SQL} AS w FROM documents),
+    b AS (SELECT item_id, w, least(len(w), 13) AS k FROM (SELECT item_id, {WORDS_SQL} AS w FROM benchmark) WHERE len(w) > 0),
+    bw AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS p
+           FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM b)),
+    dw AS (SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS p
+           FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM b))),
+    m AS (SELECT r, k, i, item_id FROM dw JOIN bw USING (k, p)),
+    h AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS x FROM m) GROUP BY r),
+    t AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items
+          FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY r)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+    """
+)
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakestrata.llm.decontaminate import decontaminate, is_contaminated
+
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        is_contaminated().alias("contaminated"),
+    )
