@@ -23,6 +23,13 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakestrata.llm.ngram_join import ngram_join
+
+    return ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept", "n_copies", "n_links")
+
+
 @query(
     f"""
     WITH d AS (SELECT doc_id, {LOWER} AS t FROM documents),

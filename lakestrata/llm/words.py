@@ -143,10 +143,10 @@ def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     keep = place < per_text[owner]
     short = np.flatnonzero((counts > 0) & (counts < n))
     for i in short:  # few: texts of less than n words
-        value = np.uint64(counts[i])
-        for x in h[words.first[i] : words.first[i + 1]]:
-            value = value * BASE + x
-        rolled[words.first[i]] = value
+        value = np.array([counts[i]], np.uint64)
+        for k in range(words.first[i], words.first[i + 1]):
+            value = value * BASE + h[k : k + 1]
+        rolled[words.first[i]] = value[0]
     values, owner = mix(rolled[keep]), owner[keep]
     order = np.lexsort((values, owner))
     values, owner = values[order], owner[order]
