@@ -119,3 +119,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         is_contaminated().alias("contaminated"),
     )
+
+
+TOXIC = 0.7
+
+
+@query()
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakestrata.llm.common import fold
+    from lakestrata.llm.toxicity import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity(docs, table(spark, sf_dir, "labels"))
+    return scored.select(
+        "doc_id", (fold() == 1).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted")
+    )
