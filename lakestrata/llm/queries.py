@@ -134,3 +134,40 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", (fold() == 1).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted")
     )
+
+
+@query()
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakestrata.llm.common import fold
+    from lakestrata.llm.quality import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", (fold() == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+ESCAPED = "regexp_replace(coalesce({}, ''), '([\\\\<\\[\\]])', '\\\\\\1', 'g')"
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+@query(
+    f"""
+    WITH c AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -7, 1, 'assistant', '{CONTROL_TEXT}'
+    )
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           CAST(sum(9 + length({ESCAPED.format('role')}) + length({ESCAPED.format('text')})) AS BIGINT) AS formatted_chars
+    FROM c GROUP BY conv_id
+    """
+)
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakestrata.llm.chat import chat_tree, digests, read_back
+
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = [(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)]
+    stream, index = chat_tree(given.unionByName(spark.createDataFrame(more, given.schema)))
+    return digests(read_back(stream, index))
