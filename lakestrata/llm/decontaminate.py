@@ -297,3 +297,14 @@ def decontaminate(
 def is_contaminated() -> Column:
     """At least a twentieth of the words, and at least one, lie inside occurring windows."""
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", **parameters) -> DataFrame:
+    """The rows of `docs` that are not contaminated."""
+    found = decontaminate(docs, benchmark, id_column=id_column, text_column=text_column, **parameters).filter(is_contaminated())
+    names = ["bad_id", "bad_mark"]
+    while set(names) & set(docs.columns):
+        names = [f"_{name}" for name in names]
+    bad = found.select(F.col("doc_id").alias(names[0]), F.col("mark").alias(names[1])).distinct()
+    same = docs[id_column].eqNullSafe(bad[names[0]]) & (F.xxhash64(whole_text(text_column)) == bad[names[1]])
+    return docs.join(bad, same, "left_anti")

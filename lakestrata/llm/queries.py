@@ -171,3 +171,17 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = [(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)]
     stream, index = chat_tree(given.unionByName(spark.createDataFrame(more, given.schema)))
     return digests(read_back(stream, index))
+
+
+@query()
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakestrata.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+@query()
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
