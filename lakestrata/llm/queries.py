@@ -185,3 +185,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query()
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakestrata.llm.html import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
