@@ -73,7 +73,7 @@ def best_fit(lengths: np.ndarray, bits: list[np.ndarray], capacity: int) -> tupl
         used[chosen] += length
         for m, word, bit in own:
             m[chosen, word] |= bit
-        if left > 0 or length == 0:
+        if left > 0:  # a full bin is closed, for empty pieces too
             at = int(np.searchsorted(residual[:open_bins], left))
             residual[at + 1 : open_bins + 1] = residual[at:open_bins].copy()
             number[at + 1 : open_bins + 1] = number[at:open_bins].copy()

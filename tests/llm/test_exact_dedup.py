@@ -1,0 +1,61 @@
+from collections import defaultdict
+
+import pytest
+from helpers import lower, sha
+from pyspark.sql import functions as F
+
+from lakestrata.llm.exact_dedup import exact_dedup, fold_into_state, read_state, sha256
+
+DOCS = [
+    (1, "Same text"), (2, "same TEXT"), (5, "same text"), (3, "Éa"), (4, "éa"), (6, ""), (7, None), (8, "x" * 200_000),
+    (9, "X" * 200_000), (10, "same text "), (11, "one"), (11, "one"), (12, "ones"), (None, "one"), (13, "\n"),
+]
+
+
+def expected(docs):
+    groups = defaultdict(list)
+    for doc, text in docs:
+        groups[lower(text)].append(doc)
+    rows = []
+    for doc, text in docs:
+        own = groups[lower(text)]
+        rows.append((doc, max((x for x in own if x is not None), default=None), len(own), sha(lower(text))))
+    return sorted(rows, key=repr)
+
+
+def written(spark, tmp_path, docs, name="docs"):
+    path = str(tmp_path / name)
+    rows = [(doc, text, "extra", 1, True) for doc, text in docs]
+    schema = "doc_id long, text string, digest string, group_size int, kept boolean"
+    spark.createDataFrame(rows, schema).repartition(3).write.mode("append").parquet(path)
+    return path
+
+
+def told(df):
+    return sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("digest", [sha256, lambda text: F.substring(text, 1, 1).cast("binary")], ids=["sha256", "weak"])
+def test_as_brute_force_also_when_digests_collide(spark, tmp_path, digest):
+    found = exact_dedup(spark, written(spark, tmp_path, DOCS), digest=digest)
+    assert told(found) == expected(DOCS)
+    kept = [r.text_sha256 for r in found.filter("kept").collect()]
+    assert len(kept) == len(set(kept)) == len({lower(text) for _, text in DOCS})
+
+
+def test_empty_table(spark, tmp_path):
+    assert exact_dedup(spark, written(spark, tmp_path, [])).collect() == []
+
+
+def test_state_goes_on_with_new_files(spark, tmp_path):
+    path, state = written(spark, tmp_path, DOCS[:6]), str(tmp_path / "state")
+    fold_into_state(spark, path, state)
+    first = {bytes(r.digest): r.group_size for r in read_state(spark, state).collect()}
+    written(spark, tmp_path, DOCS[6:])
+    assert told(exact_dedup(spark, path, state=state)) == expected(DOCS)
+    assert sum(first.values()) == 6
+
+
+def test_a_group_of_a_third_of_all_rows(spark, tmp_path):
+    docs = [(i, "common" if i % 3 == 0 else f"text {i}") for i in range(3000)]
+    assert told(exact_dedup(spark, written(spark, tmp_path, docs))) == expected(docs)

@@ -1,0 +1,77 @@
+import random
+from zlib import crc32
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from lakestrata.llm.quality import STATISTICS, cosines, isotonic, quality, statistics
+
+WORDS = "the of and window garden letter paper river stone little house again under water summer winter music".split()
+
+
+def good(n):
+    return " ".join(random.choice(WORDS) for _ in range(n)).capitalize() + "."
+
+
+def bad(n):
+    return random.choice([
+        lambda: " ".join([random.choice(WORDS)] * n), lambda: good(n).upper().replace(" ", "!! "),
+        lambda: good(n).replace(" ", " | "), lambda: good(n).replace(" ", "### "),
+    ])()
+
+
+def test_scores_of_held_out_rows(spark):
+    random.seed(4)
+    docs = [(i, bad(random.randrange(20, 200)) if i % 4 == 0 else good(random.randrange(20, 200))) for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(600)] + [(2, None)], "doc_id long, quality int")
+    rows = [(d, t, "x") for d, t in docs] + [(700, None, "x"), (701, "", "x"), (702, good(60_000), "x"), (None, good(30), "x"), (1, docs[1][1], "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string").repartition(3)
+    result = quality(df, labels)
+    assert result.columns == [*df.columns, "score"]
+    found = result.collect()
+    assert len(found) == len(rows) and all(0 <= r.score <= 1 for r in found)
+    held = [r for r in found if r.doc_id is not None and r.doc_id < 600 and crc32(str(r.doc_id).encode()) % 3 == 1]
+    assert np.mean([(r.score >= 0.5) == (r.doc_id % 4 > 0) for r in held]) >= 0.97
+    score = {r.doc_id: r.score for r in found}
+    assert score[700] == score[701]
+
+
+@pytest.mark.parametrize("labels,share", [([], 0.5), ([(0, 1), (2, 1), (3, 1)], 1.0)])
+def test_without_two_classes(spark, labels, share):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(5)], "doc_id long, text string")
+    found = quality(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert [r.score for r in found] == [share] * 5
+
+
+def test_empty_table(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality(spark.createDataFrame([], "doc_id long, text string"), none).collect() == []
+
+
+def test_cosines_approximate_the_kernel():
+    random_numbers = np.random.default_rng(1)
+    x = random_numbers.normal(size=(6, STATISTICS))
+    mapped = cosines(x, 20_000)[:, :-1]
+    distance = ((x[:, None] - x[None]) ** 2).sum(2)
+    assert np.abs(mapped @ mapped.T - np.exp(-distance / (2 * STATISTICS))).max() < 0.05
+
+
+def test_isotonic_as_brute_force():
+    random_numbers = np.random.default_rng(2)
+    for _ in range(20):
+        x, y = random_numbers.normal(size=12), random_numbers.integers(0, 2, 12).astype(float)
+        knots, heights = isotonic(x, y)
+        ordered = y[np.argsort(x)]
+        # min-max formula of the isotonic regression
+        best = [max(min(ordered[i:j].mean() for j in range(k + 1, 13)) for i in range(k + 1)) for k in range(12)]
+        assert np.allclose(sorted(set(np.round(best, 9))), np.unique(np.round(heights, 9)))
+        assert (np.diff(knots) > 0).all()
+
+
+def test_statistics_stand_alone():
+    texts = ["", "a", "Aa 1 | #", "word word other", "é" * 500]
+    together = statistics(pa.array(texts))
+    for i, text in enumerate(texts):
+        assert np.allclose(statistics(pa.array([text])), together[i : i + 1])
+    assert np.isfinite(together).all()
