@@ -60,6 +60,7 @@ def fold_into_state(
         spark,
         spark__sql__streaming__stateStore__providerClass=ROCKSDB,
         spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled="true",
+        spark__sql__streaming__stateStore__unloadOnCommit="true",  # what a partition keeps on its machine goes with its task
         spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true",
         spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB="300",
         spark__sql__streaming__stateStore__rocksdb__writeBufferSizeMB="4",
