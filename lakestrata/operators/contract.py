@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakestrata.functions.columns import instant, named
+from lakestrata.functions.columns import any_of, instant, named
 from lakestrata.operators.duplicates import key_counts
 from lakestrata.operators.quality import success_percentage
 
@@ -121,13 +121,15 @@ class Contract:
         return T.StructType([T.StructField(column.name, T.StringType()) for column in self.of_layer(layer)])
 
 
-def project(df: DataFrame, contract: Contract, layer: str) -> DataFrame:
-    """The columns of a layer in their contract types, with the contract's comments."""
+def project(df: DataFrame, contract: Contract, layer: str, keep: Sequence[str] = ()) -> DataFrame:
+    """The columns of a layer in their contract types, with the contract's comments; and those to `keep` as they are."""
     return df.select(
         *(
             named(c.name).try_cast(c.spark_type).alias(c.name, metadata={"comment": c.comment})
             for c in contract.of_layer(layer)
-        )
+            if c.name not in keep
+        ),
+        *map(named, keep),
     )
 
 
@@ -181,25 +183,27 @@ def conformance(df: DataFrame, contract: Contract, checks: Sequence[str] | None
 def primary_key_violations(df: DataFrame, contract: Contract) -> DataFrame:
     """Key values that occur more than once, and how often. (NULL keys are the not_null check's.)"""
     keys = [column.name for column in contract.columns if column.primary_key]
+    if not keys:
+        raise ValueError("the contract has no primary key")
     return key_counts(df, keys).where(F.col("_key_rows") > 1).withColumnRenamed("_key_rows", "occurrences")
 
 
 def calculated_violations(df: DataFrame, contract: Contract) -> DataFrame:
-    """Rows where a calculated field is not what its formula gives, with the expected value."""
-    parts = []
+    """Rows where a calculated field is not what its formula gives, with the field and the expected value.
+
+    One scan for all fields; a row with two wrong fields comes twice. Expected values of several fields share a
+    column, which then has their common type (text, if there is no other).
+    """
+    if not contract.calculated:
+        raise ValueError("the contract has no calculated field")
+    wrong, entries = [], []
+    kinds = {item.type for item in contract.calculated}
     for item in contract.calculated:
         expected = F.expr(item.formula).try_cast(item.type)
-        parts.append(
-            df.withColumn("field", F.lit(item.name))
-            .withColumn("expected", expected)
-            .where(~named(item.name).eqNullSafe(F.col("expected")))
-        )
-    if not parts:
-        raise ValueError("the contract has no calculated field")
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+        wrong.append(~named(item.name).eqNullSafe(expected))
+        shown = expected if len(kinds) == 1 else expected.cast("string")
+        entries.append(F.when(wrong[-1], F.struct(F.lit(item.name).alias("field"), shown.alias("expected"))))
+    return df.where(any_of(wrong)).select("*", F.inline(F.array_compact(F.array(*entries))))
 
 
 def freshness(df: DataFrame, timestamp: str, as_of: datetime | str, max_latency_minutes: int) -> DataFrame:
@@ -213,15 +217,25 @@ def freshness(df: DataFrame, timestamp: str, as_of: datetime | str, max_latency_
     )
 
 
-def load_gaps(df: DataFrame, timestamp: str, expected_interval_hours: int = 24) -> DataFrame:
-    """Neighbouring load days that lie further apart than the expected interval.
+def load_gaps(
+    df: DataFrame, timestamp: str, expected_interval_hours: int = 24, by: Sequence[str] = ()
+) -> DataFrame:
+    """Neighbouring loads that lie further apart than the expected interval, for each value of `by`.
 
-    The window runs in one task, over distinct days: a few thousand rows however large the table.
+    Moments are cut to the interval, in UTC. Without `by` the window runs in one task, over distinct
+    intervals with a load: a few thousand rows however large the table.
     """
-    days = df.select(F.to_date(named(timestamp)).alias("load_date")).na.drop().distinct()
-    previous = F.lag("load_date").over(W.orderBy("load_date"))
+    seconds = expected_interval_hours * 3600
+    cut = F.floor(F.unix_timestamp(named(timestamp).cast("timestamp")) / seconds) * seconds
+    loads = df.select(*map(named, by), cut.alias("load")).na.drop(subset=["load"]).distinct()
+    previous = F.lag("load").over(W.partitionBy(*map(named, by)).orderBy("load"))
     return (
-        days.withColumn("previous_date", previous)
-        .withColumn("gap_hours", F.datediff("load_date", "previous_date") * 24)
-        .where(F.col("gap_hours") > expected_interval_hours)
+        loads.withColumn("previous", previous)
+        .where(F.col("load") - F.col("previous") > seconds)
+        .select(
+            *map(named, by),
+            F.timestamp_seconds("load").alias("loaded_at"),
+            F.timestamp_seconds("previous").alias("previous_at"),
+            F.floor((F.col("load") - F.col("previous")) / 3600).alias("gap_hours"),
+        )
     )

@@ -1,85 +1,78 @@
-"""Rows whose key occurs more than once, without ever gathering a hot key in one task.
-
-The keys are counted first, over the key columns alone, and those that occur more than once are
-stored. Their stored size then decides how the rows are matched: Spark broadcasts the keys if there
-are few of them, so that the wide rows are not shuffled at all. Otherwise the keys that hold
-much of the table are split off: each of them holds more than 1/MAX_HOT_KEYS of the rows, so there
-are fewer than MAX_HOT_KEYS of them, and they can be broadcast. Only rows of the other keys, each of
-them small, meet in a shuffle join.
+"""Rows whose key occurs more than once, with the keys counted once for all that is done with them.
+
+The keys are counted over the key columns alone, and those that occur more than once are stored. How many
+rows they have, which rows go to quarantine and which go on is all read from that table. It is
+joined without a hint: Spark broadcasts it if its stored size is small, and the wide rows are not
+shuffled at all. If not, the join is one in which AQE splits a hot key (or the NULLs) over many tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lakestrata.functions.columns import any_of, named
-from lakestrata.session import scratch_dir
+from lakestrata.session import clear_scratch, scratch_dir
 
-MAX_HOT_KEYS = 20_000
-_ROWS = "_key_rows"
+ROWS = "_key_rows"
 
 
 def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows per non-NULL key: counted before the shuffle, so a hot key costs one row per task."""
-    return df.where(~_has_null(keys)).groupBy(*(named(key) for key in keys)).agg(F.count(F.lit(1)).alias(_ROWS))
+    return df.where(~_has_null(keys)).groupBy(*(named(key) for key in keys)).agg(F.count(F.lit(1)).alias(ROWS))
 
 
 def _has_null(keys: Sequence[str]) -> Column:
     return any_of([named(key).isNull() for key in keys])
 
 
-@dataclass(frozen=True)
 class DuplicatedKeys:
-    """Stored keys that occur more than once: `hot` ones, fewer than `MAX_HOT_KEYS`, and the others."""
-
-    hot: DataFrame | None
-    cold: DataFrame | None
-
-
-def duplicated_keys(df: DataFrame, keys: Sequence[str], max_hot_keys: int = MAX_HOT_KEYS) -> DuplicatedKeys:
-    """Count the keys of `df` (this runs a job) and store those that occur more than once."""
-    path = scratch_dir(df.sparkSession, "duplicated-keys")
-    rows = F.col(_ROWS)
-    seen = Observation()
-    counts = key_counts(df, keys).observe(
-        seen, F.sum(rows).alias("rows"), F.max(rows).alias("most"), F.min(F.when(rows > 1, rows)).alias("least")
-    )
-    counts.where(rows > 1).write.parquet(path)
-    found = seen.get
-    if not found.get("least"):
-        return DuplicatedKeys(None, None)
-    stored = df.sparkSession.read.schema(counts.schema).parquet(path)
-    limit = found["rows"] // max_hot_keys  # more rows than this make a key hot
-    hot = stored.where(rows > limit).drop(_ROWS) if found["most"] > limit else None
-    cold = stored.where(rows <= limit).drop(_ROWS) if found["least"] <= limit else None
-    return DuplicatedKeys(hot, cold)
-
-
-def rows_with_duplicated_key(df: DataFrame, keys: Sequence[str], max_hot_keys: int = MAX_HOT_KEYS) -> DataFrame:
-    """Every row whose key occurs more than once. NULL keys match nothing, so they are left out."""
-    found, keys = duplicated_keys(df, keys, max_hot_keys), list(keys)
-    if found.hot is None:
-        return df.where(F.lit(False)) if found.cold is None else df.join(found.cold, keys, "left_semi")
-    hot_rows = df.join(F.broadcast(found.hot), keys, "left_semi")
-    if found.cold is None:
-        return hot_rows
-    others = df.join(F.broadcast(found.hot), keys, "left_anti")
-    return hot_rows.unionByName(others.join(found.cold, keys, "left_semi"))
-
-
-def rows_without_duplicated_key(
-    df: DataFrame, keys: Sequence[str], within: DataFrame | None = None, max_hot_keys: int = MAX_HOT_KEYS
-) -> DataFrame:
-    """The other rows, those with a NULL key among them.
-
-    Duplicates are looked for in `within`, if given, of which `df` is a part. Should the rows be
-    shuffled at all, NULL keys meet in one partition, which AQE then splits.
+    """The duplicated keys of some rows. Each set of key columns is counted on its first use, by one job."""
+
+    def __init__(self, df: DataFrame):
+        self.df = df
+        self._found: dict[tuple[str, ...], tuple[DataFrame | None, int]] = {}
+        self._paths: list[str] = []
+
+    def _count(self, keys: Sequence[str]) -> tuple[DataFrame | None, int]:
+        keys = tuple(keys)
+        if keys not in self._found:
+            path = scratch_dir(self.df.sparkSession, "duplicated-keys")
+            self._paths.append(path)
+            seen = Observation()
+            counts = key_counts(self.df, keys).where(F.col(ROWS) > 1)
+            counts.observe(seen, F.sum(ROWS).alias("rows")).write.parquet(path)
+            rows = seen.get.get("rows") or 0
+            table = self.df.sparkSession.read.schema(counts.schema).parquet(path) if rows else None
+            self._found[keys] = table, rows
+        return self._found[keys]
+
+    def of(self, keys: Sequence[str]) -> DataFrame | None:
+        """The keys that occur more than once, and how often; None if there are none."""
+        return self._count(keys)[0]
+
+    def rows(self, keys: Sequence[str]) -> int:
+        """How many rows have such a key."""
+        return self._count(keys)[1]
+
+    def clear(self) -> None:
+        """Delete the stored keys."""
+        clear_scratch(self._paths)
+        self._paths, self._found = [], {}
+
+
+def rows_with_duplicated_key(df: DataFrame, keys: Sequence[str], duplicates: DuplicatedKeys | None = None) -> DataFrame:
+    """Every row whose key occurs more than once. NULL keys match nothing, so they are left out.
+
+    `duplicates` holds the keys of all rows, of which `df` may be a part; without it they are counted here.
     """
-    found, keys = duplicated_keys(df if within is None else within, keys, max_hot_keys), list(keys)
-    if found.hot is not None:
-        df = df.join(F.broadcast(found.hot), keys, "left_anti")
-    return df if found.cold is None else df.join(found.cold, keys, "left_anti")
+    found = (duplicates or DuplicatedKeys(df)).of(keys)
+    return df.where(F.lit(False)) if found is None else df.join(found.drop(ROWS), list(keys), "left_semi")
+
+
+def rows_without_duplicated_key(df: DataFrame, keys: Sequence[str], duplicates: DuplicatedKeys | None = None) -> DataFrame:
+    """The other rows, those with a NULL key among them."""
+    found = (duplicates or DuplicatedKeys(df)).of(keys)
+    return df if found is None else df.join(found.drop(ROWS), list(keys), "left_anti")

@@ -10,10 +10,11 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakestrata.functions.columns import hash_masked, named
-from lakestrata.sources.lake import drop_slices, overwrite_partitions, read_slices, slice_path
-from lakestrata.sources.storage import NULL_PARTITION, Files, partition_value
+from lakestrata.sources.lake import drop_slices, overwrite_partitions, partition_folders, partition_names, slice_path
+from lakestrata.sources.storage import NULL_PARTITION, Files
 
 # The layers of the lake.
 LAYERS = ("bronze", "silver", "gold")
@@ -91,39 +92,92 @@ def role_view(df: DataFrame, layer: str, policies: Sequence[RolePolicy], role: s
 
 
 def retained(df: DataFrame, day: Column, retention: Retention, as_of: date) -> DataFrame:
-    """Rows young enough to keep. On a partition column this prunes the expired folders."""
-    return df.where(day >= F.lit(retention.cutoff(as_of)))
+    """Rows young enough to keep, those without a day among them. On a partition column this prunes folders."""
+    return df.where(day.isNull() | (day >= F.lit(retention.cutoff(as_of))))
 
 
 def expired(df: DataFrame, day: Column, retention: Retention, as_of: date) -> DataFrame:
     return df.where(day < F.lit(retention.cutoff(as_of)))
 
 
-def partition_days(spark: SparkSession, path: str, column: str) -> dict[date, str]:
-    """Day partitions `column=yyyy-MM-dd` of a table, by listing folders; no file is opened."""
-    found = Files(spark).glob(slice_path(path, {column: "*"}))
-    values = {partition_value(item, column): item for item in found}
-    return {date.fromisoformat(value): item for value, item in values.items() if value != NULL_PARTITION}
+def partition_days(spark: SparkSession, path: str, columns: str | Sequence[str]) -> dict[date, str]:
+    """Day partitions of a table, by listing folders; no file is opened.
 
-
-def drop_expired(spark: SparkSession, path: str, column: str, retention: Retention, as_of: date) -> list[date]:
+    `columns` are the outermost partition columns: one that holds dates, or year, month and day.
+    """
+    columns = [columns] if isinstance(columns, str) else list(columns)
+    names = partition_names(spark, path)
+    if names and names[: len(columns)] != columns:
+        raise ValueError(f"{path} is partitioned by {', '.join(names)}, not by {', '.join(columns)}")
+    days = {}
+    for values, folder in partition_folders(spark, path, columns).items() if names else ():
+        if NULL_PARTITION not in values:
+            days[date.fromisoformat(values[0]) if len(values) == 1 else date(*map(int, values))] = folder
+    return days
+
+
+def drop_expired(
+    spark: SparkSession, path: str, columns: str | Sequence[str], retention: Retention, as_of: date
+) -> list[date]:
     """Delete the expired day partitions whole; what is kept is neither read nor rewritten."""
     cutoff = retention.cutoff(as_of)
-    old = {day: item for day, item in partition_days(spark, path, column).items() if day < cutoff}
+    old = {day: item for day, item in partition_days(spark, path, columns).items() if day < cutoff}
     drop_slices(spark, list(old.values()))
     return sorted(old)
 
 
+# Notes of archive runs that are not finished; Spark does not read folders with such names.
+COPYING, COPIED = "_copying", "_copied"
+
+
 def archive_expired(
-    spark: SparkSession, path: str, archive_path: str, column: str, retention: Retention, as_of: date
+    spark: SparkSession,
+    path: str,
+    archive_path: str,
+    columns: str | Sequence[str],
+    retention: Retention,
+    as_of: date,
 ) -> list[date]:
-    """Move the expired day partitions to the archive: copied first, dropped when that is done."""
+    """Move the expired day partitions to the archive: copied first, dropped when that is done.
+
+    Every run adds a folder `run=...` of its own, so rows that come late are added to what the archive
+    holds. A run that died is settled by the next one: what it had copied and not dropped is dropped
+    if it is still the same, and otherwise left to be archived again.
+    """
+    archive = archive_path.rstrip("/")
+    _settle_archive(spark, path, archive)
     cutoff = retention.cutoff(as_of)
-    old = sorted(day for day in partition_days(spark, path, column) if day < cutoff)
-    if old:
-        rows = read_slices(spark, path, [{column: day.isoformat()} for day in old])
-        overwrite_partitions(rows, archive_path, [column], clustered=True)
-    return drop_expired(spark, path, column, retention, as_of)
+    old = {day: item for day, item in partition_days(spark, path, columns).items() if day < cutoff}
+    if not old:
+        return []
+    files = Files(spark)
+    number = len(files.glob(f"{archive}/run={as_of.isoformat()}-*"))
+    run = f"run={as_of.isoformat()}-{number:04d}"
+    names = partition_names(spark, path)
+    files.make_folders([f"{archive}/{COPYING}/{run}"])
+    overwrite_partitions(read_as_text(spark, path, list(old.values())), f"{archive}/{run}", names, clustered=True)
+    files.make_folders([f"{archive}/{COPIED}/{run}"])
+    files.delete(f"{archive}/{COPYING}/{run}")
+    drop_slices(spark, list(old.values()))
+    files.delete(f"{archive}/{COPIED}/{run}")
+    return sorted(old)
+
+
+def _settle_archive(spark: SparkSession, path: str, archive: str) -> None:
+    """Undo a copy that was not completed, and go on where a completed one was not followed by the drop."""
+    files = Files(spark)
+    done = {item.rsplit("/", 1)[1] for item in files.folders(f"{archive}/{COPIED}")}
+    for run in {item.rsplit("/", 1)[1] for item in files.folders(f"{archive}/{COPYING}")} - done:
+        drop_slices(spark, [f"{archive}/{run}", f"{archive}/{COPYING}/{run}"])
+    for run in sorted(done):
+        names = partition_names(spark, f"{archive}/{run}")
+        copied = partition_folders(spark, f"{archive}/{run}", names)
+        there = partition_folders(spark, path, names) if names == partition_names(spark, path) else {}
+        for values in sorted(set(copied) & set(there)):
+            now, then = (spark.read.parquet(folder).count() for folder in (there[values], copied[values]))
+            # more rows than were copied: late ones, so the whole partition is to be archived again
+            files.delete(copied[values] if now > then else there[values])
+        drop_slices(spark, [f"{archive}/{COPYING}/{run}", f"{archive}/{COPIED}/{run}"])
 
 
 def erase(df: DataFrame, subjects: DataFrame, key: str) -> DataFrame:
@@ -136,27 +190,41 @@ def erase(df: DataFrame, subjects: DataFrame, key: str) -> DataFrame:
     return df.join(listed, key, "left_anti").select(*map(named, df.columns))
 
 
-def erase_from_table(spark: SparkSession, path: str, subjects: DataFrame, key: str, column: str) -> list[str]:
-    """Erase data subjects from a table partitioned by a date column; returns the changed partitions.
+def read_as_text(spark: SparkSession, path: str, folders: Sequence[str] | None = None) -> DataFrame:
+    """A table, or some of its folders, with partition values as the text in the folder names (`month=05` stays `05`)."""
+    names = partition_names(spark, path)
+    typed = spark.read.option("basePath", path).parquet(*(folders or [path])).schema
+    schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name in names else f for f in typed.fields])
+    return spark.read.schema(schema).option("basePath", path).parquet(*(folders or [path]))
+
+
+def erase_from_table(spark: SparkSession, path: str, subjects: DataFrame, key: str) -> list[dict[str, str]]:
+    """Erase data subjects from a partitioned table; returns the changed partitions.
 
-    A first pass over the key alone finds the partitions with rows to erase. Only those are
-    rewritten, and those without any other row are dropped, which an overwrite would leave as is.
+    A first pass over the key alone finds the partitions with rows to erase, by all partition columns the
+    folders have. Only those are rewritten, in the same layout, and those without any other row are
+    dropped, which an overwrite would leave as is.
     """
+    names = partition_names(spark, path)
+    if not names:
+        raise ValueError(f"{path} is not a partitioned table")
     listed = subjects.select(named(key)).na.drop()
-    matched = spark.read.parquet(path).join(listed, key, "left_semi")
-    hits = _rows_per_partition(matched, column)
+    hits = _rows_per_partition(read_as_text(spark, path).join(listed, key, "left_semi"), names)
     if not hits:
         return []
-    touched = read_slices(spark, path, [{column: value} for value in hits])
-    rows = _rows_per_partition(touched, column)  # counted from the file footers
-    emptied = [value for value in hits if hits[value] == rows[value]]
+    folders = partition_folders(spark, path, names)
+    touched = read_as_text(spark, path, [folders[values] for values in hits])
+    rows = _rows_per_partition(touched, names)  # counted from the file footers
+    emptied = [values for values in hits if hits[values] == rows[values]]
     if len(emptied) < len(hits):
-        overwrite_partitions(erase(touched, subjects, key), path, [column], clustered=True)
-    drop_slices(spark, [slice_path(path, {column: value}) for value in emptied])
-    return sorted(hits)
+        # rebalanced by partition: behind a shuffled join the rows lie by subject
+        overwrite_partitions(erase(touched, subjects, key), path, names)
+    drop_slices(spark, [folders[values] for values in emptied])
+    return [dict(zip(names, values)) for values in sorted(hits)]
 
 
-def _rows_per_partition(df: DataFrame, column: str) -> dict[str, int]:
+def _rows_per_partition(df: DataFrame, names: Sequence[str]) -> dict[tuple[str, ...], int]:
     # One row per partition of the table reaches the driver.
-    value = F.coalesce(named(column).cast("string"), F.lit(NULL_PARTITION)).alias("value")
-    return {row["value"]: row["rows"] for row in df.groupBy(value).agg(F.count(F.lit(1)).alias("rows")).collect()}
+    values = [F.coalesce(named(name), F.lit(NULL_PARTITION)).alias(name) for name in names]
+    counts = df.groupBy(*values).agg(F.count(F.lit(1)).alias("_rows"))
+    return {tuple(row[name] for name in names): row["_rows"] for row in counts.collect()}

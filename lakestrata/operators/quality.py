@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lakestrata.functions.columns import any_of, named
-from lakestrata.operators.duplicates import rows_with_duplicated_key, rows_without_duplicated_key
+from lakestrata.operators.duplicates import ROWS, DuplicatedKeys, rows_with_duplicated_key, rows_without_duplicated_key
 from lakestrata.sources.lake import overwrite_slice, read_slices, slice_path
 from lakestrata.sources.storage import Files
 
@@ -84,30 +84,62 @@ class Rule:
 
 
 class DataQualityError(Exception):
-    """The data are not good enough to go on; `results` holds the rule results."""
+    """A layer of a pipeline is not good enough on some day to go on."""
 
-    def __init__(self, message: str, results: Sequence[Row] = ()):
-        super().__init__(message)
-        self.results = list(results)
+    def __init__(self, pipeline_id: str, layer: str, day: str, results: Sequence[Row] = ()):
+        self.pipeline_id, self.layer, self.day, self.results = pipeline_id, layer, day, list(results)
+        failed = ", ".join(row["rule_id"] for row in self.results if SEVERITY[row["status"]] == 2)
+        super().__init__(f"{pipeline_id}: the check of {layer} on {day} failed" + (f" ({failed})" if failed else ""))
 
 
-def rules_for(config: Mapping[str, Any], layer: str) -> list[Rule]:
-    """The rules of a rule document that apply to a layer.
+@dataclass(frozen=True)
+class Profile:
+    """Rules that belong together, and the layers they are meant for (None: all)."""
 
-    A profile governs its own rules; rules listed beside the profiles are in scope when any profile
-    covers the layer. A document without profiles applies to every layer.
-    """
-    if "quality_profile" in config:
-        profiles = [config["quality_profile"]]
-    elif isinstance(config.get("quality_profiles"), list):
-        profiles = config["quality_profiles"]
-    else:
-        profiles = [{}]
-    in_scope = [profile for profile in profiles if layer in profile.get("scope", [layer])]
-    rules = [rule for profile in in_scope for rule in profile.get("rules", [])]
-    if in_scope:
-        rules += config.get("rules", [])
-    return [Rule.from_dict(rule) for rule in rules]
+    rules: tuple[Rule, ...]
+    layers: frozenset[str] | None
+
+    def covers(self, layer: str) -> bool:
+        return self.layers is None or layer in self.layers
+
+
+@dataclass(frozen=True)
+class RuleDocument:
+    """A rule document: its profiles, and the rules that stand beside them."""
+
+    profiles: tuple[Profile, ...]
+    common: tuple[Rule, ...]
+    allow_partial_success: bool = False
+
+    @classmethod
+    def from_dict(cls, document: Mapping[str, Any]) -> RuleDocument:
+        single, several = document.get("quality_profile"), document.get("quality_profiles")
+        listed = several if isinstance(several, list) else []
+        handling = document.get("global_config", {}).get("error_handling", {})
+
+        def rules(holder: Mapping[str, Any]) -> tuple[Rule, ...]:
+            return tuple(map(Rule.from_dict, holder.get("rules", ())))
+
+        return cls(
+            profiles=tuple(
+                Profile(rules(item), frozenset(item["scope"]) if "scope" in item else None)
+                for item in (listed if single is None else [single])
+            ),
+            common=rules(document),
+            allow_partial_success=bool(handling.get("allow_partial_success", False)),
+        )
+
+    def rules(self, layer: str) -> list[Rule]:
+        """The rules for a layer. Common ones need a profile that covers it, if there are profiles."""
+        covering = [profile for profile in self.profiles if profile.covers(layer)]
+        if self.profiles and not covering:
+            return []
+        return [rule for profile in covering for rule in profile.rules] + list(self.common)
+
+
+def rules_for(document: Mapping[str, Any], layer: str) -> list[Rule]:
+    """The rules of a rule document that apply to a layer."""
+    return RuleDocument.from_dict(document).rules(layer)
 
 
 def is_broken(df: DataFrame, rule: Rule) -> bool:
@@ -128,11 +160,14 @@ def evaluate(
     pipeline_id: str,
     target_layer: str,
     processing_date: str | Column,
+    duplicates: DuplicatedKeys | None = None,
+    day_column: str | None = None,
 ) -> DataFrame:
     """One graded row per rule; with a date column instead of a date, one per rule and day.
 
-    All row rules share one aggregate over the columns they need; each uniqueness key adds one
-    grouped count. Nothing is cached and no rows but the counters leave the tasks.
+    All row rules share one aggregate over the columns they need. Each uniqueness key adds one grouped
+    count, unless `duplicates` brings the stored keys (counted within `day_column`, if days are checked).
+    Nothing is cached and no rows but the counters leave the tasks.
     """
     by_day = isinstance(processing_date, Column)
     checked = df.withColumn(_DAY, processing_date) if by_day else df
@@ -140,13 +175,18 @@ def evaluate(
 
     broken = {rule.rule_id for rule in rules if is_broken(df, rule)}
     unique = [rule for rule in rules if rule.unique_key and rule.rule_id not in broken]
-    counted = [rule for rule in rules if rule not in unique]
-
-    parts = [_count_rows(checked, by, counted, broken)] if counted else []
-    parts += [
-        _count_duplicates(checked, by, key, [rule for rule in unique if rule.unique_key == key])
-        for key in dict.fromkeys(rule.unique_key for rule in unique)
-    ]
+    shared = [rule for rule in rules if rule not in unique or duplicates]
+    known = {
+        rule.rule_id: _known_failing(duplicates, rule.unique_key, day_column if by_day else None)
+        for rule in unique
+        if duplicates
+    }
+    parts = [_count_rows(checked, by, shared, broken, known)] if shared else []
+    if not duplicates:
+        parts += [
+            _count_duplicates(checked, by, key, [rule for rule in unique if rule.unique_key == key])
+            for key in dict.fromkeys(rule.unique_key for rule in unique)
+        ]
     if not parts:
         return _graded(_count_rows(checked, by, [], broken), pipeline_id, target_layer, processing_date)
     results = parts[0]
@@ -155,15 +195,41 @@ def evaluate(
     return _graded(results, pipeline_id, target_layer, processing_date)
 
 
-def _count_rows(df: DataFrame, by: list[str], rules: list[Rule], broken: set[str]) -> DataFrame:
-    counters, entries = [], []
+def _known_failing(duplicates: DuplicatedKeys, key: str, day_column: str | None) -> int | DataFrame:
+    """Rows with a duplicated key: a number, or one per day."""
+    if day_column is None:
+        return duplicates.rows([key])
+    found = duplicates.of([day_column, key])
+    if found is None:
+        return 0
+    return found.groupBy(named(day_column).alias(_DAY)).agg(F.sum(ROWS).alias("_failing"))
+
+
+def _count_rows(
+    df: DataFrame,
+    by: list[str],
+    rules: list[Rule],
+    broken: set[str],
+    known: Mapping[str, int | DataFrame] | None = None,
+) -> DataFrame:
+    counters, entries, joined = [], [], []
     for position, rule in enumerate(rules):
-        failing = None if rule.rule_id in broken else rule.failing()
-        kind = "broken" if rule.rule_id in broken else "skip" if failing is None else "check"
-        if failing is not None:
+        found = (known or {}).get(rule.rule_id)
+        failing = None if rule.rule_id in broken or found is not None else rule.failing()
+        kind = "broken" if rule.rule_id in broken else "skip" if failing is None and found is None else "check"
+        number = F.lit(0)
+        if isinstance(found, DataFrame):
+            joined.append(found.withColumnRenamed("_failing", f"_failing_{position}"))
+            number = F.coalesce(F.col(f"_failing_{position}"), F.lit(0))
+        elif found is not None:
+            number = F.lit(found)
+        elif failing is not None:
             counters.append(F.count_if(failing).alias(f"_failing_{position}"))
-        entries.append(_entry(rule, kind, F.lit(0) if failing is None else F.col(f"_failing_{position}")))
+            number = F.col(f"_failing_{position}")
+        entries.append(_entry(rule, kind, number))
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("total_records"), *counters)
+    for table in joined:  # a row per day on either side
+        counts = counts.join(table, by, "left")
     if not entries:
         none = Rule("", "")
         return counts.select(*by, "total_records", F.inline(F.array(_entry(none, "skip", F.lit(0))))).where(F.lit(False))
@@ -217,20 +283,27 @@ def _graded(results: DataFrame, pipeline_id: str, target_layer: str, processing_
     )
 
 
-def run_rules(df: DataFrame, rules: Sequence[Rule], pipeline_id: str, target_layer: str, day: str) -> list[Row]:
+def run_rules(
+    df: DataFrame,
+    rules: Sequence[Rule],
+    pipeline_id: str,
+    target_layer: str,
+    day: str,
+    duplicates: DuplicatedKeys | None = None,
+) -> list[Row]:
     """Evaluate and fetch the results, one row per rule.
 
     A condition that fails only on some value (a bad cast, say) would take the shared pass down
     with it. Then every rule runs by itself and only the broken one is an EXECUTION_ERROR.
     """
     try:
-        return evaluate(df, rules, pipeline_id, target_layer, day).collect()
+        return evaluate(df, rules, pipeline_id, target_layer, day, duplicates).collect()
     except PySparkException:
         total = df.count()  # input that cannot be read at all is no rule's fault
     results = []
     for rule in rules:
         try:
-            results += evaluate(df, [rule], pipeline_id, target_layer, day).collect()
+            results += evaluate(df, [rule], pipeline_id, target_layer, day, duplicates).collect()
         except PySparkException:
             results.append(
                 Row(
@@ -286,11 +359,13 @@ def must_abort(results: Sequence[Row], rules: Sequence[Rule], allow_partial_succ
     return not allow_partial_success or any(r["status"] == "ERROR" and r["rule_id"] in asking for r in results)
 
 
-def failing_rows(df: DataFrame, rules: Sequence[Rule], day_column: str | None = None) -> DataFrame:
+def failing_rows(
+    df: DataFrame, rules: Sequence[Rule], day_column: str | None = None, duplicates: DuplicatedKeys | None = None
+) -> DataFrame:
     """The rows that fail, with the `rule_id` they fail; a row failing two rules comes twice.
 
-    A uniqueness rule counts its keys here and now. Rules that cannot be resolved or have no test
-    yield nothing. With `day_column`, keys must be unique within a day only.
+    Without `duplicates`, a uniqueness rule counts its keys here and now. Rules that cannot be resolved or
+    have no test yield nothing. With `day_column`, keys must be unique within a day only.
     """
     usable = [rule for rule in rules if not is_broken(df, rule)]
     row_rules = [(rule.rule_id, rule.failing()) for rule in usable if rule.failing() is not None]
@@ -303,7 +378,7 @@ def failing_rows(df: DataFrame, rules: Sequence[Rule], day_column: str | None =
     for rule in usable:
         if rule.unique_key:
             keys = [day_column, rule.unique_key] if day_column else [rule.unique_key]
-            parts.append(rows_with_duplicated_key(df, keys).withColumn("rule_id", F.lit(rule.rule_id)))
+            parts.append(rows_with_duplicated_key(df, keys, duplicates).withColumn("rule_id", F.lit(rule.rule_id)))
     if not parts:
         return df.withColumn("rule_id", F.lit("")).where(F.lit(False))
     result = parts[0]
@@ -312,14 +387,19 @@ def failing_rows(df: DataFrame, rules: Sequence[Rule], day_column: str | None =
     return result
 
 
-def passing_rows(df: DataFrame, rules: Sequence[Rule], day_column: str | None = None) -> DataFrame:
+def passing_rows(
+    df: DataFrame, rules: Sequence[Rule], day_column: str | None = None, duplicates: DuplicatedKeys | None = None
+) -> DataFrame:
     """The rows that fail none of the rules."""
     usable = [rule for rule in rules if not is_broken(df, rule)]
     row_rules = [failing for rule in usable if (failing := rule.failing()) is not None]
     result = df.where(~F.coalesce(any_of(row_rules), F.lit(False))) if row_rules else df
-    for key in dict.fromkeys(rule.unique_key for rule in usable if rule.unique_key):
+    unique = dict.fromkeys(rule.unique_key for rule in usable if rule.unique_key)
+    if unique and duplicates is None:
+        duplicates = DuplicatedKeys(df)  # of all rows, not of those that passed so far
+    for key in unique:
         keys = [day_column, key] if day_column else [key]
-        result = rows_without_duplicated_key(result, keys, within=df)
+        result = rows_without_duplicated_key(result, keys, duplicates)
     return result
 
 
@@ -333,7 +413,15 @@ def quarantine_due(results: Sequence[Row], rules: Sequence[Rule]) -> list[Row]:
     ]
 
 
-def quarantine(df: DataFrame, rules: Sequence[Rule], results: Sequence[Row], path: str, layer: str, day: str) -> int:
+def quarantine(
+    df: DataFrame,
+    rules: Sequence[Rule],
+    results: Sequence[Row],
+    path: str,
+    layer: str,
+    day: str,
+    duplicates: DuplicatedKeys | None = None,
+) -> int:
     """Copy the failing rows of the rules whose outcome asks for it; a rerun replaces them."""
     asked = {row["rule_id"] for row in quarantine_due(results, rules)}
     chosen = [rule for rule in rules if rule.rule_id in asked]
@@ -341,7 +429,7 @@ def quarantine(df: DataFrame, rules: Sequence[Rule], results: Sequence[Row], pat
     if not chosen:
         Files(df.sparkSession).delete(slice_path(path, parts))
         return 0
-    return overwrite_slice(failing_rows(df, chosen), path, parts, ["rule_id"])
+    return overwrite_slice(failing_rows(df, chosen, duplicates=duplicates), path, parts, ["rule_id"])
 
 
 def save_results(results: DataFrame, path: str, layer: str, day: str) -> int:
@@ -349,13 +437,18 @@ def save_results(results: DataFrame, path: str, layer: str, day: str) -> int:
     return overwrite_slice(results, path, {"target_layer": layer, "processing_date": day})
 
 
-def gate(spark: SparkSession, path: str, layer: str, day: str) -> str:
-    """The stored status of a layer and date: PASS, WARNING, ERROR, or UNKNOWN without results."""
+def stored_results(spark: SparkSession, path: str, layer: str, day: str) -> list[Row]:
+    """The stored results of a layer and date, one row per rule; none if it was not checked."""
     parts = {"target_layer": layer, "processing_date": day}
     if not Files(spark).exists(slice_path(path, parts)):
-        return "UNKNOWN"
-    stored = read_slices(spark, path, [parts]).select("status").distinct().collect()
-    return overall_status(stored) if stored else "UNKNOWN"
+        return []
+    return read_slices(spark, path, [parts]).collect()
+
+
+def gate(spark: SparkSession, path: str, layer: str, day: str) -> str:
+    """The stored status of a layer and date: PASS, WARNING, ERROR, or UNKNOWN without results."""
+    found = stored_results(spark, path, layer, day)
+    return overall_status(found) if found else "UNKNOWN"
 
 
 def gates(results: DataFrame) -> DataFrame:

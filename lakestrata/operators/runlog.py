@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 from typing import Any
 
@@ -22,6 +22,19 @@ EVENT_SCHEMA = (
 PARTITIONS = ["domain", "pipeline_id", "year", "month", "day"]
 
 
+@dataclass(frozen=True)
+class Failure:
+    """What the log keeps of an error."""
+
+    error: str
+    text: str
+    rules: list[dict[str, Any]] = field(default_factory=list)
+
+    @classmethod
+    def of(cls, error: Exception) -> Failure:
+        return cls(type(error).__name__, str(error), [row.asDict() for row in getattr(error, "results", ())])
+
+
 @dataclass
 class RunLog:
     """Events of one execution, kept until `flush` appends them to the log table in one write."""
@@ -52,6 +65,10 @@ class RunLog:
             )
         )
 
+    def failure(self, step_name: str, error: Exception, **details: Any) -> None:
+        """Leave a FAILED event that tells the error, and the rule results it carries."""
+        self.event(step_name, "FAILED", {**details, **asdict(Failure.of(error))})
+
     def flush(self, spark: SparkSession, path: str) -> int:
         if not self.events:
             return 0

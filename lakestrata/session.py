@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
-from urllib.parse import urlparse
+from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 
@@ -25,7 +22,7 @@ LARGE_INPUT_SETTINGS = {
 TARGET_SHUFFLE_BYTES = 256 * 1024 * 1024
 
 _scratch: list[tuple[SparkSession, str]] = []
-_local_root: list[str] = []
+_named: dict[str, str] = {}
 
 
 def use_utc(spark: SparkSession) -> SparkSession:
@@ -35,7 +32,10 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def tune_for(spark: SparkSession, shuffle_bytes: int) -> SparkSession:
-    """Apply the large-input settings, with enough shuffle partitions for `shuffle_bytes`."""
+    """Apply the large-input settings, with enough shuffle partitions for `shuffle_bytes`.
+
+    The program that makes the session calls this, as it knows the cluster; no job changes these settings.
+    """
     for key, value in LARGE_INPUT_SETTINGS.items():
         spark.conf.set(key, value)
     partitions = max(200, -(-shuffle_bytes // TARGET_SHUFFLE_BYTES))
@@ -43,17 +43,22 @@ def tune_for(spark: SparkSession, shuffle_bytes: int) -> SparkSession:
     return spark
 
 
+def use_folder(spark: SparkSession, path: str) -> None:
+    """Name the shared folder of a session that has no `spark.checkpoint.dir`, as tests and checks do."""
+    _named[spark.sparkContext.applicationId] = path.rstrip("/")
+
+
+def has_folder(spark: SparkSession) -> bool:
+    """Whether the session names a shared folder."""
+    return bool(spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.applicationId in _named)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by `spark.checkpoint.dir`; a local one is made only in local mode."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    """The folder named by `spark.checkpoint.dir`, else the one named by `use_folder`."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or _named.get(spark.sparkContext.applicationId)
+    if not configured:
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    if not _local_root:
-        _local_root.append(tempfile.mkdtemp(prefix="lakestrata-"))
-        atexit.register(shutil.rmtree, _local_root[0], ignore_errors=True)
-    return _local_root[0]
+    return configured.rstrip("/")
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -63,17 +68,9 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
-def clear_scratch() -> None:
-    """Delete the scratch folders of this process; call it when the results have been read."""
-    while _scratch:
-        spark, path = _scratch.pop()
-        Files(spark).delete(path)
-
-
-def _clear_local_scratch() -> None:
-    for spark, path in _scratch:
-        if urlparse(path).scheme in ("", "file"):
-            shutil.rmtree(urlparse(path).path, ignore_errors=True)
-
-
-atexit.register(_clear_local_scratch)
+def clear_scratch(paths: Sequence[str] | None = None) -> None:
+    """Delete scratch folders, all of this process or the given ones; call it when the results have been read."""
+    for spark, path in list(_scratch):
+        if paths is None or path in paths:
+            _scratch.remove((spark, path))
+            Files(spark).delete(path)

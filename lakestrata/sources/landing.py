@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakestrata.sources.storage import Files
+from lakestrata.sources.storage import LISTING_THREADS, Files
 
 
 def days_between(first: date, last: date) -> list[date]:
@@ -78,6 +80,47 @@ def read_files(
     raise ValueError(f"unsupported input format: {file_format}")
 
 
+def read_mixed(
+    spark: SparkSession, paths: Sequence[str], schema: T.StructType, corrupt_column: str | None = None
+) -> DataFrame:
+    """CSV files whose headers differ in order or number of columns: one read for each header, united by name.
+
+    The header line of every file is read, many at a time; columns that a file lacks are NULL.
+    """
+    files = Files(spark)
+    every = [name for path in paths for name in (files.glob(path.rstrip("/") + "/*") or [path])]
+    every = [name for name in every if not name.rsplit("/", 1)[1].startswith(("_", "."))]
+    with ThreadPoolExecutor(LISTING_THREADS) as pool:
+        headers = pool.map(lambda name: tuple(spark.read.option("header", True).csv(name).columns), every)
+        groups: dict[tuple[str, ...], list[str]] = {}
+        for name, header in zip(every, headers):
+            groups.setdefault(header, []).append(name)
+    # a file without a line has no header and no rows
+    parts = [read_files(spark, names, "csv", schema, corrupt_column) for header, names in groups.items() if header]
+    if not parts:
+        return spark.createDataFrame([], _with_corrupt(schema, corrupt_column))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def lost_cells(df: DataFrame, corrupt_column: str, file_format: str) -> dict[str, Column]:
+    """For each column, true where the raw line holds a value that did not parse.
+
+    `df` comes from `read_files` with that corrupt column; its columns are in the order of the header.
+    """
+    raw = T.StructType([T.StructField(f.name, T.StringType()) for f in df.schema.fields if f.name != corrupt_column])
+    line = F.col(corrupt_column)
+    if file_format == "csv":
+        parsed = F.from_csv(line, ", ".join(f"`{name}` string" for name in raw.names), {"mode": "PERMISSIVE"})
+    elif file_format == "json":
+        parsed = F.from_json(line, raw)
+    else:
+        return {}
+    return {
+        name: line.isNotNull() & parsed.getField(name).isNotNull() & (parsed.getField(name) != "") & F.col(f"`{name}`").isNull()
+        for name in raw.names
+    }
+
+
 def _shown(paths: list[str]) -> str:
     return paths[0] if len(paths) == 1 else f"{paths[0]} and {len(paths) - 1} more"
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
+from datetime import date
+from urllib.parse import unquote
 
 from pyspark.sql import SparkSession
 
@@ -41,6 +43,13 @@ class Files:
         with ThreadPoolExecutor(LISTING_THREADS) as pool:
             return [path for found in pool.map(self.glob, patterns) for path in found]
 
+    def folders(self, path: str) -> list[str]:
+        """The folders right below a path; none if it does not exist."""
+        fs, located = self._open(path)
+        if not fs.exists(located):
+            return []
+        return sorted(str(status.getPath()) for status in fs.listStatus(located) if status.isDirectory())
+
     def make_folders(self, paths: Iterable[str]) -> None:
         for path in paths:
             fs, located = self._open(path)
@@ -52,9 +61,25 @@ class Files:
 
 
 def partition_value(path: str, column: str) -> str:
-    """The value of `column` in a path such as `.../order_date=2025-05-05/...`."""
-    for part in path.split("/"):
-        name, _, value = part.partition("=")
-        if name == column:
-            return value
+    """The value of `column` in a path such as `.../order_date=2025-05-05/...`, the innermost if there are several."""
+    for part in reversed(path.split("/")):
+        name, equals, value = part.partition("=")
+        if equals and name == column:
+            return unquote(value)
     raise ValueError(f"no partition {column} in {path}")
+
+
+def day_value(path: str, column: str) -> date | None:
+    """The date that a day partition stands for, None for that of rows without one."""
+    value = partition_value(path, column)
+    return None if value == NULL_PARTITION else date.fromisoformat(value)
+
+
+def day_name(day: date | None) -> str:
+    """The folder value of a day partition."""
+    return NULL_PARTITION if day is None else day.isoformat()
+
+
+def in_order(days: Iterable[date | None]) -> list[date | None]:
+    """Days by date, the one that stands for rows without a date last."""
+    return sorted(days, key=lambda day: (day is None, day))

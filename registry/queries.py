@@ -6,7 +6,9 @@ text, so that both engines hand out the same types.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +32,10 @@ from lakestrata.operators.steps import (
 from lakestrata.plans import sales as domain
 from lakestrata.plans.backfill import run_days
 from lakestrata.plans.daily import DailyJob
-from lakestrata.session import scratch_dir, use_utc
+from lakestrata.plans.documents import job_from_documents, step_from_template
+from lakestrata.plans.stewardship import erase_from_lake as erase_everywhere
+from lakestrata.plans.stewardship import retain_lake
+from lakestrata.session import has_folder, scratch_dir, use_folder, use_utc
 from lakestrata.sources import lake, landing
 from registry.sales_view import GOLD_SQL, SALES_SQL, SILVER_SQL, sales, table
 
@@ -44,6 +49,8 @@ AS_OF = "2024-02-14 12:00:00"
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
     def register(function: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            if not has_folder(spark) and spark.sparkContext.master.startswith("local"):
+                use_folder(spark, tempfile.mkdtemp(prefix="lakestrata-"))  # a local check that names none
             return function(use_utc(spark), sf_dir)
 
         QUERIES[name or function.__name__] = run
@@ -377,13 +384,42 @@ def sql_step_bound(spark, sf_dir):
 
 @query(f"""
 WITH {SALES_SQL}
-SELECT order_id, CAST(CAST(unit_price_brl / 2.5 AS DECIMAL(18,2)) AS DOUBLE) AS converted FROM sales""")
+SELECT order_id, CAST(unit_price_brl * 1.25 AS DOUBLE) AS raised FROM sales WHERE status <> 'shipped'""")
 def template_step_bound(spark, sf_dir):
     step = template_step(
-        "SELECT *, CAST( `{source}` / {rate} AS DECIMAL(18,2) ) AS `{target}` FROM {input_view_or_df}",
-        {"source": "unit_price_brl", "target": "converted", "rate": 2.5},
+        "SELECT order_id, `{amount}` * {factor} AS `{raised}` FROM {input_view_or_df} WHERE `{state}` <> {skipped}",
+        {"amount": "unit_price_brl", "factor": 1.25, "raised": "raised", "state": "status", "skipped": "shipped"},
     )
-    return shown(step(sales(spark, sf_dir)).select("order_id", "converted"))
+    return shown(step(sales(spark, sf_dir)))
+
+
+COUNT_TEMPLATE = {
+    "logic": {
+        "sql_template": "SELECT {group_by_clause}, {aggregation_clause} FROM {input_view_or_df} "
+        "WHERE quantity > 0 AND `{timestamp_column_for_date}` < TIMESTAMP '1997-01-01' GROUP BY {group_by_clause}"
+    }
+}
+
+
+@query(f"""
+WITH {SALES_SQL}
+SELECT status, customer_email, CAST(SUM(quantity) AS BIGINT) AS pieces, COUNT(unit_price_brl) AS priced, MAX(order_id) AS last_order
+FROM sales WHERE quantity > 0 AND order_timestamp < TIMESTAMP '1997-01-01' GROUP BY 1, 2""")
+def agg_template_where(spark, sf_dir):
+    """The SQL of an aggregate template is run, its filter too."""
+    columns = {"pieces": ("quantity", "sum"), "priced": ("unit_price_brl", "count"), "last_order": ("order_id", "max")}
+    step = step_from_template(
+        COUNT_TEMPLATE,
+        {
+            "group_by_columns": ["status", "customer_email"],
+            "aggregation_specs": [
+                {"source_column": source, "function": function, "target_column": target}
+                for target, (source, function) in columns.items()
+            ],
+            "timestamp_column_for_date": "order_timestamp",
+        },
+    )
+    return step(sales(spark, sf_dir))
 
 
 @query(f"""
@@ -564,6 +600,48 @@ def dq_gate(spark, sf_dir):
     return quality.gates(stored).select("processing_date", "decision").join(rules, "processing_date")
 
 
+@query(f"""
+WITH {SALES_SQL}, {MONTHLY_GRADES}
+SELECT day AS processing_date, CASE MAX(severity) WHEN 2 THEN 'ERROR' WHEN 1 THEN 'WARNING' ELSE 'PASS' END AS status
+FROM ranked GROUP BY day""")
+def dq_gate_stored(spark, sf_dir):
+    """The gate as a job asks it, for every month with stored results."""
+    path = scratch_dir(spark, "dq-gate")
+    lake.overwrite_partitions(_monthly_results(spark, sf_dir), path, ["target_layer", "processing_date"])
+    stored = spark.read.parquet(path).select("target_layer", "processing_date").distinct().collect()
+    found = [(day, quality.gate(spark, path, layer, str(day))) for layer, day in stored]
+    return spark.createDataFrame(found, "processing_date date, status string")
+
+
+@query(f"""
+WITH {SALES_SQL}, few AS (SELECT * FROM sales WHERE quantity > 1000000),
+{graded_sql(RULE_COUNTS.replace("FROM sales", "FROM few"))}
+SELECT * FROM graded""")
+def dq_empty_input(spark, sf_dir):
+    """Without rows every rule passes."""
+    none = sales(spark, sf_dir).where("quantity > 1000000")
+    results = quality.evaluate(none, domain.RULES, domain.PIPELINE_ID, "silver", RUN_DAY)
+    return results.drop("pipeline_id", "target_layer", "processing_date")
+
+
+BREAKING_RULE = Rule("BREAKS", "validity", condition="IF(quantity < 0, raise_error('negative'), true)")
+
+
+@query(f"""
+WITH {SALES_SQL},
+{graded_sql(RULE_COUNTS)}
+SELECT * FROM graded
+UNION ALL
+SELECT 'BREAKS', CASE WHEN COUNT(*) FILTER (WHERE quantity < 0) > 0 THEN 'EXECUTION_ERROR' ELSE 'PASS' END,
+       CASE WHEN COUNT(*) FILTER (WHERE quantity < 0) > 0 THEN 0.0 ELSE 100.0 END, COUNT(*), 0 FROM sales""")
+def dq_value_error(spark, sf_dir):
+    """A rule that fails on some value is an error of its own; the others are graded as ever."""
+    rules = [*domain.RULES, BREAKING_RULE]
+    found = quality.run_rules(sales(spark, sf_dir), rules, domain.PIPELINE_ID, "silver", RUN_DAY)
+    results = spark.createDataFrame(found, quality.RESULT_SCHEMA)
+    return results.drop("pipeline_id", "target_layer", "processing_date")
+
+
 STRICT_RULES = [
     Rule("POSITIVE", "validity", condition="quantity > 0", on_error=("log", "quarantine")),
     Rule("PRICED", "completeness", column="unit_price_brl", on_error=("quarantine", "abort_pipeline")),
@@ -788,17 +866,19 @@ def contract_freshness(spark, sf_dir):
 
 
 @query("""
-WITH days AS (
-  SELECT DISTINCT CAST(o_orderdate AS DATE) AS load_date FROM orders WHERE o_totalprice > 499000
+WITH loads AS (
+  SELECT DISTINCT user_id, CAST(floor(epoch(ts) / 21600) * 21600 AS BIGINT) AS load FROM events
 ), gaps AS (
-  SELECT load_date, LAG(load_date) OVER (ORDER BY load_date) AS previous_date FROM days
+  SELECT user_id, load, LAG(load) OVER (PARTITION BY user_id ORDER BY load) AS previous FROM loads
 )
-SELECT load_date, previous_date, CAST((load_date - previous_date) * 24 AS INTEGER) AS gap_hours
-FROM gaps WHERE (load_date - previous_date) * 24 > 24""")
+SELECT user_id, load AS loaded_s, previous AS previous_s, CAST((load - previous) // 3600 AS BIGINT) AS gap_hours
+FROM gaps WHERE load - previous > 21600""")
 def contract_load_gaps(spark, sf_dir):
-    """Gaps between the days that have an order of a very high total."""
-    large = table(spark, sf_dir, "orders").where(F.col("o_totalprice") > 499000)
-    return contracts.load_gaps(large, "o_orderdate", domain.EXPECTED_INTERVAL_HOURS)
+    """For each user, intervals of six hours that follow their predecessor with a gap."""
+    found = contracts.load_gaps(table(spark, sf_dir, "events"), "ts", 6, by=["user_id"])
+    return found.select(
+        "user_id", F.unix_seconds("loaded_at").alias("loaded_s"), F.unix_seconds("previous_at").alias("previous_s"), "gap_hours"
+    )
 
 
 # --- Governance ------------------------------------------------------------------------------
@@ -847,7 +927,7 @@ def retention_archive(spark, sf_dir):
     governance.archive_expired(spark, path, archive, "order_date", keep, date(2029, 1, 15))
     columns = ["place", "product_id", "order_date", "total_quantity"]
     live = spark.read.parquet(path).withColumn("place", F.lit("table"))
-    return live.unionByName(spark.read.parquet(archive).withColumn("place", F.lit("archive"))).select(*columns)
+    return live.select(*columns).unionByName(spark.read.parquet(archive).withColumn("place", F.lit("archive")).select(*columns))
 
 
 def subjects(spark, sf_dir) -> DataFrame:
@@ -873,7 +953,7 @@ def erase_subjects_from_table(spark, sf_dir):
     path = scratch_dir(spark, "erasure")
     month = F.trunc(F.to_date("order_timestamp"), "month")
     lake.overwrite_partitions(sales(spark, sf_dir).withColumn("order_month", month), path, ["order_month"])
-    governance.erase_from_table(spark, path, subjects(spark, sf_dir), "customer_email", "order_month")
+    governance.erase_from_table(spark, path, subjects(spark, sf_dir), "customer_email")
     return spark.read.parquet(path).select("order_id", "quantity", "customer_email", "order_month")
 
 
@@ -1020,10 +1100,312 @@ def daily_backfill_late_rows(spark, sf_dir):
     return shown(job.gold(spark).select(*columns))
 
 
-@query("""
-WITH loads AS (SELECT CAST(ts + INTERVAL 6 HOUR AS DATE) AS processing_date, COUNT(*) AS total_records FROM events GROUP BY 1)
-SELECT processing_date, rule_id, 'PASS' AS status, total_records
-FROM loads CROSS JOIN (VALUES ('DQ-SALES-001'), ('DQ-SALES-002'), ('DQ-SALES-003')) AS rules(rule_id)""")
+# Loads whose quality differs by day: on one day of three a tenth of the quantities is negative, on one a few, on one none.
+UNEVEN_SQL = """
+uneven AS (
+  SELECT CAST(ts + INTERVAL 6 HOUR AS DATE) AS processing_date, concat('PROD_', CAST(user_id AS VARCHAR)) AS product_id,
+         CAST(ts AS DATE) AS order_date, event_type, CAST(value AS DECIMAL(18,2)) AS unit_price_brl,
+         CASE WHEN day(ts + INTERVAL 6 HOUR) % 3 = 1 AND event_id % 10 = 0 OR day(ts + INTERVAL 6 HOUR) % 3 = 2 AND event_id % 40 = 0
+              THEN -1 ELSE CAST(event_id % 20 + 1 AS INTEGER) END AS quantity
+  FROM events
+), counted AS (
+  SELECT processing_date, COUNT(*) AS total, COUNT(*) FILTER (WHERE quantity <= 0) AS failing FROM uneven GROUP BY 1
+), checked AS (
+  SELECT processing_date, rule_id, total, CASE WHEN rule_id = 'DQ-SALES-001' THEN failing ELSE 0 END AS failing
+  FROM counted CROSS JOIN (VALUES ('DQ-SALES-001'), ('DQ-SALES-002'), ('DQ-SALES-003')) AS rules(rule_id)
+), statuses AS (
+  SELECT *, CASE WHEN CAST(total - failing AS DOUBLE) / total * 100 < 95 THEN 'ERROR'
+                 WHEN CAST(total - failing AS DOUBLE) / total * 100 < 99 THEN 'WARNING' ELSE 'PASS' END AS status
+  FROM checked
+), days AS (
+  SELECT processing_date, CASE WHEN COUNT(*) FILTER (WHERE status = 'ERROR') > 0 THEN 'FAILED'
+         WHEN COUNT(*) FILTER (WHERE status = 'WARNING') > 0 THEN 'WARNING' ELSE 'SUCCEEDED' END AS outcome
+  FROM statuses GROUP BY 1
+)"""
+
+
+def _uneven_backfill(spark, sf_dir) -> DailyJob:
+    """The same loads with quantities of uneven quality, and two days asked for that have no files."""
+    root = scratch_dir(spark, "uneven")
+    arrival = F.col("order_timestamp") + F.expr("INTERVAL 6 HOURS")
+    number = F.substring("order_id", 4, 20).cast("long")
+    third = F.dayofmonth(arrival) % 3
+    bad = ((third == 1) & (number % 10 == 0)) | ((third == 2) & (number % 40 == 0))
+    rows = event_sales(spark, sf_dir).withColumn("quantity", F.when(bad, -1).otherwise(F.col("quantity")))
+    job = _sales_job(root, _written_landing(rows, arrival, "csv", root + "/landing", DAILY))
+    days = _days_of(rows.select(arrival.alias("arrival")), "arrival")
+    days = [days[0] - timedelta(days=1), *days, days[-1] + timedelta(days=1)]
+    run_days(job, spark, days, datetime(2024, 2, 14, 12))
+    return job
+
+
+@query(f"""
+WITH {UNEVEN_SQL}
+SELECT processing_date, rule_id, status, total AS total_records, CAST(failing AS BIGINT) AS failing_records FROM statuses""")
 def daily_backfill_checks(spark, sf_dir):
-    job = _backfilled_lake(spark, sf_dir)
-    return spark.read.parquet(job.path("dq_results")).select("processing_date", "rule_id", "status", "total_records")
+    job = _uneven_backfill(spark, sf_dir)
+    return spark.read.parquet(job.path("dq_results")).select(
+        "processing_date", "rule_id", "status", "total_records", "failing_records"
+    )
+
+
+@query(f"""
+WITH {UNEVEN_SQL}
+SELECT 'gold' AS place, product_id, order_date, CAST(SUM(quantity) AS BIGINT) AS pieces
+FROM uneven JOIN days USING (processing_date) WHERE outcome <> 'FAILED' AND event_type = 'purchase' GROUP BY 2, 3
+UNION ALL
+SELECT 'quarantine', product_id, order_date, CAST(SUM(quantity) AS BIGINT)
+FROM uneven JOIN days USING (processing_date) WHERE outcome = 'FAILED' AND quantity <= 0 GROUP BY 2, 3""")
+def daily_backfill_blocked(spark, sf_dir):
+    """Days that fail their check stay out of silver and gold, and their bad rows are in quarantine."""
+    job = _uneven_backfill(spark, sf_dir)
+    bad = spark.read.parquet(job.path("quarantine")).withColumn("order_date", F.to_date("order_timestamp"))
+    bad = bad.groupBy(F.lit("quarantine").alias("place"), "product_id", "order_date").agg(F.sum("quantity").alias("pieces"))
+    good = job.gold(spark).select(F.lit("gold").alias("place"), "product_id", "order_date", F.col("total_quantity").alias("pieces"))
+    return good.unionByName(bad)
+
+
+@query(f"""
+WITH {UNEVEN_SQL}
+SELECT 'PipelineStart' AS step_name, 'STARTING' AS status, 1 AS events
+UNION ALL SELECT 'IngestBronze', 'SUCCEEDED', COUNT(*) FROM days
+UNION ALL SELECT 'IngestBronze', 'FAILED', 2
+UNION ALL SELECT 'DataQuality', outcome, COUNT(*) FROM days GROUP BY outcome
+UNION ALL SELECT 'TransformSilver', 'SUCCEEDED', COUNT(*) FROM days WHERE outcome <> 'FAILED'
+UNION ALL SELECT 'TransformGold', 'SUCCEEDED', 1
+UNION ALL SELECT 'PipelineEnd', 'SUCCEEDED', 1""")
+def daily_backfill_log(spark, sf_dir):
+    """What the log tells of many days: an event per day and step, also of days that have no files."""
+    events = spark.read.parquet(_uneven_backfill(spark, sf_dir).path("run_log"))
+    return events.groupBy("step_name", "status").agg(F.count(F.lit(1)).alias("events"))
+
+
+# --- Nothing is lost, governance of the lake, jobs from documents ----------------------------
+
+FIRST_LOAD, SECOND_LOAD = date(2024, 1, 31), date(2024, 2, 1)
+FLAWED_SQL = """
+flawed AS (
+  SELECT CASE WHEN hour(ts) < 18 THEN 1 ELSE 2 END AS load, event_type, concat('PROD_', CAST(user_id AS VARCHAR)) AS product_id,
+         CASE WHEN event_id % 13 = 5 THEN NULL ELSE CAST(ts AS DATE) END AS order_date,
+         event_id % 11 = 3 AS unparsed, CAST(value AS DECIMAL(18,2)) AS unit_price_brl,
+         CASE WHEN event_id % 11 = 3 THEN NULL WHEN hour(ts) < 18 AND event_id % 400 = 1 OR hour(ts) >= 18 AND event_id % 7 = 1
+              THEN -2 ELSE CAST(event_id % 20 + 1 AS INTEGER) END AS quantity
+  FROM events
+), shares AS (
+  SELECT load, CAST(COUNT(*) FILTER (WHERE quantity <= 0) AS DOUBLE) / COUNT(*) AS share FROM flawed GROUP BY load
+), judged AS (
+  SELECT flawed.*, COALESCE(quantity <= 0, false) AND share > 0.05 AS quarantined FROM flawed JOIN shares USING (load)
+), silver AS (
+  SELECT *, CAST(quantity * CAST(unit_price_brl / 5.0 AS DECIMAL(18,2)) AS DECIMAL(18,2)) AS total
+  FROM judged WHERE event_type = 'purchase' AND NOT quarantined
+), found AS (
+  SELECT 'bronze' AS place, CAST(NULL AS VARCHAR) AS product_id, CAST(NULL AS DATE) AS order_date, COUNT(*) AS number,
+         CAST(NULL AS DOUBLE) AS total FROM flawed
+  UNION ALL SELECT 'unparsed', NULL, NULL, COUNT(*), NULL FROM flawed WHERE unparsed
+  UNION ALL SELECT 'quarantine', NULL, NULL, COUNT(*), NULL FROM judged WHERE quarantined
+  UNION ALL SELECT 'silver', NULL, NULL, COUNT(*), NULL FROM silver
+  UNION ALL SELECT 'lost quantities', NULL, NULL, COUNT(*) FILTER (WHERE unparsed), NULL FROM flawed
+  UNION ALL SELECT 'gold', product_id, order_date, CAST(SUM(quantity) AS BIGINT), CAST(CAST(SUM(total) AS DECIMAL(20,2)) AS DOUBLE)
+  FROM silver GROUP BY product_id, order_date
+)"""
+
+
+def _flawed_landing(spark, sf_dir, job: DailyJob) -> None:
+    """Two loads with quantities that are no numbers, moments that are missing, and negative quantities: few, then many."""
+    number = F.substring("order_id", 4, 20).cast("long")
+    early = F.hour("order_timestamp") < 18
+    negative = (early & (number % 400 == 1)) | (~early & (number % 7 == 1))
+    text = F.when(number % 11 == 3, "n/a").when(negative, "-2").otherwise(F.col("quantity").cast("string"))
+    moment = F.when(number % 13 == 5, F.lit(None).cast("timestamp")).otherwise(F.col("order_timestamp"))
+    rows = event_sales(spark, sf_dir).withColumn("early", early).withColumn("quantity", text).withColumn("order_timestamp", moment)
+    for day, batch in ((FIRST_LOAD, rows.where("early")), (SECOND_LOAD, rows.where("NOT early"))):
+        batch.drop("early").write.option("header", True).csv(landing.landing_path(job.landing, day))
+
+
+def _flawed_result(spark, job: DailyJob) -> DataFrame:
+    def count(name: str, rows: DataFrame) -> DataFrame:
+        none = [F.lit(None).cast("string").alias("product_id"), F.lit(None).cast("date").alias("order_date")]
+        return rows.agg(F.count(F.lit(1)).alias("number")).select(F.lit(name).alias("place"), *none, "number", F.lit(None).cast("double").alias("total"))
+
+    gold = job.gold(spark).select(
+        F.lit("gold").alias("place"), "product_id", "order_date", F.col("total_quantity").alias("number"),
+        F.col("total_aggregated_value_usd").cast("double").alias("total"),
+    )
+    lost = spark.read.parquet(job.path("contract_results")).where("check_name = 'type' AND subject = 'quantity'")
+    lost = lost.agg(F.sum("failing_records").alias("number")).select(
+        F.lit("lost quantities").alias("place"), F.lit(None).cast("string").alias("product_id"),
+        F.lit(None).cast("date").alias("order_date"), "number", F.lit(None).cast("double").alias("total"),
+    )
+    found = gold.unionByName(lost)
+    for name in ("bronze", "unparsed", "quarantine", "silver"):
+        found = found.unionByName(count(name, spark.read.parquet(job.path(name))))
+    return found
+
+
+@query(f"WITH {FLAWED_SQL} SELECT mode, found.* FROM found CROSS JOIN (VALUES ('day by day'), ('together')) AS modes(mode)")
+def daily_lossless(spark, sf_dir):
+    """Every row of bronze is in silver, filtered, or quarantined and dropped; gold is the chain over silver, NULL date included."""
+    root = scratch_dir(spark, "lossless")
+    job = replace(
+        _sales_job(f"{root}/one", root + "/landing/{yyyy}/{MM}/{dd}/"), allow_partial_success=True, drop_quarantined=True
+    )
+    _flawed_landing(spark, sf_dir, job)
+    as_of = datetime(2024, 2, 14, 12)
+    for day in (FIRST_LOAD, SECOND_LOAD):
+        job.run(spark, day, as_of, skip_check=True)
+    together = replace(job, root=f"{root}/many")
+    run_days(together, spark, [FIRST_LOAD, SECOND_LOAD], as_of, skip_check=True)
+    one = _flawed_result(spark, job).withColumn("mode", F.lit("day by day"))
+    return one.unionByName(_flawed_result(spark, together).withColumn("mode", F.lit("together")))
+
+
+def _lake_sums(spark, job: DailyJob, tables: dict[str, str]) -> DataFrame:
+    """Rows and pieces of some tables; `tables` names the column of pieces in each."""
+    found = None
+    for name, pieces in tables.items():
+        rows = spark.read.parquet(job.path(name))
+        sums = rows.agg(F.count(F.lit(1)).alias("number"), F.sum(pieces).cast("long").alias("pieces"))
+        sums = sums.select(F.lit(name).alias("table_name"), "number", "pieces")
+        found = sums if found is None else found.unionByName(sums)
+    return found
+
+
+def _lake_sums_sql(**tables: str) -> str:
+    """The same over `lake`, which has every event's quantity, and over gold; the values are conditions."""
+    parts = [
+        f"SELECT '{name}' AS table_name, COUNT(*) AS number, CAST(SUM(quantity) AS BIGINT) AS pieces FROM lake WHERE {where}"
+        for name, where in tables.items()
+    ]
+    return " UNION ALL ".join(parts)
+
+
+LAKE_SQL = """
+lake AS (
+  SELECT user_id, event_type, hour(ts) >= 18 AS late, CAST(ts AS DATE) AS order_date, CAST(event_id % 20 + 1 AS INTEGER) AS quantity
+  FROM events
+)"""
+FORGOTTEN = "user_id % 10 <> 0"
+
+
+@query(f"""
+WITH {LAKE_SQL}
+{_lake_sums_sql(bronze=FORGOTTEN, silver=FORGOTTEN + " AND event_type = 'purchase'")}
+UNION ALL
+SELECT 'gold', COUNT(*), CAST(SUM(pieces) AS BIGINT) FROM (
+  SELECT user_id, order_date, SUM(quantity) AS pieces FROM lake WHERE {FORGOTTEN} AND event_type = 'purchase' GROUP BY 1, 2)""")
+def erase_from_lake(spark, sf_dir):
+    """Erasure from every table of a job, in its own layout; a later refresh of gold changes nothing more."""
+    job = _loaded_lake(spark, sf_dir)
+    users = table(spark, sf_dir, "events").where("user_id % 10 = 0").select("user_id").distinct()
+    emails = users.select(F.concat(F.lit("user"), "user_id", F.lit("@example.com")).alias("customer_email"))
+    erase_everywhere(job, spark, emails, "customer_email")
+    before = job.gold(spark).count()
+    job.refresh_gold(spark)
+    assert job.gold(spark).count() == before
+    return _lake_sums(spark, job, {"bronze": "quantity", "silver": "quantity", "gold": "total_quantity"})
+
+
+@query(f"""
+WITH {LAKE_SQL}
+{_lake_sums_sql(bronze="late", silver="late AND event_type = 'purchase'", silver_archive="NOT late AND event_type = 'purchase'")}
+UNION ALL
+SELECT 'gold', COUNT(*), CAST(SUM(pieces) AS BIGINT) FROM (
+  SELECT user_id, order_date, SUM(quantity) AS pieces FROM lake WHERE event_type = 'purchase' GROUP BY 1, 2)""")
+def retention_lake(spark, sf_dir):
+    """Bronze days are deleted, silver days archived; gold still counts what the archive holds."""
+    job = _loaded_lake(spark, sf_dir)
+    policies = {
+        "bronze": domain.GOVERNANCE.retention["bronze"],
+        "silver": governance.Retention("30d", "archive_local"),
+        "gold": domain.GOVERNANCE.retention["gold"],
+    }
+    retain_lake(job, spark, policies, date(2024, 3, 2))
+    job.refresh_gold(spark)
+    tables = {"bronze": "quantity", "silver": "quantity", "silver_archive": "quantity", "gold": "total_quantity"}
+    return _lake_sums(spark, job, tables)
+
+
+@query(f"""
+WITH {LAKE_SQL}
+{_lake_sums_sql(silver_archive="event_type = 'purchase'")}
+UNION ALL
+SELECT 'gold', COUNT(*), CAST(SUM(pieces) AS BIGINT) FROM (
+  SELECT user_id, order_date, SUM(quantity) AS pieces FROM lake WHERE event_type = 'purchase' GROUP BY 1, 2)""")
+def retention_archive_late_rows(spark, sf_dir):
+    """Archive, late rows for the archived dates, archive again: the archive has them all, and gold the full sums."""
+    root = scratch_dir(spark, "archive")
+    job = _sales_job(root, root + "/landing/{yyyy}/{MM}/{dd}/")
+    rows = event_sales(spark, sf_dir)
+    late = F.hour("order_timestamp") >= 18
+    silver_only = {"silver": governance.Retention("1d", "archive_local")}
+    for day, batch in ((FIRST_LOAD, rows.where(~late)), (SECOND_LOAD, rows.where(late))):
+        batch.write.option("header", True).csv(landing.landing_path(job.landing, day))
+        job.run(spark, day, datetime(2024, 2, 14, 12))
+        retain_lake(job, spark, silver_only, date(2024, 2, 14))
+    return _lake_sums(spark, job, {"silver_archive": "quantity", "gold": "total_quantity"})
+
+
+def _template(sql: str, kind: str = "sql") -> dict:
+    return {"logic": {kind: sql}}
+
+
+TEMPLATES = {
+    "only": _template("SELECT * FROM {input_view_or_df} WHERE `{state}` IN ({wanted})"),
+    "exchange": _template("SELECT *, CAST(`{price}` / {rate} AS DECIMAL(18,2)) AS `{exchanged}` FROM {input_view_or_df}"),
+    "value": _template("SELECT *, CAST(`{pieces}` * `{price}` AS DECIMAL(18,2)) AS `{value}` FROM {input_view_or_df}"),
+    "daily": _template(
+        "SELECT {group_by_clause}, {aggregation_clause} FROM "
+        "(SELECT *, to_date(`{timestamp_column_for_date}`) AS order_date FROM {input_view_or_df}) GROUP BY {group_by_clause}",
+        "sql_template",
+    ),
+}
+
+
+def _documents(place: str) -> tuple[dict, dict, dict]:
+    """Definition, contract and rules of the sales job, as documents."""
+    steps = [
+        ("only", "silver", {"state": "status", "wanted": "completed"}),
+        ("exchange", "silver", {"price": "unit_price_brl", "rate": 5.0, "exchanged": "unit_price_usd"}),
+        ("value", "silver", {"pieces": "quantity", "price": "unit_price_usd", "value": "total_value_usd"}),
+        ("daily", "gold", {
+            "group_by_columns": ["product_id", "order_date"],
+            "aggregation_specs": [
+                {"source_column": "quantity", "function": "sum", "target_column": "total_quantity"},
+                {"source_column": "total_value_usd", "function": "sum", "target_column": "total_aggregated_value_usd"},
+            ],
+            "timestamp_column_for_date": "order_timestamp",
+        }),
+    ]
+    definition = {
+        "metadata": {"pipeline_id": "documented", "domain": "sales", "version": "2"},
+        "source_config": {"bronze": {"location": place, "format": "csv"}},
+        "processing": {
+            "transformations": [{"template_id": t, "target_layer_step": layer, "parameters": p} for t, layer, p in steps]
+        },
+    }
+    columns = [
+        {"name": c.name, "data_type": c.type, "constraints": ["not_null"] if c.not_null else []} for c in domain.CONTRACT.columns
+    ]
+    contract = {"schema_specification": {"structural": {"columns": columns}}}
+    rules = {
+        "quality_profile": {"scope": ["silver"]},
+        "rules": [{"rule_id": "POSITIVE", "type": "validity", "condition": {"sql": "quantity > 0"}}],
+    }
+    return definition, contract, rules
+
+
+@query(f"""
+WITH {EVENT_GOLD_SQL}
+SELECT product_id, order_date, total_quantity, CAST(total_aggregated_value_usd AS DOUBLE) AS total_aggregated_value_usd,
+       lower(typeof(total_aggregated_value_usd)) AS stored_type
+FROM event_gold""")
+def daily_from_documents(spark, sf_dir):
+    """The daily job as its documents describe it, types of the contract included."""
+    root = scratch_dir(spark, "documents")
+    definition, contract, rules = _documents(root + "/landing/{yyyy}/{MM}/{dd}/")
+    job = job_from_documents(definition, contract, rules, TEMPLATES, domain.LAYER_COLUMNS, f"{root}/lake")
+    event_sales(spark, sf_dir).write.option("header", True).csv(landing.landing_path(job.landing, FIRST_LOAD))
+    job.run(spark, FIRST_LOAD, datetime(2024, 2, 14, 12))
+    gold = job.gold(spark)
+    kind = dict(gold.dtypes)["total_aggregated_value_usd"]
+    return shown(gold.select("product_id", "order_date", "total_quantity", "total_aggregated_value_usd")).withColumn("stored_type", F.lit(kind))

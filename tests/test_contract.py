@@ -1,8 +1,9 @@
-from datetime import date
+from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
 from conftest import plan, rows
+from pyspark.sql import functions as F
 
 from lakestrata.operators import contract as contracts
 from lakestrata.operators.contract import CalculatedField, Contract, ContractColumn, CustomRule
@@ -131,5 +132,18 @@ def test_no_rows_are_not_fresh(spark):
 def test_load_gaps(spark):
     days = ["2025-05-01 23:00:00", "2025-05-02 01:00:00", "2025-05-02 02:00:00", "2025-05-05 00:00:00", None]
     df = spark.createDataFrame([(day,) for day in days], "ts string")
-    assert rows(contracts.load_gaps(df, "ts", 24)) == [(date(2025, 5, 5), date(2025, 5, 2), 72)]
+    assert rows(contracts.load_gaps(df, "ts", 24)) == [(datetime(2025, 5, 5), datetime(2025, 5, 2), 72)]
     assert rows(contracts.load_gaps(df, "ts", 72)) == []
+    loads = spark.range(16).select((F.lit("2025-05-01").cast("timestamp") + F.make_dt_interval(hours=F.col("id") * 6)).alias("ts"))
+    assert rows(contracts.load_gaps(loads, "ts", 6)) == []
+    assert rows(contracts.load_gaps(loads.where("hour(ts) <> 6"), "ts", 6), "gap_hours") == [(12,)] * 4
+
+
+def test_load_gaps_within_each_value(spark):
+    df = spark.createDataFrame([("a", "2025-05-01"), ("b", "2025-05-02"), ("a", "2025-05-04"), (None, "2025-05-04")], "k string, ts string")
+    assert rows(contracts.load_gaps(df, "ts", 24, by=["k"]), "k", "gap_hours") == [("a", 72)]
+
+
+def test_a_contract_without_a_key_is_refused(spark):
+    with pytest.raises(ValueError, match="primary key"):
+        contracts.primary_key_violations(spark.range(1), contracts.Contract(columns=()))

@@ -1,19 +1,25 @@
 from dataclasses import replace
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 from decimal import Decimal
+from pathlib import Path
+from shutil import rmtree
 
 import pytest
 from conftest import plan, rows
 from pyspark.sql import functions as F
 
+from lakestrata.operators.governance import Retention
 from lakestrata.operators.quality import DataQualityError, Rule
 from lakestrata.operators.runlog import RunLog, run_summary
 from lakestrata.operators.steps import chain, steps_for
 from lakestrata.plans import sales
 from lakestrata.plans.backfill import run_days
 from lakestrata.plans.daily import DailyJob
+from lakestrata.plans.stewardship import erase_from_lake, retain_lake
+from lakestrata.session import shared_dir
 from lakestrata.sources.lake import day_parts, slice_path
 from lakestrata.sources.landing import landing_day
+from lakestrata.sources.storage import Files
 
 HEADER = "order_id,product_id,quantity,unit_price_brl,order_timestamp,customer_email,status"
 AS_OF = datetime(2025, 5, 10, 12)
@@ -34,8 +40,6 @@ def job(tmp_path):
 
 
 def land(job, day, *lines):
-    from pathlib import Path
-
     folder = Path(job.landing.format(yyyy=day.year, MM=f"{day.month:02d}", dd=f"{day.day:02d}"))
     folder.mkdir(parents=True, exist_ok=True)
     (folder / "f.csv").write_text("\n".join([HEADER, *lines, ""]))
@@ -140,6 +144,158 @@ def test_empty_and_missing_days(spark, job):
     assert job.bronze(spark, D5).count() == 1  # an empty file replaces nothing
 
 
+def test_what_did_not_parse_is_counted_and_kept(spark, job):
+    bad = [line("O1", "A", "n/a", 100.0, "2025-05-05T10:00:00Z"), line("O2", "A", 1, 100.0, "05/05/2025 10h"), line("O3", "A", "", "x", "2025-05-05T11:00:00Z")]
+    land(job, D5, *bad, *[line(f"P{n}", "C", 1, 5.0, "2025-05-05T10:00:00Z") for n in range(7)])
+    land(job, D6, line("O9", "A", 1, 1.0, "2025-05-06T10:00:00Z"))
+    job.ingest(spark, D5, AS_OF)
+    together = replace(job, root=job.root + "-together")
+    run_days(together, spark, [D5, D6], AS_OF)
+    for one in (job, together):
+        kept = rows(spark.read.parquet(one.path("unparsed")), "line", F.array_join("lost_columns", ",").alias("lost"))
+        assert kept == sorted(zip(bad, ["quantity", "order_timestamp", "unit_price_brl"]), key=repr)
+        found = spark.read.parquet(one.path("contract_results")).where(F.col("processing_date") == F.lit(D5)).where("check_name = 'type' AND failing_records > 0")
+        assert rows(found, "subject", "total_records", "failing_records", "conforms") == [(name, 10, 1, False) for name in ("order_timestamp", "quantity", "unit_price_brl")]
+        missing = spark.read.parquet(one.path("contract_results")).where(F.col("processing_date") == F.lit(D5)).where("check_name = 'not_null'")
+        assert dict(rows(missing, "subject", "failing_records"))["quantity"] == 2
+    land(job, D5, line("O1", "A", 1, 100.0, "2025-05-05T10:00:00Z"))
+    job.ingest(spark, D5, AS_OF)
+    run_days(together, spark, [D5], AS_OF)
+    for one in (job, together):
+        assert not Files(spark).glob(one.path("unparsed") + "/processing_date=*")
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_rows_below_the_threshold_are_not_dropped(spark, job, many):
+    """A rule that passes sends nothing to quarantine, and so nothing may be missing from silver."""
+    job = replace(job, drop_quarantined=True)
+    land(job, D5, *[line(f"O{n}", "A", -1 if n == 0 else 1, 100.0, "2025-05-05T10:00:00Z") for n in range(200)])
+    assert (run_days(job, spark, [D5], AS_OF) == {D5: "PASS"}) if many else job.run(spark, D5, AS_OF) == "PASS"
+    assert job.silver(spark).count() == 200 and not Files(spark).exists(job.path("quarantine"))
+
+
+def test_results_go_when_the_rules_go(spark, job):
+    land(job, D5, *BAD)
+    with pytest.raises(DataQualityError):
+        job.run(spark, D5, AS_OF)
+    none = replace(job, rules=())
+    assert none.run(spark, D5, AS_OF) == "PASS"
+    assert run_days(none, spark, [D5], AS_OF) == {D5: "PASS"}
+
+
+def test_scratch_is_gone_after_a_run(spark, job):
+    rules = (Rule("UNIQUE", "uniqueness", column="order_id", error=0.0, on_warning=("quarantine",)),)
+    land(job, D5, line("O1", "A", 1, 1.0, "2025-05-05T10:00:00Z"), line("O1", "A", 1, 1.0, "2025-05-05T10:00:00Z"))
+    folder = shared_dir(spark) + "/lakestrata"
+    before = set(Files(spark).folders(folder))
+    replace(job, rules=rules, drop_quarantined=True).run(spark, D5, AS_OF)
+    run_days(replace(job, rules=rules, drop_quarantined=True), spark, [D5], AS_OF)
+    assert set(Files(spark).folders(folder)) == before
+
+
+def test_late_rows_for_an_archived_date_add_to_gold(spark, job):
+    keep = {"silver": Retention("1d", "archive_local")}
+    land(job, D5, line("O1", "A", 2, 100.0, "2025-05-05T10:00:00Z"))
+    land(job, D6, line("O2", "A", 1, 100.0, "2025-05-05T22:00:00Z"))
+    job.run(spark, D5, AS_OF)
+    assert retain_lake(job, spark, keep, D7) == {"silver": [D5]}
+    job.run(spark, D6, AS_OF)
+    assert gold(job, spark) == [("A", D5, 3, Decimal("60.00"))]
+    assert retain_lake(job, spark, keep, date(2025, 5, 8)) == {"silver": [D6]}
+    job.refresh_gold(spark, [D5])
+    assert gold(job, spark) == [("A", D5, 3, Decimal("60.00"))]
+    # a load day that is run again takes the place of its archived rows
+    land(job, D5, line("O1", "A", 5, 100.0, "2025-05-05T10:00:00Z"))
+    job.run(spark, D5, AS_OF)
+    assert gold(job, spark) == [("A", D5, 6, Decimal("120.00"))]
+
+
+def test_erasure_reaches_every_table_and_gold(spark, job):
+    land(job, D5, line("O1", "A", 2, 100.0, "2025-05-05T10:00:00Z", email="gone@x"), line("O2", "A", 1, 100.0, "2025-05-05T11:00:00Z"))
+    land(job, D6, line("O3", "B", 1, 100.0, "2025-05-06T11:00:00Z", email="gone@x"))
+    for day in (D5, D6):
+        job.run(spark, day, AS_OF)
+    retain_lake(job, spark, {"silver": Retention("1d", "archive_local")}, D7)
+    erase_from_lake(job, spark, spark.createDataFrame([("gone@x",)], "customer_email string"), "customer_email")
+    for name in ("bronze", "silver", "silver_archive"):
+        if list(Path(job.path(name)).rglob("part-*.parquet")):
+            assert spark.read.parquet(job.path(name)).where("customer_email = 'gone@x'").count() == 0
+    assert gold(job, spark) == [("A", D5, 1, Decimal("20.00"))]
+    job.refresh_gold(spark)
+    assert gold(job, spark) == [("A", D5, 1, Decimal("20.00"))]
+
+
+def test_another_run_heals_a_load_day_that_died_half_way(spark, job, monkeypatch):
+    land(job, D5, line("O1", "A", 2, 100.0, "2025-05-05T10:00:00Z"), line("O2", "A", 1, 100.0, "2025-05-04T10:00:00Z"))
+    land(job, D6, line("O3", "B", 1, 100.0, "2025-05-06T10:00:00Z"))
+    job.run(spark, D5, AS_OF)
+    land(job, D5, line("O1", "A", 2, 100.0, "2025-05-05T10:00:00Z"))
+    with monkeypatch.context() as broken:
+        broken.setattr(DailyJob, "silver_rows", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            job.run(spark, D5, AS_OF)
+    job.run(spark, D6, AS_OF)
+    assert gold(job, spark) == [("A", D5, 2, Decimal("40.00")), ("B", D6, 1, Decimal("20.00"))]
+    assert job.unsettled(spark) == []
+
+
+def test_a_daily_run_lists_only_touched_folders(spark, job, monkeypatch):
+    land(job, D5, line("O1", "A", 2, 100.0, "2025-05-05T10:00:00Z"))
+    job.run(spark, D5, AS_OF)
+    old = [date(2023, 1, 1) + timedelta(days=n) for n in range(400)]
+    Files(spark).make_folders(f"{job.path('silver')}/load_date={d}/order_date={d}" for d in old)
+    job.note_dates(spark, {d: {d} for d in old})
+    listed = []
+    real = Files.glob
+    monkeypatch.setattr(Files, "glob", lambda self, pattern: listed.append(pattern) or real(self, pattern))
+    land(job, D6, line("O2", "A", 1, 100.0, "2025-05-05T22:00:00Z"))
+    job.run(spark, D6, AS_OF)
+    assert len(listed) < 20 and not any("load_date=*" in pattern and "silver/" in pattern for pattern in listed)
+    assert gold(job, spark) == [("A", D5, 3, Decimal("60.00"))]
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_files_with_other_headers_are_read_by_name(spark, job, many):
+    land(job, D5, line("O1", "A", 2, 100.0, "2025-05-05T10:00:00Z"))
+    land(job, D6, line("O2", "B", 1, 50.0, "2025-05-06T10:00:00Z"))
+    folder = Path(job.landing.format(yyyy=2025, MM="05", dd="06"))
+    (folder / "g.csv").write_text("status,order_id,quantity,product_id,unit_price_brl,order_timestamp,customer_email\ncompleted,O3,4,B,50.0,2025-05-06T11:00:00Z,a@x\n")
+    if many:
+        assert run_days(job, spark, [D5, D6], AS_OF) == {D5: "PASS", D6: "PASS"}
+    else:
+        assert [job.run(spark, day, AS_OF) for day in (D5, D6)] == ["PASS", "PASS"]
+    assert gold(job, spark) == [("A", D5, 2, Decimal("40.00")), ("B", D6, 5, Decimal("50.00"))]
+
+
+def test_days_without_files_are_left_alone_and_logged(spark, job):
+    land(job, D5, line("O1", "A", 2, 100.0, "2025-05-05T10:00:00Z"))
+    job.run(spark, D5, AS_OF)
+    before = files_of(job)
+    rmtree(Path(job.landing.format(yyyy=2025, MM="05", dd="05")))
+    land(job, D6, line("O2", "A", 1, 100.0, "2025-05-06T10:00:00Z"))
+    log = RunLog(sales.PIPELINE_ID, sales.DOMAIN, execution_id="many")
+    assert run_days(job, spark, [D5, D6], AS_OF, log=log) == {D6: "PASS"}
+    assert {name for name in files_of(job) if "load_date=2025-05-05" in name} == {name for name in before if "load_date=2025-05-05" in name}
+    events = spark.read.parquet(job.path("run_log")).where("execution_id = 'many'")
+    assert ("IngestBronze", "FAILED") in rows(events, "step_name", "status")
+    assert events.where("status = 'FAILED'").first()["details"].count("2025-05-05") == 1
+
+
+def files_of(job):
+    return {str(p) for p in Path(job.path("silver")).rglob("part-*")}
+
+
+def test_silver_of_many_days_is_one_file_per_date_also_behind_a_join(spark, job, settings):
+    settings(spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__autoBroadcastJoinThreshold="-1", spark__sql__shuffle__partitions="16")
+    rules = (Rule("UNIQUE", "uniqueness", column="order_id", error=0.0, on_warning=("quarantine",)),)
+    days = [date(2025, 6, n) for n in range(1, 13)]
+    for day in days:
+        land(job, day, *[line(f"O{min(n, 30)}", "A", 1, 1.0, f"{day}T10:00:00Z") for n in range(40)])
+    run_days(replace(job, rules=rules, drop_quarantined=True), spark, days, AS_OF)
+    assert len(files_of(job)) <= len(days) + 2
+    assert job.silver(spark).count() == 30 * len(days)
+
+
 BAD = [line(f"O{n}", "A", -1 if n == 0 else 1, 100.0, "2025-05-05T10:00:00Z") for n in range(10)]
 
 
@@ -189,7 +345,7 @@ def test_rows_without_time_or_price(spark, job):
     land(job, D5, line("O1", "A", 2, "", "2025-05-05T10:00:00Z"), line("O2", "B", 1, 100.0, ""), *[line(f"P{n}", "C", 1, 5.0, "2025-05-05T10:00:00Z") for n in range(98)])
     job.run(spark, D5, AS_OF)
     assert job.silver(spark).count() == 100
-    assert gold(job, spark) == [("A", D5, 2, None), ("C", D5, 98, Decimal("98.00"))]
+    assert gold(job, spark) == [("A", D5, 2, None), ("B", None, 1, Decimal("20.00")), ("C", D5, 98, Decimal("98.00"))]
 
 
 def test_run_log_of_good_and_bad_runs(spark, job):
@@ -252,8 +408,6 @@ def many_days(job):
 
 
 def contents(spark, job):
-    from pathlib import Path
-
     found = {}
     for name in ("bronze", "silver", "gold", "dq_results", "quarantine"):
         if Path(job.path(name)).exists():

@@ -6,7 +6,10 @@ from hypothesis import HealthCheck, given, settings as hyp
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lakestrata.operators.duplicates import rows_with_duplicated_key, rows_without_duplicated_key
+from lakestrata.operators.duplicates import DuplicatedKeys, rows_with_duplicated_key, rows_without_duplicated_key
+from lakestrata.operators.quality import Rule, evaluate, failing_rows, passing_rows, run_rules
+from lakestrata.session import shared_dir
+from lakestrata.sources.storage import Files
 
 
 def brute(data, duplicated):
@@ -19,21 +22,20 @@ SKEWED = [("hot", n) for n in range(400)] + [(None, n) for n in range(300)]
 SKEWED += [(f"k{n}", n) for n in range(300)] + [(f"k{n}", -n) for n in range(0, 300, 7)]
 
 
-@pytest.mark.parametrize("max_hot_keys", [1, 3, 20_000])
 @pytest.mark.parametrize("threshold", ["-1", "10MB"])
-def test_against_brute_force_with_a_hot_key(spark, settings, max_hot_keys, threshold):
+def test_against_brute_force_with_a_hot_key(spark, settings, threshold):
     settings(spark__sql__autoBroadcastJoinThreshold=threshold)
     df = spark.createDataFrame(SKEWED, "k string, v int").repartition(4)
-    assert rows(rows_with_duplicated_key(df, ["k"], max_hot_keys)) == brute(SKEWED, True)
-    assert rows(rows_without_duplicated_key(df, ["k"], max_hot_keys=max_hot_keys)) == brute(SKEWED, False)
+    assert rows(rows_with_duplicated_key(df, ["k"])) == brute(SKEWED, True)
+    assert rows(rows_without_duplicated_key(df, ["k"])) == brute(SKEWED, False)
 
 
 @hyp(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(data=st.lists(st.tuples(st.one_of(st.none(), st.sampled_from("abcd")), st.integers(0, 3)), max_size=25))
 def test_every_row_is_on_one_side(spark, data):
     df = spark.createDataFrame(data, "k string, v int")
-    assert rows(rows_with_duplicated_key(df, ["k"], 2)) == brute(data, True)
-    assert rows(rows_without_duplicated_key(df, ["k"], max_hot_keys=2)) == brute(data, False)
+    assert rows(rows_with_duplicated_key(df, ["k"])) == brute(data, True)
+    assert rows(rows_without_duplicated_key(df, ["k"])) == brute(data, False)
 
 
 def test_composite_key(spark):
@@ -42,7 +44,7 @@ def test_composite_key(spark):
     assert rows(rows_without_duplicated_key(df, ["d", "k"])) == [(2, "a"), (None, "a"), (None, "a")]
 
 
-def test_no_window_no_cross_join_and_no_more_hot_keys_than_proven(spark, tmp_path):
+def test_no_window_and_no_cross_join(spark, tmp_path):
     spark.createDataFrame(SKEWED, "k string, v int").write.parquet(str(tmp_path / "t"))
     df = spark.read.parquet(str(tmp_path / "t"))
     text = plan(rows_with_duplicated_key(df, ["k"]))
@@ -63,14 +65,14 @@ def test_many_null_keys_are_split_over_tasks(spark, settings):
     df = spark.range(0, 54_000, 1, 6).select(key.alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
     counts = Counter(row["k"] for row in df.select("k").collect())
     expected = sum(n for k, n in counts.items() if k is None or n == 1)
-    single = rows_without_duplicated_key(df, ["k"], max_hot_keys=10)
+    single = rows_without_duplicated_key(df, ["k"])
     assert len(single.collect()) == expected
     assert "skew=true" in single._jdf.queryExecution().executedPlan().toString()
 
 
 def test_few_duplicated_keys_are_broadcast_and_rows_not_shuffled(spark, tmp_path):
     spark.range(0, 1000).selectExpr("id % 997 AS k", "id").write.parquet(str(tmp_path / "t"))
-    found = rows_with_duplicated_key(spark.read.parquet(str(tmp_path / "t")), ["k"], 1)
+    found = rows_with_duplicated_key(spark.read.parquet(str(tmp_path / "t")), ["k"])
     assert rows(found, "id") == sorted(((n,) for n in (0, 1, 2, 997, 998, 999)), key=repr)
     assert "hashpartitioning" not in plan(found) and "BroadcastHashJoin" in plan(found)
 
@@ -81,11 +83,51 @@ def test_without_duplicates_the_rows_are_not_read_again(spark):
     assert "Join" not in plan(rows_without_duplicated_key(df, ["id"])) and rows_without_duplicated_key(df, ["id"]).count() == 10
 
 
-def test_rows_of_a_hot_key_are_not_shuffled(spark, settings, tmp_path):
-    settings(spark__sql__autoBroadcastJoinThreshold="-1")
+def test_a_hot_key_is_split_over_tasks(spark, settings):
+    settings(
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="20k",
+        spark__sql__adaptive__skewJoin__skewedPartitionFactor="2",
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="20k",
+    )
+    hot = F.when(F.col("id") % 3 == 0, -1).otherwise(F.floor(F.col("id") / 2))
+    df = spark.range(0, 54_000, 1, 6).select(hot.alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    counts = Counter(row["k"] for row in df.select("k").collect())
+    found = rows_with_duplicated_key(df, ["k"])
+    assert len(found.collect()) == sum(n for n in counts.values() if n > 1)
+    assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+
+
+RULES = [Rule("U", "uniqueness", column="k"), Rule("V", "validity", condition="v >= 0"), Rule("C", "completeness", column="k")]
+
+
+def test_keys_are_counted_once_for_results_quarantine_and_silver(spark, tmp_path):
     spark.createDataFrame(SKEWED, "k string, v int").write.parquet(str(tmp_path / "t"))
-    df = spark.read.parquet(str(tmp_path / "t")).withColumn("seen", F.spark_partition_id())
-    result = rows_with_duplicated_key(df, ["k"], 3)
-    places = result.where("k = 'hot'").select("seen", F.spark_partition_id().alias("now")).distinct().collect()
-    # Hot rows stay in the partition the scan gave them.
-    assert {row["seen"] for row in places} == {row["now"] for row in places}
+    df = spark.read.parquet(str(tmp_path / "t"))
+    keys = DuplicatedKeys(df)
+    graded = evaluate(df, RULES, "p", "silver", "d", keys)
+    bad, good = failing_rows(df, RULES[:1], duplicates=keys), passing_rows(df, RULES[:1], duplicates=keys)
+    # apart from the one job that counted the keys, nothing is grouped by key and every result scans its rows once
+    assert plan(graded).count("Scan parquet") == 2 * 1 and plan(bad).count("Scan parquet") == 2 * 2
+    assert "partial_count" not in plan(bad) + plan(good)
+    alone = {row["rule_id"]: (row["failing_records"], row["total_records"], row["status"]) for row in run_rules(df, RULES, "p", "silver", "d")}
+    assert {row["rule_id"]: (row["failing_records"], row["total_records"], row["status"]) for row in graded.collect()} == alone
+    assert rows(bad, "k", "v") == brute(SKEWED, True) and rows(good) == brute(SKEWED, False)
+
+
+def test_per_day_counts_from_stored_keys(spark):
+    data = [(d, k) for d in range(3) for k in "aab"] + [(4, "x"), (5, None), (5, None)]
+    df = spark.createDataFrame(data, "d int, k string")
+    keys = DuplicatedKeys(df)
+    one = evaluate(df, RULES[:1], "p", "silver", F.col("d"), keys, "d")
+    two = evaluate(df, RULES[:1], "p", "silver", F.col("d")).select(one.columns)
+    assert rows(one) == rows(two) and len(rows(one)) == 5
+
+
+def test_stored_keys_are_deleted(spark):
+    keys = DuplicatedKeys(spark.createDataFrame([(1,), (1,)], "k int"))
+    files, before = Files(spark), set(Files(spark).folders(shared_dir(spark) + "/lakestrata"))
+    assert keys.rows(["k"]) == 2 and set(files.folders(shared_dir(spark) + "/lakestrata")) != before
+    keys.clear()
+    assert set(files.folders(shared_dir(spark) + "/lakestrata")) == before

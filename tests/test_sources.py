@@ -173,8 +173,10 @@ def test_files(spark, tmp_path):
     files.delete(path)
     files.delete(path)
     assert not (tmp_path / "a=1").exists()
-    with pytest.raises(ValueError):
-        partition_value("/t/a=1", "b")
+    assert partition_value("/a/a=1/b/a=2%3A5/f", "a") == "2:5"
+    for path in ("/t/a=1", "/b/a=1"):
+        with pytest.raises(ValueError):
+            partition_value(path, "b")
 
 
 def test_shared_folder_is_the_one_the_session_names(spark):

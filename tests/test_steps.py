@@ -20,6 +20,7 @@ from lakestrata.operators.steps import (
 )
 from lakestrata.plans.documents import step_from_template, steps_from_definition
 
+# Bodies of templates that exist, to show that they run as they are; so are the rows of the four cases.
 FILTER = "SELECT * FROM {input_view_or_df} WHERE `{status_column}` = '{desired_status}'"
 CONVERT = "SELECT *, CAST( `{source_column}` / {conversion_rate} AS DECIMAL(18,2) ) AS `{target_column}` FROM {input_view_or_df}"
 
@@ -207,7 +208,7 @@ def test_steps_from_a_definition(spark):
             ]
         }
     }
-    templates = {"keep": {"logic": {"sql": FILTER}}, "count": {"logic": {"sql_template": "..."}}}
+    templates = {"keep": {"logic": {"sql": FILTER}}, "count": {"logic": {"sql_template": "SELECT {group_by_clause}, {aggregation_clause} FROM (SELECT *, to_date(`{timestamp_column_for_date}`) AS order_date FROM {input_view_or_df}) WHERE id < 100 GROUP BY {group_by_clause}"}}}
     steps = steps_from_definition(definition, templates)
     df = spark.createDataFrame([(1, "completed", "2025-05-05 10:00:00"), (2, "x", "2025-05-05 11:00:00")], "id int, status string, ts string")
     silver = chain(df, steps_for("silver", steps))
