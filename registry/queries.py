@@ -1350,12 +1350,13 @@ def _template(sql: str, kind: str = "sql") -> dict:
 
 
 TEMPLATES = {
-    "only": _template("SELECT * FROM {input_view_or_df} WHERE `{state}` IN ({wanted})"),
-    "exchange": _template("SELECT *, CAST(`{price}` / {rate} AS DECIMAL(18,2)) AS `{exchanged}` FROM {input_view_or_df}"),
-    "value": _template("SELECT *, CAST(`{pieces}` * `{price}` AS DECIMAL(18,2)) AS `{value}` FROM {input_view_or_df}"),
+    "only": _template("FROM {input_view_or_df} |> WHERE `{state}` IN ({wanted})"),
+    "exchange": _template("SELECT i.*, round(i.`{price}` * {share}, 2) AS `{exchanged}` FROM {input_view_or_df} AS i"),
+    "value": _template("SELECT i.`{price}` * i.`{pieces}` AS `{value}`, i.* FROM {input_view_or_df} AS i"),
     "daily": _template(
         "SELECT {group_by_clause}, {aggregation_clause} FROM "
-        "(SELECT *, to_date(`{timestamp_column_for_date}`) AS order_date FROM {input_view_or_df}) GROUP BY {group_by_clause}",
+        "(SELECT date(i.`{timestamp_column_for_date}`) AS order_date, i.* FROM {input_view_or_df} AS i "
+        "WHERE i.`{timestamp_column_for_date}` IS NOT NULL) AS dated GROUP BY ALL",
         "sql_template",
     ),
 }
@@ -1365,7 +1366,7 @@ def _documents(place: str) -> tuple[dict, dict, dict]:
     """Definition, contract and rules of the sales job, as documents."""
     steps = [
         ("only", "silver", {"state": "status", "wanted": "completed"}),
-        ("exchange", "silver", {"price": "unit_price_brl", "rate": 5.0, "exchanged": "unit_price_usd"}),
+        ("exchange", "silver", {"price": "unit_price_brl", "share": 0.2, "exchanged": "unit_price_usd"}),
         ("value", "silver", {"pieces": "quantity", "price": "unit_price_usd", "value": "total_value_usd"}),
         ("daily", "gold", {
             "group_by_columns": ["product_id", "order_date"],
