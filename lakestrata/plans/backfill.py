@@ -141,12 +141,16 @@ def _ingest(job: DailyJob, spark: SparkSession, paths: Sequence[str], as_of: dat
     _, written = written_partitions(stamped, job.path("bronze"), ["year", "month", "day"], clustered=True)
     full = [date(*map(int, values)) for values in sorted(written)]
     job.drop_raw_lines(spark, full)
-    # counts per day are a pass of their own over the files: one row per day comes back
+    if not full:
+        return {}
+    # counts per day, one row for each: from bronze, or from the files again if some lines did not parse
+    flawed = bool(seen.get.get("raw_lines"))
+    source = dated if flawed else bronze_days(job, spark, full)
     found = {}
-    for row in dated.groupBy(LOAD_DATE).agg(*job.load_counters(rows)).collect():
+    for row in source.groupBy(LOAD_DATE).agg(*job.load_counters(source.drop(LOAD_DATE))).collect():
         counts = row.asDict()
         found[counts.pop(LOAD_DATE)] = counts
-    if seen.get.get("raw_lines"):
+    if flawed:
         job.keep_raw_lines(rows, loaded_on)
     job.save_load_results(spark, found, as_of)
     return found

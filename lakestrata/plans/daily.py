@@ -101,14 +101,19 @@ class DailyJob:
         return lost_cells(rows, RAW_LINE, self.landing_format)
 
     def load_counters(self, rows: DataFrame) -> list[Column]:
-        """Aggregates over landing rows: rows, raw lines, lost and missing values, the latest moment."""
+        """Aggregates over loaded rows: rows, raw lines, lost and missing values, the latest moment.
+
+        Rows without raw lines beside them, as those of bronze, are taken to have lost nothing.
+        """
+        raw = RAW_LINE in rows.columns
+        lost = self.lost(rows) if raw else dict.fromkeys(self.contract.schema("landing").names, F.lit(False))
         missing = [c.name for c in self.contract.of_layer("landing") if c.not_null and c.name in rows.columns]
         latest = F.max(named(self.timestamp_column).try_cast("timestamp")) if self.timestamp_column in rows.columns else F.lit(None).cast("timestamp")
         return [
             F.count(F.lit(1)).alias("rows"),
-            F.count(RAW_LINE).alias("raw_lines"),
+            F.count(F.col(RAW_LINE) if raw else F.lit(None)).alias("raw_lines"),
             F.unix_micros(latest).alias("latest"),
-            *(F.count_if(lost).alias(f"lost:{name}") for name, lost in self.lost(rows).items()),
+            *(F.count_if(where).alias(f"lost:{name}") for name, where in lost.items()),
             *(F.count_if(named(name).isNull()).alias(f"null:{name}") for name in missing),
         ]
 
