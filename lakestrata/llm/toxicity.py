@@ -6,11 +6,13 @@ cells up. The model has at most 29 ** 3 cells whatever the corpus.
 Channel. Only stretches that look disguised are decoded: letters with digits or signs between them, letters spelt out with
 spaces or punctuation, letters repeated three times or more. Each becomes a lattice - a sign is itself lost, or one
 of the letters it can stand for; a run of one letter is one or two of it - and the Viterbi path under the model and
-the costs of the channel is the restored word.
+the costs of the channel is the restored word. Longer stretches of single letters are decoded once more with a way to
+end a word at each gap, so spelt-out sentences fall into words again. Only unbroken stretches of more than
+`MOST_CHARS` characters are left alone: they are no words, but keys and the like.
 
 Scores. Units are whole words and their first 4, 5 and 6 bytes. From the labelled training rows a lexicon is
 learnt by covering: units are taken in order of the lower bound of their precision, and each must explain toxic
-rows that no earlier one did; copies count once (rows are counted by a MinHash of their words). A text's score is a noisy-or over its distinct
+rows that no earlier one did; copies count once (rows are counted by a MinHash of their word 5-grams). A text's score is a noisy-or over its distinct
 words, original and restored, of the precision of their best unit.
 
 The fit reads at most `most_labelled` labelled rows, those of the smallest hash, a stated bound. All else covers all data.
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakestrata.llm.common import fold, new_folder, stored, whole_text
-from lakestrata.llm.words import IN_WORD, LOWER, buffers, chunks, mix, words_of
+from lakestrata.llm.words import LOWER, buffers, chunks, shingles, words_of
 
 MOST_LABELLED = 20_000
 BASE_SCORE = 0.02
@@ -48,8 +50,9 @@ LEET = {
 }
 SIGNS = "".join(LEET)
 SEPARATORS = " .-_*~'/\\"
-SUBSTITUTE, LOSE, DOUBLE = 1.0, 3.0, 0.7
+SUBSTITUTE, LOSE, DOUBLE, BREAK = 1.0, 3.0, 0.7, 0.5
 MOST_CHARS = 64
+SENTENCE_CHARS = 12
 
 LETTERS = 29  # a-z, beyond ASCII, digits, and the edge of a word
 
@@ -100,8 +103,8 @@ def letter_model(texts: DataFrame) -> np.ndarray:
     return np.log((tri + strength * back[None]) / (tri.sum(2, keepdims=True) + strength))
 
 
-def lattice(stretch: str) -> list[list[tuple[str, float]]]:
-    """For each sign or run of letters, what it may have been and at which cost."""
+def lattice(stretch: str, words: bool = False) -> list[list[tuple[str, float]]]:
+    """For each sign or run of letters, what it may have been and at which cost; with `words`, gaps may end words."""
     steps: list[list[tuple[str, float]]] = []
     for run in re.finditer(r"(.)\1*", stretch.lower(), re.S):
         char, n = run[1], len(run[0])
@@ -114,10 +117,12 @@ def lattice(stretch: str) -> list[list[tuple[str, float]]]:
                 steps.append([(char, 0.0), (char * 2, DOUBLE)])
         else:
             ways = [("", LOSE if char in LEET and char not in SEPARATORS else 0.0)]
+            if words and char in SEPARATORS:
+                ways.append((" ", BREAK))
             for letter in LEET.get(char, ""):
-                ways.append((letter, SUBSTITUTE))
+                ways.append((letter, SUBSTITUTE + (2 * DOUBLE if n == 2 else 0.0)))
                 if n > 1:
-                    ways.append((letter * 2, SUBSTITUTE + DOUBLE))
+                    ways.append((letter * 2, SUBSTITUTE + (DOUBLE if n > 2 else 0.0)))
             steps.append(ways)
     return steps
 
@@ -126,10 +131,10 @@ def code(letter: str) -> int:
     return int(CLASSES[ord(letter)]) if ord(letter) < 128 else 27
 
 
-def restore(stretch: str, model: np.ndarray) -> str:
-    """The likeliest word behind a stretch: Viterbi over its lattice, with the last two letters as state."""
+def restore(stretch: str, model: np.ndarray, words: bool = False) -> str:
+    """The likeliest word (or words) behind a stretch: Viterbi over its lattice, with the last two letters as state."""
     paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for ways in lattice(stretch):
+    for ways in lattice(stretch, words):
         after: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (score, word) in paths.items():
             for letters, cost in ways:
@@ -144,22 +149,29 @@ def restore(stretch: str, model: np.ndarray) -> str:
     return max(((score + model[a, b, 0], word) for (a, b), (score, word) in paths.items()), default=(0, ""))[1]
 
 
-_restored: dict[str, str] = {}
+_restored: dict[str, list[str]] = {}
 
 
 def restored_words(text: str, model: np.ndarray) -> list[str]:
     found = []
     for match in DISGUISED.finditer(text):
         stretch = match[0]
-        if len(stretch) > MOST_CHARS or not re.search(LETTER, stretch):  # no word is that long
+        if not re.search(LETTER, stretch):
             continue
-        word = _restored.get(stretch)
-        if word is None:
+        spelt = any(sign in SEPARATORS for sign in stretch)
+        if len(stretch) > MOST_CHARS:
+            if spelt:
+                found += restore(stretch, model, True).split()
+            continue
+        words = _restored.get(stretch)
+        if words is None:
             if len(_restored) > 200_000:
                 _restored.clear()
-            word = _restored[stretch] = restore(stretch, model)
-        if word and word != stretch.lower():
-            found.append(word)
+            words = {restore(stretch, model)}
+            if spelt and len(stretch) >= SENTENCE_CHARS:
+                words.update(restore(stretch, model, True).split())
+            words = _restored[stretch] = sorted(words - {"", stretch.lower()})
+        found += words
     return found
 
 
@@ -218,6 +230,16 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, id_
     return stored(rows.join(F.broadcast(known), "doc_id").select("doc_id", "label", "text"), new_folder(spark, "labelled"))
 
 
+def signature(texts: pa.Array) -> np.ndarray:
+    """The MinHash value of each text's word 5-grams: near copies mostly agree in it, other texts do not."""
+    values, first = shingles(words_of(texts), 5)
+    least = np.zeros(len(texts), np.uint64)
+    full = np.flatnonzero(np.diff(first) > 0)
+    if len(full):
+        least[full] = np.minimum.reduceat(values, first[full])
+    return least
+
+
 def learn_lexicon(rows: DataFrame, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted unit hashes and their precision, from labelled rows (label, text)."""
     spark = rows.sparkSession
@@ -226,19 +248,22 @@ def learn_lexicon(rows: DataFrame, model: np.ndarray) -> tuple[np.ndarray, np.nd
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, part in chunks(batch.column(0)):
-                owner, word, table = units(part, shared.value)
-                least = np.full(len(part), np.iinfo(np.uint64).max, np.uint64)
-                np.minimum.at(least, owner, mix(word))
-                kind = least[owner]
+                owner, _, table = units(part, shared.value)
+                kind = signature(part)[owner]
                 for level in range(table.shape[1]):
                     use = table[:, level] != 0
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(table[use, level].view(np.int64)), pa.array(kind[use].view(np.int64))], ["unit", "kind"]
+                        [
+                            pa.array(table[use, level].view(np.int64)),
+                            pa.array(kind[use].view(np.int64)),
+                            pa.array(np.full(int(use.sum()), level, np.int32)),
+                        ],
+                        ["unit", "kind", "level"],
                     )
 
-    said = "unit long, kind long"
+    said = "unit long, kind long, level int"
     toxic = stored(rows.filter("label = 1").select("text").mapInArrow(pairs, said).distinct(), new_folder(spark, "toxic-units"))
-    often = toxic.groupBy("unit").agg(F.count(F.lit(1)).alias("toxic")).filter(F.col("toxic") >= LEAST_ROWS)
+    often = toxic.groupBy("unit").agg(F.count(F.lit(1)).alias("toxic"), F.min("level").alias("level")).filter(F.col("toxic") >= LEAST_ROWS)
     often = stored(often, new_folder(spark, "often"))
     clean = rows.filter("label = 0").select("text").mapInArrow(pairs, said).join(often.select("unit"), "unit", "left_semi").distinct()
     clean = clean.groupBy("unit").agg(F.count(F.lit(1)).alias("clean"))
@@ -248,15 +273,17 @@ def learn_lexicon(rows: DataFrame, model: np.ndarray) -> tuple[np.ndarray, np.nd
     bound = precision(table["toxic"].to_numpy(float), table["clean"].to_numpy(float))
     good = bound >= LEAST_PRECISION
     chosen = dict(zip(table["unit"][good].tolist(), bound[good].tolist()))
+    levels = dict(zip(table["unit"].tolist(), table["level"].tolist()))
     clean_rows = dict(zip(table["unit"].tolist(), table["clean"].tolist()))
     where = defaultdict(set)
     if chosen:
         wanted = spark.createDataFrame([(unit,) for unit in chosen], "unit long")
-        for unit, kind in toxic.join(F.broadcast(wanted), "unit").toPandas().itertuples(index=False):
+        for unit, kind in toxic.join(F.broadcast(wanted), "unit").select("unit", "kind").toPandas().itertuples(index=False):
             where[unit].add(kind)
     covered: set = set()
     lexicon = {}
-    for unit, _ in sorted(chosen.items(), key=lambda x: (-x[1], -len(where[x[0]]), x[0])):
+    # of units that tell the same, whole words come before beginnings
+    for unit, _ in sorted(chosen.items(), key=lambda x: (-x[1], -len(where[x[0]]), levels[x[0]], x[0])):
         fresh = len(where[unit] - covered)
         left = float(precision(np.array([float(fresh)]), np.array([float(clean_rows[unit])]))[0])
         if fresh >= LEAST_ROWS and left >= LEAST_PRECISION:

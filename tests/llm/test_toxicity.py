@@ -27,7 +27,7 @@ def corpus(seed, n=400):
     return docs, labels
 
 
-DISGUISES = ["id1ot", "1d10t", "m0r0n", "m o r o n", "m.o.r.o.n", "sc*m", "w0rthle$$", "moooorooon", "IDIIIIOT", "v3rm1n"]
+DISGUISES = ["id1ot", "1d10t", "m0r0n", "m o r o n", "m.o.r.o.n", "sc*m", "w0rthle$$", "moooorooon", "IDIIIIOT", "v3rm1n", "t h e g a r d e n m o r o n w a t e r", " ".join("thegardenletterpaperriverstonelittlehousemoronagainwater")]
 
 
 @pytest.fixture(scope="module")
@@ -83,6 +83,16 @@ def test_viterbi_is_the_best_of_all_ways(spark):
         assert restore(stretch, model) == best[1]
 
 
+def test_spelt_sentences_fall_into_words(spark):
+    random.seed(9)
+    texts = spark.createDataFrame([(speak(60) + " idiot moron",) for _ in range(50)], "text string")
+    model = letter_model(texts)
+    said = "the house under water moron river stone garden music summer little again the house"
+    spelt = " ".join(said.replace(" ", ""))
+    assert len(spelt) > 64 and "moron" in restored_words("x " + spelt + ". y", model)
+    assert restored_words("e3b3ed3cc8548923d6" * 9, model) == []
+
+
 def test_letter_model_counts_all_rows(spark):
     texts = spark.createDataFrame([("ab",)] * 3 + [("Ab c",), (None,), ("",)], "text string").select(F.coalesce("text", F.lit("")).alias("text"))
     model = letter_model(texts.repartition(2))
@@ -121,7 +131,7 @@ def test_copies_count_once(spark):
     from lakestrata.llm.words import words_of
 
     known = set(hashes.tolist())
-    assert words_of(pa.array(["moron"])).hashes[0] in known or words_of(pa.array(["moron"])).prefix(4)[0] in known
+    assert words_of(pa.array(["moron"])).hashes[0] in known
     assert words_of(pa.array(["zebra"])).hashes[0] not in known
 
 
