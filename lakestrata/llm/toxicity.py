@@ -50,7 +50,9 @@ LEET = {
 }
 SIGNS = "".join(LEET)
 SEPARATORS = " .-_*~'/\\"
-SUBSTITUTE, LOSE, DOUBLE, BREAK = 1.0, 3.0, 0.7, 0.5
+SUBSTITUTE, DOUBLE, BREAK = 1.0, 0.7, 0.5
+#: What it costs to lose a sign: marks of punctuation come beside words more often than digits and currencies do.
+LOSE = {sign: 4.5 if sign in "!|+(<*¡" else 9.0 for sign in LEET}
 MOST_CHARS = 64
 SENTENCE_CHARS = 12
 
@@ -116,7 +118,7 @@ def lattice(stretch: str, words: bool = False) -> list[list[tuple[str, float]]]:
             else:
                 steps.append([(char, 0.0), (char * 2, DOUBLE)])
         else:
-            ways = [("", LOSE if char in LEET and char not in SEPARATORS else 0.0)]
+            ways = [("", LOSE.get(char, 0.0) if char not in SEPARATORS else 0.0)]
             if words and char in SEPARATORS:
                 ways.append((" ", BREAK))
             for letter in LEET.get(char, ""):
@@ -149,7 +151,16 @@ def restore(stretch: str, model: np.ndarray, words: bool = False) -> str:
     return max(((score + model[a, b, 0], word) for (a, b), (score, word) in paths.items()), default=(0, ""))[1]
 
 
-_restored: dict[str, list[str]] = {}
+_restored: dict[str, list[str]] = {}  # by stretch, under the model of that mark
+_restored_under: list[float] = []
+
+
+def remember_for(model: np.ndarray) -> None:
+    """Forget what was restored under another model."""
+    mark = float(model.sum())
+    if _restored_under != [mark]:
+        _restored.clear()
+        _restored_under[:] = [mark]
 
 
 def restored_words(text: str, model: np.ndarray) -> list[str]:
@@ -197,6 +208,7 @@ def units(texts: pa.Array, model: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     words = words_of(texts)
     owner, levels = words.owner, [words.hashes, *(words.prefix(n) for n in PREFIXES)]
     extra_owner, extra = [], []
+    remember_for(model)
     for i in np.flatnonzero(disguise_possible(words.data, words.begins)):
         own = restored_words(texts[int(i)].as_py(), model)
         extra += own

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from lakestrata.llm.toxicity import BASE_SCORE, DISGUISED, labelled_rows, learn_lexicon, letter_model, precision, restore, restored_words, toxicity
+from lakestrata.llm.toxicity import BASE_SCORE, DISGUISED, labelled_rows, learn_lexicon, letter_model, precision, remember_for, restore, restored_words, toxicity
 from pyspark.sql import functions as F
 
 BAD = ["idiot", "moron", "scum", "worthless", "vermin"]
@@ -87,6 +87,7 @@ def test_spelt_sentences_fall_into_words(spark):
     random.seed(9)
     texts = spark.createDataFrame([(speak(60) + " idiot moron",) for _ in range(50)], "text string")
     model = letter_model(texts)
+    remember_for(model)
     said = "the house under water moron river stone garden music summer little again the house"
     spelt = " ".join(said.replace(" ", ""))
     assert len(spelt) > 64 and "moron" in restored_words("x " + spelt + ". y", model)
@@ -142,4 +143,5 @@ def test_precision_is_a_lower_bound():
 
 def test_stretches():
     assert [m[0] for m in DISGUISED.finditer("m o r o n! l33t normal sooooo 2024 a1")] == ["m o r o n", "l33t", "sooooo"]
+    remember_for(np.zeros((29, 29, 29)))
     assert restored_words("plain words only", np.zeros((29, 29, 29))) == []
