@@ -4,9 +4,9 @@ Language model. Letter trigrams are counted over all documents; each task counts
 cells up. The model has at most 29 ** 3 cells whatever the corpus.
 
 Channel. Only stretches that look disguised are decoded: letters with digits or signs between them, letters spelt out with
-spaces or punctuation, letters repeated three times or more. Each becomes a lattice - a sign is itself lost, or one
-of the letters it can stand for; a run of one letter is one or two of it - and the Viterbi path under the model and
-the costs of the channel is the restored word. Longer stretches of single letters are decoded once more with a way to
+spaces or punctuation (single letters and signs may be mixed), letters repeated twice or more in either case. Each becomes a
+lattice - a sign is itself lost, or one of the letters it can stand for; a run of one letter, also over separators and signs that
+stand for it alone, is one or two of it - and the Viterbi path under the model and the costs of the channel is the restored word. Longer stretches of single letters are decoded once more with a way to
 end a word at each gap, so spelt-out sentences fall into words again. Only unbroken stretches of more than
 `MOST_CHARS` characters are left alone: they are no words, but keys and the like.
 
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakestrata.llm.common import fold, new_folder, stored, whole_text
-from lakestrata.llm.words import LOWER, buffers, chunks, shingles, words_of
+from lakestrata.llm.words import LOWER, Words, buffers, chunks, shingles, words_of
 
 MOST_LABELLED = 20_000
 BASE_SCORE = 0.02
@@ -70,13 +70,20 @@ def letter_classes() -> np.ndarray:
 CLASSES = letter_classes()
 ANY = re.escape(SIGNS)
 LETTER = r"[^\W\d_]"
+MARK = re.escape("".join(sign for sign in SIGNS if not sign.isdigit()))
+GAPS = "".join(sign for sign in SEPARATORS if sign not in SIGNS)
+GAP = re.escape(GAPS)
+BETWEEN = rf"[{re.escape(SEPARATORS)}{MARK}]++"
 DISGUISED = re.compile(
-    rf"(?<![\w{ANY}])(?:"
-    rf"(?:{LETTER}(?:[ .\-_*~'/\\]+(?={LETTER}(?!\w)|[{ANY}](?![\w])))){{2,}}[{ANY}]?{LETTER}?"  # s p e l t
-    rf"|[\w{ANY}]*(?:{LETTER}[{ANY}]+{LETTER}|[{ANY}]{LETTER}+)[\w{ANY}]*"  # l3tters and signs
-    rf"|\w*({LETTER})\1\1+\w*"  # repeeeated
+    # s p 3 l t: single letters, digits and signs, each of them also repeated
+    rf"(?<![^\W_{ANY}])(?:[{MARK}]+[{GAP}]+)?([^\W_])(?i:\1)*+{BETWEEN}([^\W_])(?i:\2)*+(?![^\W_])"
+    rf"(?:(?:{BETWEEN}([^\W_])(?i:\3)*+(?![^\W_]))+(?:[{GAP}]+[{MARK}]+(?!\w))*|(?:[{GAP}]+[{MARK}]+(?!\w))+)"
+    rf"|(?<![\w{ANY}])(?:"
+    rf"[\w{ANY}]*(?:{LETTER}[{ANY}]+{LETTER}|[{ANY}]{LETTER}+)[\w{ANY}]*"  # l3tters and signs
+    rf"|\w*({LETTER})(?i:\4)(?i:\4)+\w*"  # repeeeated
     rf")(?![\w])"
 )
+TWICE = re.compile(rf"({LETTER})\1")
 
 
 def letter_model(texts: DataFrame) -> np.ndarray:
@@ -105,27 +112,59 @@ def letter_model(texts: DataFrame) -> np.ndarray:
     return np.log((tri + strength * back[None]) / (tri.sum(2, keepdims=True) + strength))
 
 
+def may_be(char: str) -> str:
+    return char if char.isalpha() else LEET.get(char, "")
+
+
+def runs(stretch: str) -> Iterator[tuple[list[str], int, bool]]:
+    """Runs that may be one letter, also over separators: their characters, their length, whether separators stand in them."""
+    found = [(run[1], len(run[0])) for run in re.finditer(r"(.)\1*", stretch.lower(), re.S)]
+    at = 0
+    while at < len(found):
+        char, n = found[at]
+        chars, gaps, to = [char], False, at + 1
+        while char not in SEPARATORS:
+            after = to
+            while after < len(found) and found[after][0] in GAPS:
+                after += 1
+            if after == len(found):
+                break
+            other, more = found[after]
+            if other in SEPARATORS or other != char and (len(may_be(char)) != 1 or may_be(other) != may_be(char)):
+                break
+            chars, n, gaps, to = [*chars, other] if other not in chars else chars, n + more, gaps or after > to, after + 1
+        yield chars, n, gaps
+        at = to
+
+
 def lattice(stretch: str, words: bool = False) -> list[list[tuple[str, float]]]:
     """For each sign or run of letters, what it may have been and at which cost; with `words`, gaps may end words."""
     steps: list[list[tuple[str, float]]] = []
-    for run in re.finditer(r"(.)\1*", stretch.lower(), re.S):
-        char, n = run[1], len(run[0])
-        if char.isalpha():
-            if n == 1:
-                steps.append([(char, 0.0)])
-            elif n == 2:
-                steps.append([(char * 2, 0.0), (char, 2 * DOUBLE)])
-            else:
-                steps.append([(char, 0.0), (char * 2, DOUBLE)])
-        else:
-            ways = [("", LOSE.get(char, 0.0) if char not in SEPARATORS else 0.0)]
-            if words and char in SEPARATORS:
-                ways.append((" ", BREAK))
-            for letter in LEET.get(char, ""):
-                ways.append((letter, SUBSTITUTE + (2 * DOUBLE if n == 2 else 0.0)))
-                if n > 1:
-                    ways.append((letter * 2, SUBSTITUTE + (DOUBLE if n > 2 else 0.0)))
-            steps.append(ways)
+    folded = list(runs(stretch))
+    solid = [chars[0] for chars, _, _ in folded if chars[0] not in GAPS]
+    place = -1
+    for chars, n, gaps in folded:
+        char, ways = chars[0], []
+        place += char not in GAPS
+        signs = [c for c in chars if not c.isalpha()]
+        cost = SUBSTITUTE if signs else 0.0
+        for letter in may_be(char):
+            ways.append((letter, cost + (2 * DOUBLE if n == 2 else 0.0)))
+            if n > 1:
+                ways.append((letter * 2, cost + (DOUBLE if n > 2 else 0.0)))
+            if words and gaps:
+                ways.append((f"{letter} {letter}", cost + BREAK))
+                if n > 2:
+                    ways += [(f"{letter * 2} {letter}", cost + DOUBLE + BREAK), (f"{letter} {letter * 2}", cost + DOUBLE + BREAK)]
+        if len(signs) == len(chars):
+            lose = 0.0 if char in SEPARATORS else sum(LOSE.get(c, 0.0) for c in signs)
+            beside = solid[max(place - 1, 0) : place] + solid[place + 1 : place + 2] if char in LEET else []
+            if len(may_be(char)) > 1 and any(may_be(c) and may_be(c) in may_be(char) for c in beside if c != char):
+                lose = min(lose, SUBSTITUTE + 2 * DOUBLE)  # it repeats the letter beside it
+            ways.append(("", lose))
+            if words and (char in SEPARATORS or gaps):
+                ways.append((" ", lose + BREAK))
+        steps.append(ways)
     return steps
 
 
@@ -135,10 +174,10 @@ def code(letter: str) -> int:
 
 def restore(stretch: str, model: np.ndarray, words: bool = False) -> str:
     """The likeliest word (or words) behind a stretch: Viterbi over its lattice, with the last two letters as state."""
-    paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for ways in lattice(stretch, words):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, word) in paths.items():
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, path) in paths.items():
             for letters, cost in ways:
                 total, p, q = score - cost, a, b
                 for letter in letters:
@@ -146,12 +185,17 @@ def restore(stretch: str, model: np.ndarray, words: bool = False) -> str:
                     total += model[p, q, r]
                     p, q = q, r
                 if (p, q) not in after or after[p, q][0] < total:
-                    after[p, q] = (total, word + letters)
+                    after[p, q] = (total, (path, letters) if letters else path)
         paths = after
-    return max(((score + model[a, b, 0], word) for (a, b), (score, word) in paths.items()), default=(0, ""))[1]
+    (a, b), (_, path) = max(paths.items(), key=lambda x: x[1][0] + model[x[0][0], x[0][1], 0])
+    found = []
+    while path:
+        path, letters = path
+        found.append(letters)
+    return "".join(reversed(found))
 
 
-_restored: dict[str, list[str]] = {}  # by stretch, under the model of that mark
+_restored: dict[str | int, list[str]] = {}  # by stretch or hash of a word, under the model of that mark
 _restored_under: list[float] = []
 
 
@@ -163,31 +207,62 @@ def remember_for(model: np.ndarray) -> None:
         _restored_under[:] = [mark]
 
 
+def readings(stretch: str, model: np.ndarray) -> list[str]:
+    """The words that a stretch may have been, other than itself."""
+    spelt = any(sign in SEPARATORS for sign in stretch)
+    if len(stretch) > MOST_CHARS:
+        return restore(stretch, model, True).split() if spelt else []
+    words = {restore(part, model) for part in (stretch, stretch.strip(SIGNS + SEPARATORS)) if re.search(LETTER, part)}
+    if spelt and len(stretch) >= SENTENCE_CHARS:
+        words.update(restore(stretch, model, True).split())
+    return sorted(words - {"", stretch.lower()})
+
+
 def restored_words(text: str, model: np.ndarray) -> list[str]:
     found = []
     for match in DISGUISED.finditer(text):
         stretch = match[0]
         if not re.search(LETTER, stretch):
             continue
-        spelt = any(sign in SEPARATORS for sign in stretch)
-        if len(stretch) > MOST_CHARS:
-            if spelt:
-                found += restore(stretch, model, True).split()
-            continue
         words = _restored.get(stretch)
         if words is None:
             if len(_restored) > 200_000:
                 _restored.clear()
-            words = {restore(stretch, model)}
-            if spelt and len(stretch) >= SENTENCE_CHARS:
-                words.update(restore(stretch, model, True).split())
-            words = _restored[stretch] = sorted(words - {"", stretch.lower()})
+            words = _restored[stretch] = readings(stretch, model)
         found += words
     return found
 
 
+def doubled(words: Words, model: np.ndarray) -> tuple[list[int], list[str]]:
+    """Owners and restored words of the words that hold a letter twice in a row; each distinct word is decoded once."""
+    data = words.data
+    hit = np.zeros(len(data) + 1, np.int64)
+    hit[2:] = (data[1:] == data[:-1]) & (data[1:] >= 97) & (data[1:] <= 122)
+    high = data >= 128
+    hit[4:] |= high[3:] & high[2:-1] & high[1:-2] & high[:-3]  # two letters beyond ASCII
+    counts = np.cumsum(hit)
+    found = np.flatnonzero(counts[words.ends] > counts[words.starts + 1])
+    hashes, first, which = np.unique(words.hashes[found], return_index=True, return_inverse=True)
+    restored = []
+    for value, i in zip(hashes.tolist(), found[first].tolist()):
+        ways = _restored.get(value)
+        if ways is None:
+            word = words.text(i)
+            ways = readings(word, model) if TWICE.search(word.lower()) else []
+            if len(_restored) > 200_000:
+                _restored.clear()
+            _restored[value] = ways
+        restored.append(ways)
+    owners, extra = [], []
+    some = np.array([bool(ways) for ways in restored], bool)[which]
+    for value, owner in zip(which[some].tolist(), words.owner[found[some]].tolist()):
+        owners += [owner] * len(restored[value])
+        extra += restored[value]
+    return owners, extra
+
+
 def disguise_possible(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """Which texts hold a sign beside a letter, a letter three times, or letters that stand alone in a row."""
+    """Which texts hold a sign before a letter, a letter three times, or a letter, once or repeated, that stands alone."""
     if not len(data):
         return np.zeros(len(begins) - 1, bool)
     letter = ((data >= 97) & (data <= 122)) | (data >= 128)
@@ -198,7 +273,12 @@ def disguise_possible(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
     hit = np.zeros(len(data), bool)
     hit[:-1] |= signs[:-1] & letter[1:]
     hit[2:] |= letter[2:] & (data[2:] == data[1:-1]) & (data[2:] == data[:-2])
-    hit[2:] |= letter[2:] & ~letter[1:-1] & letter[:-2] & (data[1:-1] != 10) & np.concatenate([[True], ~letter[:-3]])
+    word = ((data >= 97) & (data <= 122)) | ((data >= 48) & (data <= 57))
+    before, after = np.concatenate([[False], word[:-1]]), np.concatenate([word[1:], [False]])
+    before[begins[:-1][begins[:-1] < len(data)]] = False
+    after[begins[1:][begins[1:] > 0] - 1] = False
+    hit |= letter & ~before & ~after
+    hit[1:] |= letter[1:] & (data[1:] == data[:-1]) & ~before[:-1] & ~after[1:]
     counts = np.concatenate([[0], np.cumsum(hit)])
     return counts[begins[1:]] > counts[begins[:-1]]
 
@@ -207,8 +287,8 @@ def units(texts: pa.Array, model: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     """For each text's distinct words, original and restored: the text's number, the word's hash, and its units' hashes."""
     words = words_of(texts)
     owner, levels = words.owner, [words.hashes, *(words.prefix(n) for n in PREFIXES)]
-    extra_owner, extra = [], []
     remember_for(model)
+    extra_owner, extra = doubled(words, model)
     for i in np.flatnonzero(disguise_possible(words.data, words.begins)):
         own = restored_words(texts[int(i)].as_py(), model)
         extra += own

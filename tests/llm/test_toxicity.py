@@ -145,3 +145,38 @@ def test_stretches():
     assert [m[0] for m in DISGUISED.finditer("m o r o n! l33t normal sooooo 2024 a1")] == ["m o r o n", "l33t", "sooooo"]
     remember_for(np.zeros((29, 29, 29)))
     assert restored_words("plain words only", np.zeros((29, 29, 29))) == []
+
+
+MIXED = [
+    "m 0 r o n", "m o r 0 n", "m.0.r.0.n", "1 d 1 0 t", "m o o o o r o n", "moOoOron", "mmoorroonn", "mooron", "m_o_r_o_n", "mm oo rr oo nn",
+    "m  -  0  -  r o n", "mo0oron", "id1i1ot", "1D10000t", "$ c u m", "w 0 r t h l e $ $", "5 m o r o n", "m o r o n !", "M 0 0 0 R 0 N", "v 3 R r m 1 n",
+]
+
+
+def test_mixed_disguises_are_found(spark):
+    docs, labels = corpus(1)
+    more = [(1000 + k, f"{speak(12)} {x} {speak(9)}") for k, x in enumerate(MIXED)]
+    clean = [(3000 + k, f"{speak(12)} {x} {speak(9)}") for k, x in enumerate(["little letter", "1 2 3 4", "a 1 b 2 c 3", "10.0.0.1", "o o o o o", "$ 5 ! 5 !"])]
+    df = spark.createDataFrame(docs + more + clean, "doc_id long, text string")
+    rows = {r.doc_id: r.score for r in toxicity(df, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert [x for k, x in enumerate(MIXED) if rows[1000 + k] < 0.7] == []
+    assert [text for doc, text in clean if rows[doc] >= 0.7] == []
+
+
+def test_viterbi_is_the_best_of_all_ways_of_mixed_disguises(spark):
+    from itertools import product
+
+    from lakestrata.llm.toxicity import code, lattice
+
+    texts = spark.createDataFrame([(speak(30) + " ".join(BAD),) for _ in range(20)], "text string")
+    model = letter_model(texts)
+    for stretch in (x for x in MIXED if len(x) < 16):
+        for words in (False, True):
+            scores = {}
+            for way in product(*lattice(stretch, words)):
+                word, score, a, b = "".join(w for w, _ in way), -sum(c for _, c in way), 0, 0
+                for letter in word:
+                    score, a, b = score + model[a, b, code(letter)], b, code(letter)
+                scores[word] = max(scores.get(word, score + model[a, b, 0]), score + model[a, b, 0])
+            found = restore(stretch, model, words)
+            assert scores[found] == pytest.approx(max(scores.values()))
