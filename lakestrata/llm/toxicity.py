@@ -7,8 +7,9 @@ Channel. Only stretches that look disguised are decoded: letters with digits or
 spaces or punctuation (single letters and signs may be mixed), letters repeated twice or more in either case. Each becomes a
 lattice - a sign is itself lost, or one of the letters it can stand for; a run of one letter, also over separators and signs that
 stand for it alone, is one or two of it - and the Viterbi path under the model and the costs of the channel is the restored word. Longer stretches of single letters are decoded once more with a way to
-end a word at each gap, so spelt-out sentences fall into words again. Only unbroken stretches of more than
-`MOST_CHARS` characters are left alone: they are no words, but keys and the like.
+end a word at each gap, so spelt-out sentences fall into words again. Stretches of any length are decoded, with and without
+the signs at their ends; only those of up to `MOST_CHARS` characters are remembered. What still has more than
+`MOST_CHARS` letters or signs when runs are folded (keys and the like) counts if a beginning of it is likelier than letters drawn evenly.
 
 Scores. Units are whole words and their first 4, 5 and 6 bytes. From the labelled training rows a lexicon is
 learnt by covering: units are taken in order of the lower bound of their precision, and each must explain toxic
@@ -76,7 +77,7 @@ GAP = re.escape(GAPS)
 BETWEEN = rf"[{re.escape(SEPARATORS)}{MARK}]++"
 DISGUISED = re.compile(
     # s p 3 l t: single letters, digits and signs, each of them also repeated
-    rf"(?<![^\W_{ANY}])(?:[{MARK}]+[{GAP}]+)?([^\W_])(?i:\1)*+{BETWEEN}([^\W_])(?i:\2)*+(?![^\W_])"
+    rf"(?<![^\W_])(?<![{ANY}])(?:[{MARK}]++[{GAP}]*+)?([^\W_])(?i:\1)*+{BETWEEN}([^\W_])(?i:\2)*+(?![^\W_])"
     rf"(?:(?:{BETWEEN}([^\W_])(?i:\3)*+(?![^\W_]))+(?:[{GAP}]+[{MARK}]+(?!\w))*|(?:[{GAP}]+[{MARK}]+(?!\w))+)"
     rf"|(?<![\w{ANY}])(?:"
     rf"[\w{ANY}]*(?:{LETTER}[{ANY}]+{LETTER}|[{ANY}]{LETTER}+)[\w{ANY}]*"  # l3tters and signs
@@ -207,12 +208,27 @@ def remember_for(model: np.ndarray) -> None:
         _restored_under[:] = [mark]
 
 
+def likely(word: str, model: np.ndarray) -> bool:
+    """Whether one of the beginnings of a word that are units is likelier than letters drawn evenly."""
+    score, a, b = 0.0, 0, 0
+    for n, letter in enumerate(word[: max(PREFIXES)], 1):
+        score, a, b = score + model[a, b, code(letter)], b, code(letter)
+        if n in PREFIXES and score > -n * math.log(LETTERS):
+            return True
+    return False
+
+
 def readings(stretch: str, model: np.ndarray) -> list[str]:
-    """The words that a stretch may have been, other than itself."""
+    """The words that a stretch may have been, other than itself; with and without the signs at its ends."""
     spelt = any(sign in SEPARATORS for sign in stretch)
-    if len(stretch) > MOST_CHARS:
-        return restore(stretch, model, True).split() if spelt else []
-    words = {restore(part, model) for part in (stretch, stretch.strip(SIGNS + SEPARATORS)) if re.search(LETTER, part)}
+    ends = SIGNS + SEPARATORS
+    words = set()
+    for part in {stretch, stretch.lstrip(ends), stretch.rstrip(ends), stretch.strip(ends)}:
+        short = sum(chars[0] not in GAPS for chars, _, _ in runs(part)) <= MOST_CHARS
+        if re.search(LETTER, part) and (short or not spelt):
+            word = restore(part, model)
+            if short or likely(word, model):
+                words.add(word)
     if spelt and len(stretch) >= SENTENCE_CHARS:
         words.update(restore(stretch, model, True).split())
     return sorted(words - {"", stretch.lower()})
@@ -228,7 +244,9 @@ def restored_words(text: str, model: np.ndarray) -> list[str]:
         if words is None:
             if len(_restored) > 200_000:
                 _restored.clear()
-            words = _restored[stretch] = readings(stretch, model)
+            words = readings(stretch, model)
+            if len(stretch) <= MOST_CHARS:
+                _restored[stretch] = words
         found += words
     return found
 
@@ -251,7 +269,8 @@ def doubled(words: Words, model: np.ndarray) -> tuple[list[int], list[str]]:
             ways = readings(word, model) if TWICE.search(word.lower()) else []
             if len(_restored) > 200_000:
                 _restored.clear()
-            _restored[value] = ways
+            if len(word) <= MOST_CHARS:
+                _restored[value] = ways
         restored.append(ways)
     owners, extra = [], []
     some = np.array([bool(ways) for ways in restored], bool)[which]

@@ -180,3 +180,27 @@ def test_viterbi_is_the_best_of_all_ways_of_mixed_disguises(spark):
                 scores[word] = max(scores.get(word, score + model[a, b, 0]), score + model[a, b, 0])
             found = restore(stretch, model, words)
             assert scores[found] == pytest.approx(max(scores.values()))
+
+
+LONG = [
+    "mor" + "o" * 60 + "n", "m0r0n" + "!" * 60, "!" * 60 + "m0r0n", "m0r0n" + "!1$" * 40, "$cum" + "1!" * 50, "m" + "0" * 500 + "r0n", "mo" + "o" * 9000 + "ron",
+    "m" + " " * 50 + "0" + " " * 50 + "r o n", "m o r" + " 0" * 60 + " n",
+]
+
+
+def test_long_stretches_are_decoded_too(spark):
+    docs, labels = corpus(1)
+    more = [(1000 + k, f"{speak(12)} {x} {speak(9)}") for k, x in enumerate(LONG)]
+    clean = [(3000 + k, f"{speak(12)} {x} {speak(9)}") for k, x in enumerate(["e3b3ed3cc8548923d6" * 9, "ab1" * 3000, "house" + "!" * 100])]
+    df = spark.createDataFrame(docs + more + clean, "doc_id long, text string")
+    rows = {r.doc_id: r.score for r in toxicity(df, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert [x[:20] for k, x in enumerate(LONG) if rows[1000 + k] < 0.7] == []
+    assert [text for doc, text in clean if rows[doc] >= 0.7] == []
+
+
+def test_a_long_stretch_keeps_the_beginning_of_its_word(spark):
+    docs, _ = corpus(1)
+    model = letter_model(spark.createDataFrame(docs, "doc_id long, text string"))
+    remember_for(model)
+    glued = "m0r0n" + "river5stone5house5river5s" * 8
+    assert [word[:5] for word in restored_words(f"x {glued}.", model)] == ["moron"]
