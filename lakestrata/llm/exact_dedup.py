@@ -68,6 +68,7 @@ def fold_into_state(
         files = (
             spark.readStream.schema(schema)
             .option("maxBytesPerTrigger", str(batch_bytes))
+            .option("maxFileAge", "36500d")  # files older than the newest one seen by more than this would be left out
             .parquet(f"{whole[:-1]}[{whole[-1]}]")  # as a pattern, a single file may be given too
         )
         groups = (

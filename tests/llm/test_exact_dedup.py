@@ -1,3 +1,4 @@
+import os
 from collections import defaultdict
 
 import pytest
@@ -56,6 +57,16 @@ def test_state_goes_on_with_new_files(spark, tmp_path):
     assert sum(first.values()) == 6
 
 
+def test_a_later_run_reads_files_with_older_times(spark, tmp_path):
+    path, state = written(spark, tmp_path, DOCS[:6]), str(tmp_path / "state")
+    fold_into_state(spark, path, state)
+    seen = set(os.listdir(path))
+    written(spark, tmp_path, DOCS[6:])
+    for name in set(os.listdir(path)) - seen:
+        os.utime(f"{path}/{name}", (86_400, 86_400))  # copied or restored files, as old as may be
+    assert told(exact_dedup(spark, path, state=state)) == expected(DOCS)
+
+
 def test_a_group_of_a_third_of_all_rows(spark, tmp_path):
     docs = [(i, "common" if i % 3 == 0 else f"text {i}") for i in range(3000)]
     assert told(exact_dedup(spark, written(spark, tmp_path, docs))) == expected(docs)
