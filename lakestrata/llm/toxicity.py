@@ -281,22 +281,30 @@ def doubled(words: Words, model: np.ndarray) -> tuple[list[int], list[str]]:
 
 
 def disguise_possible(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """Which texts hold a sign before a letter, a letter three times, or a letter, once or repeated, that stands alone."""
+    """Which texts hold a sign before a letter, a letter three times, or a letter, once or repeated, that stands alone.
+
+    Every text in which `DISGUISED` finds letters is among them; what is beyond ASCII counts as a letter and as an end of one.
+    """
     if not len(data):
         return np.zeros(len(begins) - 1, bool)
     letter = ((data >= 97) & (data <= 122)) | (data >= 128)
     sign = np.zeros(256, bool)
     sign[[ord(c) for c in SIGNS if ord(c) < 128]] = True
-    sign[128:] = True
-    signs = sign[data] & ~((data >= 128))
+    signs, high = sign[data], data >= 128
     hit = np.zeros(len(data), bool)
     hit[:-1] |= signs[:-1] & letter[1:]
+    for other in (c.encode() for c in SIGNS if ord(c) >= 128):
+        found = data[len(other) - 1 :] == other[-1]
+        for k, byte in enumerate(other[:-1]):
+            found &= data[k : len(data) - len(other) + 1 + k] == byte
+        hit[len(other) - 1 :] |= found
+    hit[5:] |= np.logical_and.reduce([high[k : max(len(high) - 5, 0) + k] for k in range(6)])  # three letters beyond ASCII
     hit[2:] |= letter[2:] & (data[2:] == data[1:-1]) & (data[2:] == data[:-2])
     word = ((data >= 97) & (data <= 122)) | ((data >= 48) & (data <= 57))
     before, after = np.concatenate([[False], word[:-1]]), np.concatenate([word[1:], [False]])
     before[begins[:-1][begins[:-1] < len(data)]] = False
     after[begins[1:][begins[1:] > 0] - 1] = False
-    hit |= letter & ~before & ~after
+    hit |= letter & ~before & (~after | high)
     hit[1:] |= letter[1:] & (data[1:] == data[:-1]) & ~before[:-1] & ~after[1:]
     counts = np.concatenate([[0], np.cumsum(hit)])
     return counts[begins[1:]] > counts[begins[:-1]]

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -204,3 +205,20 @@ def test_a_long_stretch_keeps_the_beginning_of_its_word(spark):
     remember_for(model)
     glued = "m0r0n" + "river5stone5house5river5s" * 8
     assert [word[:5] for word in restored_words(f"x {glued}.", model)] == ["moron"]
+
+
+def test_every_disguise_reaches_the_decoder():
+    import pyarrow as pa
+
+    from lakestrata.llm.toxicity import LETTER, disguise_possible
+    from lakestrata.llm.words import words_of
+
+    random.seed(6)
+    texts = ["id€ot", "£iar", "mor¡n", "m  o  r  o  n", "m - o - r - o - n", "mm oo rr", "ééé", "ÉéÉ", "é é é", "“m 0 n”", "m£ o£ r£", "x\n", "m 0 n"]
+    for alphabet in ("mo0 -", "aé€£ .", "a1!*_ é", "Éé -x“", "$a\n 5b"):
+        texts += ["".join(random.choice(alphabet) for _ in range(random.randrange(1, 9))) for _ in range(3000)]
+    wanted = np.array([any(re.search(LETTER, m[0]) for m in DISGUISED.finditer(text)) for text in texts])
+    for glue in ("", "x"):
+        words = words_of(pa.array([glue + "x", *texts], pa.large_string()))
+        assert 1000 < wanted.sum() < len(texts) - 1000
+        assert [text for text, a, b in zip(texts, wanted, disguise_possible(words.data, words.begins)[1:]) if a and not b] == []
