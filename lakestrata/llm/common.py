@@ -4,35 +4,27 @@ from __future__ import annotations
 
 import string
 import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_root: list[str] = []
+from lakestrata.session import has_folder, scratch_dir, use_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder in `spark.checkpoint.dir`; only a local session without that setting gets its own."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    if not _own_root:
-        _own_root.append(tempfile.mkdtemp(prefix="lakestrata-llm-"))
-    return _own_root[0]
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for tables written half-way; the owner of the shared folder decides how long they live."""
-    return f"{shared_root(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    """A new folder for tables written half-way, in the session's shared folder; `session.clear_scratch` deletes it.
+
+    A local session that names no folder gets one of its own; a cluster must name it.
+    """
+    if not has_folder(spark) and spark.sparkContext.master.startswith("local"):
+        use_folder(spark, tempfile.mkdtemp(prefix="lakestrata-llm-"))
+    return scratch_dir(spark, f"llm-{name}")
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:

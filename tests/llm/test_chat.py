@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from helpers import sha
+from brute import sha
 
 from lakestrata.llm.chat import chat_tree, digests, escape, format_turn, read_back, read_turns, shared_depth, unescape
 

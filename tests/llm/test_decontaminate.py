@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from helpers import hits, words
+from brute import hits, words
 
 from lakestrata.llm.decontaminate import (
     clean_documents, decontaminate, index_postings, is_contaminated, proximity_matches, query_blocks, term_counts,

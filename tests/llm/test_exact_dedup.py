@@ -2,7 +2,7 @@ import os
 from collections import defaultdict
 
 import pytest
-from helpers import lower, sha
+from brute import lower, sha
 from pyspark.sql import functions as F
 
 from lakestrata.llm.exact_dedup import exact_dedup, fold_into_state, read_state, sha256

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from helpers import dedup_lines
+from brute import dedup_lines
 
 from lakestrata.llm.line_dedup import LineRuns, drop_repeated_lines, hash_of, key_of, line_hashes
 from pyspark.sql import functions as F

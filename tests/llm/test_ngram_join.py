@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from helpers import classes, near_links, shingles, words
+from brute import classes, near_links, shingles, words
 
 from lakestrata.llm.components import components
 from lakestrata.llm.ngram_join import common_counts, drop_near_copies, least_matches, likely_pairs, ngram_join, sketches

@@ -44,7 +44,7 @@ def test_each_piece_goes_to_a_tightest_compatible_bin(seed):
 
 def check(docs, found, capacity):
     """Every word once, no bin too full, no two of a source or of copies together."""
-    from helpers import lower
+    from brute import lower
 
     size = defaultdict(list)
     for doc, text, _ in docs:

@@ -4,7 +4,7 @@ import os
 import random
 
 import pytest
-from helpers import classes, dedup_lines, hits, lower, near_links
+from brute import classes, dedup_lines, hits, lower, near_links
 
 import corpus_pipeline
 from lakestrata.llm import queries
