@@ -39,13 +39,3 @@ def settings(spark):
     yield change
     for key, value in before.items():
         spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-
-
-def rows(df, *columns):
-    """Rows as sorted tuples."""
-    df = df.select(*columns) if columns else df
-    return sorted((tuple(row) for row in df.collect()), key=repr)
-
-
-def plan(df):
-    return df._jdf.queryExecution().explainString(df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))

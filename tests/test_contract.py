@@ -2,7 +2,7 @@ from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
-from conftest import plan, rows
+from support import plan, rows
 from pyspark.sql import functions as F
 
 from lakestrata.operators import contract as contracts

@@ -5,7 +5,7 @@ from pathlib import Path
 from shutil import rmtree
 
 import pytest
-from conftest import plan, rows
+from support import plan, rows
 from pyspark.sql import functions as F
 
 from lakestrata.operators.governance import Retention

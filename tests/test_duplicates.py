@@ -1,7 +1,7 @@
 from collections import Counter
 
 import pytest
-from conftest import plan, rows
+from support import plan, rows
 from hypothesis import HealthCheck, given, settings as hyp
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

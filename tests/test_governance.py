@@ -2,7 +2,7 @@ import hashlib
 from datetime import date
 
 import pytest
-from conftest import rows
+from support import rows
 from pyspark.sql import functions as F
 
 from lakestrata.operators import governance

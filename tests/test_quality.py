@@ -1,7 +1,7 @@
 from datetime import date
 
 import pytest
-from conftest import plan, rows
+from support import plan, rows
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 

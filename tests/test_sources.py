@@ -2,7 +2,7 @@ from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
-from conftest import rows
+from support import rows
 
 from lakestrata.plans.sales import CONTRACT
 from lakestrata.session import clear_scratch, scratch_dir, shared_dir, tune_for
