@@ -192,3 +192,34 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakestrata.llm.html import main_text
 
     return main_text(table(spark, sf_dir, "pages"))
+
+
+@query(
+    f"""
+    WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+    x AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+    t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM x GROUP BY lang),
+    f AS (SELECT lang, k, phrase, count(*) AS f
+          FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+                FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM x, range(1, 6) AS s(k) WHERE len(w) >= k))
+          GROUP BY ALL HAVING count(*) >= 100),
+    c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+    u AS (SELECT lang, phrase, k, a, w, unnest(range(1, k)) AS j FROM c),
+    s AS (SELECT u.lang, u.phrase, u.a, j, y.f AS l, z.f AS r, n,
+                 CAST((1000::HUGEINT * u.a * n) // (y.f::HUGEINT * z.f) AS BIGINT) AS score
+          FROM u JOIN t USING (lang)
+          JOIN f AS y ON y.lang = u.lang AND y.phrase = array_to_string(w[:j], ' ')
+          JOIN f AS z ON z.lang = u.lang AND z.phrase = array_to_string(w[j + 1:], ' ')),
+    m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+    i AS (SELECT lang, array_to_string(w[b:b + z - 1], ' ') AS phrase, max(a) AS longer
+          FROM (SELECT lang, w, a, z, unnest(range(1, k - z + 2)) AS b FROM c, range(2, 5) AS q(z) WHERE z < k) GROUP BY ALL)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM m LEFT JOIN i USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a
+    QUALIFY rank <= 2000
+    """
+)
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakestrata.llm.phrases import collocations
+
+    found = collocations(table(spark, sf_dir, "documents"))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
