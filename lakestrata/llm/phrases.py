@@ -1,13 +1,13 @@
 """Phrase collocations from Rabin-Karp fingerprints.
 
 Texts are cut into pieces, and pieces into words. Prefix polynomials over the word hashes give the 64-bit fingerprint of every
-n-gram by one subtraction. Each task sums what is equal, and the shuffle adds up (fingerprint, count, check, pointer):
-`check` is a second, independent fingerprint, kept as its least and largest value, and the pointer is one occurrence (a hash of
-its document, the word's position, the length). Texts are never shuffled with n-grams; only fingerprints that reach the
-least count are followed to a text:
+n-gram by one subtraction. Each task sums what is equal, and the shuffle adds up (fingerprint, count, checks, pointer):
+`checks` sums, over the occurrences, `CHECK_BITS` bits of a second, independent polynomial, and the pointer is one occurrence (a
+hash of its document, the word's position, the length). Only fingerprints that reach the least count are followed to a text:
 
-* where all checks agree, the phrase is read at its pointer and its fingerprints are compared again;
-* where they differ, several phrases share the fingerprint. Their occurrences are read again and counted by their text.
+* the phrase is read at its pointer. If its fingerprint is the one and its check, times the count, is the sum, all occurrences
+  are that phrase;
+* otherwise several phrases share the fingerprint. Their occurrences are read again and counted by their text.
 
 N-grams are counted level by level: words, then pairs of frequent words, then longer ones whose pairs are all frequent, as no phrase
 is more frequent than its parts. What a level passes on is a bitmap of fixed size (`BITS`): a fingerprint it lets through wrongly is
@@ -17,7 +17,7 @@ Skew: a phrase of any frequency is one row of each task before the shuffle. Rank
 language that holds most phrases is no single sort. Identical documents have pointers of their own and are read once.
 
 Defined results: null and empty texts have no words; a null language counts as `und`, together with documents that say so. Repeated
-rows count as often as they are there. Other columns are not read. Words that are equal in two 64-bit hashes count as equal.
+rows count as often as they are there. Other columns are not read. Phrases that are equal in fingerprint and check count as one.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ IN_WORD[[0x20, 0x09]] = False
 OTHER_BASE = np.uint64(0xD6E8FEB86659FD93)
 OTHER_INVERSE = np.uint64(pow(int(OTHER_BASE), -1, 1 << 64))
 
-LENGTH_BITS, POSITION_BITS = 4, 28
+LENGTH_BITS, POSITION_BITS, CHECK_BITS = 4, 28, 16
 MOST_POSITION = 1 << POSITION_BITS
 
 
@@ -65,6 +65,10 @@ def fingerprints(sums: np.ndarray, down: np.ndarray, starts: np.ndarray, n: int,
     return mix(hash_spans(sums, down, starts, starts + n) ^ salt ^ mix(np.array([n], np.uint64)))
 
 
+def short(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - CHECK_BITS)).astype(np.int64)
+
+
 @dataclass
 class Pieces:
     """The words of some texts with prefix polynomials over their hashes."""
@@ -117,7 +121,7 @@ class Pieces:
         return starts, fingerprints(*self.main, starts, n, self.salt[self.owner[starts]]) & self.mask
 
     def checks(self, starts: np.ndarray, n: int) -> np.ndarray:
-        return fingerprints(*self.check, starts, n, self.salt[self.owner[starts]]).view(np.int64)
+        return short(fingerprints(*self.check, starts, n, self.salt[self.owner[starts]]))
 
     def phrase(self, start: int, n: int) -> str:
         return " ".join(self.data[self.starts[k] : self.ends[k]].tobytes().decode("utf-8", "replace") for k in range(start, start + n))
@@ -143,23 +147,23 @@ def bitmap_of(values: DataFrame, bits: int = BITS) -> np.ndarray:
     return bitmap
 
 
-SUMMED = "fp long, n long, low long, high long, pointer long"
+SUMMED = "fp long, n long, checks long, pointer long"
 
 
 def combined(parts: list[np.ndarray]) -> np.ndarray:
-    """Rows of (fp, n, low, high, pointer), one per fingerprint."""
+    """Rows of (fp, n, checks, pointer), one per fingerprint."""
     rows = np.concatenate(parts, axis=1)
     rows = rows[:, np.argsort(rows[0])]
     new = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]])) if rows.shape[1] else np.zeros(0, np.int64)
     if not len(new):
         return rows
-    kinds = (np.add, np.minimum, np.maximum, np.minimum)
+    kinds = (np.add, np.add, np.minimum)
     return np.stack([rows[0, new], *(kind.reduceat(row, new) for kind, row in zip(kinds, rows[1:]))])
 
 
 def batches_of(rows: np.ndarray, size: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     for at in range(0, rows.shape[1], size):
-        yield pa.RecordBatch.from_arrays([pa.array(row[at : at + size]) for row in rows], ["fp", "n", "low", "high", "pointer"])
+        yield pa.RecordBatch.from_arrays([pa.array(row[at : at + size]) for row in rows], ["fp", "n", "checks", "pointer"])
 
 
 def level_of(words: Column) -> Column:
@@ -187,12 +191,12 @@ def counted(docs: DataFrame, sizes: Sequence[int], known: np.ndarray | None, par
                         checks, ones = pieces.checks(starts, n), np.ones(len(starts), np.int64)
                     else:  # the empty phrase, once per word
                         starts = np.flatnonzero(counts > 0)
-                        checks, ones = mix(pieces.salt[starts]).view(np.int64), counts[starts].astype(np.int64)
-                        fps = checks.view(np.uint64) & mask
+                        fps, ones = mix(pieces.salt[starts]) & mask, counts[starts].astype(np.int64)
+                        checks = short(pieces.salt[starts]) * ones
                     owner = pieces.owner[starts] if n else starts
                     place = starts - pieces.first[:-1][owner] if n else np.zeros(len(starts), np.int64)
                     pointer = prefix[owner] | place << np.int64(LENGTH_BITS) | np.int64(n)
-                    rows = combined([np.stack([fps.view(np.int64), ones, checks, checks, pointer])])
+                    rows = combined([np.stack([fps.view(np.int64), ones, checks, pointer])])
                     held.append(rows)
                     total += rows.shape[1]
                 if total > most_held:
@@ -205,17 +209,18 @@ def counted(docs: DataFrame, sizes: Sequence[int], known: np.ndarray | None, par
             yield from batches_of(combined(held))
 
     rows = docs.select("mark", "lang_hash", "text").mapInArrow(run, SUMMED)
-    sums = rows.groupBy("fp").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("pointer").alias("pointer"))
+    # in this order what is random lies together, and the rest of a row is like that of the row before: it shuffles in fewer bytes
+    sums = rows.groupBy("fp").agg(F.min("pointer").alias("pointer"), F.sum("checks").alias("checks"), F.sum("n").alias("n"))
     size = F.col("pointer").bitwiseAND(F.lit((1 << LENGTH_BITS) - 1))
     frequent = sums.filter((F.col("n") >= least) | (size == 0)).withColumn("level", level_of(F.lit(max(sizes))))
     return stored(frequent, new_folder(docs.sparkSession, "phrase-counts"))
 
 
-def read_at_pointers(docs: DataFrame, sure: DataFrame, mask: np.uint64, bits: int) -> DataFrame:
-    """lang, phrase, words and n of the fingerprints, read at their pointers; what does not hash to the same there is not it."""
+def read_at_pointers(docs: DataFrame, found: DataFrame, mask: np.uint64, bits: int) -> DataFrame:
+    """fp, level, lang, phrase, words and n of the fingerprints of one phrase each, read at their pointers."""
     spark = docs.sparkSession
     prefix = F.shiftright("pointer", 32)
-    wanted = sure.groupBy(prefix.alias("prefix")).agg(F.collect_list(F.struct("fp", "low", "n", "pointer")).alias("wanted"))
+    wanted = found.groupBy(prefix.alias("prefix")).agg(F.collect_list(F.struct("fp", "level", "checks", "n", "pointer")).alias("wanted"))
     wanted = stored(wanted, new_folder(spark, "phrase-pointers"))
     held = spark.sparkContext.broadcast(bitmap_of(wanted.select(F.xxhash64("prefix").alias("fp")), bits))
 
@@ -225,35 +230,38 @@ def read_at_pointers(docs: DataFrame, sure: DataFrame, mask: np.uint64, bits: in
             yield batch.filter(pa.array(in_bitmap(keys.view(np.uint64), held.value)))
 
     keyed = docs.select("mark", "lang", "lang_hash", "text", F.xxhash64(F.shiftright("mark", 32)).alias("key"))
-    few = keyed.mapInArrow(may_hold, keyed.schema).drop("key")
-    few = few.groupBy("mark").agg(F.any_value("lang").alias("lang"), F.any_value("lang_hash").alias("lang_hash"), F.any_value("text").alias("text"))
-    joined = few.withColumn("prefix", F.shiftright("mark", 32)).join(wanted, "prefix").select("lang", "lang_hash", "text", "wanted")
+    few = keyed.mapInArrow(may_hold, keyed.schema).select("lang", "lang_hash", "text", "mark", F.shiftright("mark", 32).alias("prefix"))
+    # dealt out once, for repeated rows and for the join
+    few = few.repartition("prefix").groupBy("prefix", "mark").agg(*(F.any_value(name).alias(name) for name in ("lang", "lang_hash", "text")))
+    joined = few.join(wanted, "prefix").select("lang", "lang_hash", "text", "wanted")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, hashes, texts = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(2)
             for i in range(batch.num_rows):
                 pieces = Pieces.of(texts.slice(i, 1).cast(pa.large_string()), hashes[i : i + 1].view(np.uint64), mask)
-                asked = batch.column(3)[i].values.flatten()  # fp, low, n, pointer
-                fp, low, n, pointer = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in asked)
+                asked = batch.column(3)[i].values.flatten()
+                fp, level, checks, n, pointer = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in asked)
                 size = pointer & np.int64((1 << LENGTH_BITS) - 1)
                 place = pointer >> np.int64(LENGTH_BITS) & np.int64(MOST_POSITION - 1)
                 out = []
                 for words in np.unique(size):
                     of_size = np.flatnonzero((size == words) & (place + words <= len(pieces.starts)))
                     if words:
-                        found = fingerprints(*pieces.main, place[of_size], int(words), pieces.salt[[0]]) & mask
-                        same = (found.view(np.int64) == fp[of_size]) & (pieces.checks(place[of_size], int(words)) == low[of_size])
+                        seen = fingerprints(*pieces.main, place[of_size], int(words), pieces.salt[[0]]) & mask
+                        check = pieces.checks(place[of_size], int(words))
                     else:
-                        same = (mix(pieces.salt) & mask).view(np.int64)[0] == fp[of_size]
-                    out += [(int(fp[k]), pieces.phrase(place[k], int(words)), int(words), int(n[k])) for k in of_size[same]]
+                        seen, check = mix(pieces.salt) & mask, short(pieces.salt)
+                    same = (seen.view(np.int64) == fp[of_size]) & (check * n[of_size] == checks[of_size])
+                    out += [(int(fp[k]), int(level[k]), pieces.phrase(place[k], int(words)), int(words), int(n[k])) for k in of_size[same]]
                 if out:
-                    fps, phrases, words, counts = zip(*out)
-                    lang = pa.repeat(names[i], len(out))
-                    yield pa.RecordBatch.from_arrays([pa.array(fps), lang, pa.array(phrases), pa.array(words), pa.array(counts)], ["fp", "lang", "phrase", "words", "n"])
+                    fps, levels, phrases, words, counts = zip(*out)
+                    columns = [pa.array(fps), pa.array(levels, pa.int32()), pa.repeat(names[i], len(out)), pa.array(phrases), pa.array(words), pa.array(counts)]
+                    yield pa.RecordBatch.from_arrays(columns, ["fp", "level", "lang", "phrase", "words", "n"])
 
-    found = joined.mapInArrow(read, "fp long, lang string, phrase string, words long, n long")
-    return found.dropDuplicates(["fp", "words"]).drop("fp")  # two documents whose hashes begin alike may both hold it there
+    read_there = joined.mapInArrow(read, "fp long, level int, lang string, phrase string, words long, n long")
+    # documents whose hashes begin alike may hold the same phrase there
+    return stored(read_there.dropDuplicates(["fp", "level"]), new_folder(spark, "phrase-texts"))
 
 
 def read_by_text(docs: DataFrame, shared_by_many: DataFrame, least: int, most_words: int, mask: np.uint64, bits: int) -> DataFrame:
@@ -316,9 +324,9 @@ def phrase_counts(
             levels.append(counted(rows, sizes, known, part, least_count, mask, most_held))
             known, part = bitmap_of(levels[-1].select("fp"), bits), max(sizes)
     found = reduce(DataFrame.unionByName, levels)
-    same = F.col("low") == F.col("high")
-    phrases = read_at_pointers(rows, found.filter(same), mask, bits)
-    doubtful = found.filter(~same)
+    read = read_at_pointers(rows, found, mask, bits)
+    phrases = read.drop("fp", "level")
+    doubtful = found.join(read, ["fp", "level"], "left_anti")
     if not doubtful.isEmpty():
         phrases = phrases.unionByName(read_by_text(rows, doubtful, least_count, most_words, mask, bits))
     return stored(phrases, new_folder(spark, "phrases"))
