@@ -223,3 +223,70 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = collocations(table(spark, sf_dir, "documents"))
     return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def field_sql(column: str) -> str:
+    return f"coalesce(strlen(CAST({column} AS VARCHAR)) || ':' || {column}, '-')"
+
+
+LEAF_SQL = " || ".join(map(field_sql, ("doc_id", "source", "lang", "n_chars")))
+LOWER_OR_NULL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    f"""
+    WITH RECURSIVE crc AS (
+        SELECT list(c ORDER BY b) AS t
+        FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+              FROM range(256) AS r(b))
+    ),
+    d AS (
+        SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                                  lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) % 3 = 0 AS bad
+        FROM documents, crc
+    ),
+    h AS (
+        SELECT doc_id, lang, sha256({LEAF_SQL} || {field_sql('text')}) AS leaf,
+               sha256({LEAF_SQL} || coalesce(strlen(x) || ':' || x, '-')) AS claimed
+        FROM (SELECT *, CASE WHEN bad THEN {LOWER_OR_NULL} ELSE text END AS x FROM d)
+    ),
+    l AS (
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM h
+    ),
+    t AS (
+        SELECT lang, 0 AS level, pos, n, leaf AS d FROM l
+        UNION ALL
+        SELECT lang, level + 1, pos // 8, (any_value(n) + 7) // 8, sha256(string_agg(d, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY lang, level, pos // 8
+    ),
+    s AS (SELECT lang, d AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+    u AS (
+        SELECT 0 AS level, pos, n, subroot AS d FROM s
+        UNION ALL
+        SELECT level + 1, pos // 8, (any_value(n) + 7) // 8, sha256(string_agg(d, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY level, pos // 8
+    ),
+    r AS (
+        SELECT lang, level AS k, pos // 8 AS p, list(d ORDER BY pos) AS run FROM t WHERE n > 1 GROUP BY ALL
+    ),
+    q AS (SELECT level AS k, pos // 8 AS p, list(d ORDER BY pos) AS run FROM u WHERE n > 1 GROUP BY ALL),
+    w AS (
+        SELECT l.lang, l.pos, k, run, (l.pos >> (3 * k)) & 7 AS i FROM l JOIN r ON l.lang IS NOT DISTINCT FROM r.lang AND p = l.pos >> (3 * k + 3)
+        UNION ALL
+        SELECT l.lang, l.pos, 100 + k, run, (s.pos >> (3 * k)) & 7 AS i
+        FROM l JOIN s ON l.lang IS NOT DISTINCT FROM s.lang JOIN q ON p = s.pos >> (3 * k + 3)
+    ),
+    v AS (
+        SELECT lang, pos, list(array_to_string(run[1:i], '') || '|' || array_to_string(run[i + 2:], '') ORDER BY k) AS way FROM w GROUP BY lang, pos
+    ),
+    f AS (
+        SELECT doc_id, leaf, subroot, (SELECT d FROM u WHERE n = 1) AS root,
+               sha256(replace(array_to_string(coalesce(way, []), ''), '|', '')) AS proof_sha256,
+               list_reduce(list_prepend(claimed, coalesce(way, [])), lambda a, x: sha256(split_part(x, '|', 1) || a || split_part(x, '|', 2))) AS folded_root
+        FROM l JOIN s ON l.lang IS NOT DISTINCT FROM s.lang LEFT JOIN v ON l.lang IS NOT DISTINCT FROM v.lang AND l.pos = v.pos
+    )
+    SELECT *, folded_root = root AS verified FROM f
+    """
+)
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakestrata.llm.merkle import lower_cased, merkle_manifest, proofs
+
+    return proofs(merkle_manifest(table(spark, sf_dir, "documents"), tampered=lower_cased()))
