@@ -10,9 +10,9 @@ the distance doubles each time and a tree of height h is done after about log2(h
 way of their parent: they are seven eighths of all nodes, and so carry no half-done ways through the joins.
 
 Order: rows are ranked by a range partitioning on (group, id, leaf, position in its task) and the number of rows in the ranges
-before, so no window holds a whole group and a group of a third of all rows is dealt out. Joins: a node has at most
-`ARITY` children; in later joins one ancestor serves many nodes, but there are then few ancestors, and up to `MOST_BROADCAST`
-of them are broadcast.
+before, so no window holds a whole group and a group of a third of all rows is dealt out. Joins: a leaf's parent has at most
+`ARITY` children; between inner nodes one ancestor serves `ARITY`^d nodes at distance d, of which there are as many times fewer, and up to
+`MOST_BROADCAST` of them are broadcast.
 
 Defined results: null fields are `-` in a leaf, null groups come first, null ids come first in their group. Equal ids are ordered by
 leaf, and repeated rows have leaves of their own. An empty table has no root. Other columns are not read.
@@ -106,10 +106,11 @@ def climb(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     return runs, stored(tops, new_folder(spark, "merkle-tops"))
 
 
-def jump(ways: DataFrame, onto: DataFrame, most_broadcast: int) -> DataFrame:
+def jump(ways: DataFrame, onto: DataFrame, most_broadcast: int = 0) -> DataFrame:
     """Put behind each way the one that begins where it ends; a way that ends at the root stays. Other columns stay too."""
     behind = onto.select(*(F.col(name).alias(f"next_{name}") for name in [*NODE, *WAY]))
-    behind = F.broadcast(behind) if onto.count() <= most_broadcast else behind
+    if most_broadcast:
+        behind = F.broadcast(behind) if onto.count() <= most_broadcast else behind
     met = ways.join(behind, [F.col(f"up_{name}") == F.col(f"next_{name}") for name in NODE], "left")
     further = F.col("next_way").isNotNull()
     return met.select(
@@ -166,9 +167,10 @@ def merkle_manifest(
     inner = stored(every.filter("level > 0"), new_folder(spark, "merkle-ways"))
     distance = 1
     while distance < len(ways):
-        inner = stored(jump(inner, inner, most_broadcast), new_folder(spark, "merkle-ways"))
+        ancestors = inner.filter((F.col("level") > distance) | (F.col("tree") == ABOVE))  # where a way of this length can end
+        inner = stored(jump(inner, ancestors, most_broadcast), new_folder(spark, "merkle-ways"))
         distance *= 2
-    found = jump(rows.join(every.drop("digest"), NODE), inner, most_broadcast)
+    found = jump(rows.join(every.drop("digest"), NODE), inner)
     return found.select("doc_id", "leaf", "claimed", F.coalesce("subroot", top).alias("subroot"), top.alias("root"), "way")
 
 
