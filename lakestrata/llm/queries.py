@@ -290,3 +290,41 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakestrata.llm.merkle import lower_cased, merkle_manifest, proofs
 
     return proofs(merkle_manifest(table(spark, sf_dir, "documents"), tampered=lower_cased()))
+
+
+def license_sql() -> str:
+    from lakestrata.llm.licenses import ANCHORS, LEAST_SHARE, TEMPLATES
+
+    rows = ", ".join(f"({i}, '{x.label}', {x.base}, string_split('{x.text}', ' '), string_split('{x.key}', ' '), {x.key_place})" for i, x in enumerate(TEMPLATES))
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL} AS w FROM documents),
+    t(t, label, base, words, key, kp) AS (VALUES {rows}),
+    v AS (SELECT DISTINCT unnest(words) AS word FROM t),
+    c AS (SELECT word, count(*) AS n FROM (SELECT unnest(list_distinct(w)) AS word FROM d) SEMI JOIN v USING (word) GROUP BY word),
+    x AS (SELECT word, CAST(floor(1000 * ln(((SELECT count(*) FROM d) + 1.0::DOUBLE) / (coalesce(n, 0) + 1.0::DOUBLE))) AS BIGINT) + 1 AS weight
+          FROM v LEFT JOIN c USING (word)),
+    p AS (SELECT t, base, place, word, weight FROM (SELECT t, base, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS place FROM t) JOIN x USING (word)),
+    a AS (SELECT *, sum(weight) OVER (PARTITION BY t) AS total
+          FROM (SELECT * FROM p QUALIFY base OR row_number() OVER (PARTITION BY t ORDER BY weight DESC, place) <= {ANCHORS})),
+    h AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM d),
+    m AS (SELECT r, t, i - place AS shift, CAST(1000000 * sum(weight) // any_value(total) AS BIGINT) AS share FROM h JOIN a USING (word) GROUP BY ALL),
+    k AS (SELECT m.r, label, base, shift, share, shift + kp >= 0 AND w[shift + kp + 1:shift + kp + len(key)] = key AS whole
+          FROM m JOIN t ON m.t = t.t JOIN d ON m.r = d.r),
+    s AS (SELECT r, count(*) FILTER (base AND whole) AS n_base, min(shift) FILTER (base AND whole) AS first_word, max(shift) FILTER (base AND whole) AS last_word,
+                 string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND whole) AS base_labels,
+                 string_agg(DISTINCT label, ',' ORDER BY label) FILTER (whole AND (base OR share >= {round(1_000_000 * LEAST_SHARE)})) AS labels,
+                 max(share) AS score
+          FROM k GROUP BY r)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+           coalesce(labels, '') AS labels, coalesce(score, 0) / 1000000.0::DOUBLE AS score
+    FROM d LEFT JOIN s USING (r)
+    """
+
+
+@query(license_sql())
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakestrata.llm.licenses import license_scan
+
+    found = license_scan(table(spark, sf_dir, "documents"))
+    joined = [F.array_join(name, ",").alias(name) for name in ("base_labels", "labels")]
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", *joined, "score")
