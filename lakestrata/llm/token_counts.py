@@ -34,6 +34,7 @@ TABLE_SIZE = 1 << 16
 CACHE_SIZE = 1 << 19
 TASK_SIZE = 1 << 13
 LONG_CHARS = 256  # longer pre-tokens are not remembered
+ENCODED = 1 << 16  # pre-tokens encoded in one call
 
 _workers: dict[str, "Counts"] = {}
 
@@ -67,32 +68,32 @@ class Counts:
             return self.pattern.findall(text), 0
         return [x for part in self.special.split(text) for x in self.pattern.findall(part)], len(found)
 
-    def learn(self, missing: list[str]) -> None:
-        if len(self.cache) + len(missing) > CACHE_SIZE:
+    def learn(self, counts: dict[str, int]) -> None:
+        """Remember short pre-tokens, in an empty cache if they would not fit, and no more than fit."""
+        short = [x for x in counts if len(x) <= LONG_CHARS][:CACHE_SIZE]
+        if len(self.cache) + len(short) > CACHE_SIZE:
             self.cache.clear()
-        encoded = self.tokenizer.encode_batch(missing, add_special_tokens=False)
-        self.cache.update(zip(missing, map(len, encoded)))
+        self.cache.update((x, counts[x]) for x in short)
 
     def count(self, texts: list[str], frequent: dict[str, int]) -> list[int]:
         split = [self.split(text) for text in texts]
         known, cache = frequent, self.cache
-        missing = {x for tokens, _ in split for x in tokens if x not in known and x not in cache}
-        if missing:
-            self.learn(list(missing))
-            cache = self.cache
-            again = [x for tokens, _ in split for x in tokens if x not in known and x not in cache]
-            if again:  # the cache was emptied in between
-                self.learn(list(set(again)))
+        missing = list({x for tokens, _ in split for x in tokens if x not in known and x not in cache})
+        # what this batch needs stays at hand until it is counted, whatever the cache forgets
+        fresh: dict[str, int] = {}
+        for at in range(0, len(missing), ENCODED):
+            part = missing[at : at + ENCODED]
+            fresh.update(zip(part, map(len, self.tokenizer.encode_batch(part, add_special_tokens=False))))
         out = []
         for tokens, special in split:
             total = special
             for x in tokens:
                 n = known.get(x)
-                total += cache[x] if n is None else n
+                if n is None:
+                    n = cache.get(x)
+                total += fresh[x] if n is None else n
             out.append(total)
-        for x in missing:
-            if len(x) > LONG_CHARS:
-                cache.pop(x, None)
+        self.learn(fresh)
         return out
 
 

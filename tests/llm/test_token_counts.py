@@ -44,6 +44,17 @@ def test_small_cache(monkeypatch):
     assert T.Counts(PATH).count(texts, {"a": 1}) == brute(texts)
 
 
+def test_a_warm_cache_and_a_batch_beyond_it(monkeypatch):
+    # the cache holds some of what a batch needs, and is emptied because the batch brings more than fits
+    monkeypatch.setattr(T, "CACHE_SIZE", 40)
+    monkeypatch.setattr(T, "ENCODED", 7)
+    counts = T.Counts(PATH)
+    for n in (30, 300, 35, 41, 1000):
+        texts = [" ".join(f"word{k}x{n % 7}" for k in range(at, at + n)) for at in (0, 20)]
+        assert counts.count(texts, {" word1": 1}) == brute(texts)
+        assert len(counts.cache) <= 40
+
+
 def test_pre_tokens_split_like_the_library_for_every_code_point():
     counts = T.Counts(PATH)
     step = 97  # a prime: over some runs all classes of characters are met
