@@ -141,43 +141,66 @@ def archive_expired(
     """Move the expired day partitions to the archive: copied first, dropped when that is done.
 
     Every run adds a folder `run=...` of its own, so rows that come late are added to what the archive
-    holds. A run that died is settled by the next one: what it had copied and not dropped is dropped
-    if it is still the same, and otherwise left to be archived again.
+    holds. The files that are copied are noted, and a partition is dropped only if it still consists of those; one that
+    changed meanwhile stays, and its copy goes. A run that died is settled by the next one in the same way.
     """
     archive = archive_path.rstrip("/")
-    _settle_archive(spark, path, archive)
+    files = Files(spark)
+    for run in {item.rsplit("/", 1)[1] for kind in (COPYING, COPIED) for item in files.folders(f"{archive}/{kind}")}:
+        _settle_archive(spark, path, archive, run)
     cutoff = retention.cutoff(as_of)
     old = {day: item for day, item in partition_days(spark, path, columns).items() if day < cutoff}
     if not old:
         return []
-    files = Files(spark)
     number = len(files.glob(f"{archive}/run={as_of.isoformat()}-*"))
     run = f"run={as_of.isoformat()}-{number:04d}"
     names = partition_names(spark, path)
-    files.make_folders([f"{archive}/{COPYING}/{run}"])
+    _note_files(spark, path, names, old, f"{archive}/{COPYING}/{run}")
     overwrite_partitions(read_as_text(spark, path, list(old.values())), f"{archive}/{run}", names, clustered=True)
     files.make_folders([f"{archive}/{COPIED}/{run}"])
-    files.delete(f"{archive}/{COPYING}/{run}")
-    drop_slices(spark, list(old.values()))
-    files.delete(f"{archive}/{COPIED}/{run}")
+    _settle_archive(spark, path, archive, run)
+    for item in old.values():
+        files.delete_empty(item)
     return sorted(old)
 
 
-def _settle_archive(spark: SparkSession, path: str, archive: str) -> None:
-    """Undo a copy that was not completed, and go on where a completed one was not followed by the drop."""
+def _note_files(spark: SparkSession, path: str, names: Sequence[str], days: Mapping[date, str], note: str) -> None:
+    """Write down the files of the partitions below some folders."""
+    below = tuple(f"{folder}/" for folder in days.values())
+    leaves = {values: item for values, item in partition_folders(spark, path, names).items() if f"{item}/".startswith(below)}
+    found = Files(spark).all_data_files(list(leaves.values()))
+    rows = [(list(values), name, length) for values, own in zip(leaves, found) for name, length in own.items()]
+    spark.createDataFrame(rows, "part array<string>, name string, length bigint").coalesce(1).write.mode("overwrite").parquet(note)
+
+
+def _settle_archive(spark: SparkSession, path: str, archive: str, run: str) -> None:
+    """Undo a copy that was not completed; after a completed one, drop the partitions that are still what was copied."""
     files = Files(spark)
-    done = {item.rsplit("/", 1)[1] for item in files.folders(f"{archive}/{COPIED}")}
-    for run in {item.rsplit("/", 1)[1] for item in files.folders(f"{archive}/{COPYING}")} - done:
-        drop_slices(spark, [f"{archive}/{run}", f"{archive}/{COPYING}/{run}"])
-    for run in sorted(done):
-        names = partition_names(spark, f"{archive}/{run}")
-        copied = partition_folders(spark, f"{archive}/{run}", names)
-        there = partition_folders(spark, path, names) if names == partition_names(spark, path) else {}
-        for values in sorted(set(copied) & set(there)):
-            now, then = (spark.read.parquet(folder).count() for folder in (there[values], copied[values]))
-            # more rows than were copied: late ones, so the whole partition is to be archived again
-            files.delete(copied[values] if now > then else there[values])
-        drop_slices(spark, [f"{archive}/{COPYING}/{run}", f"{archive}/{COPIED}/{run}"])
+    copying, copied = f"{archive}/{COPYING}/{run}", f"{archive}/{COPIED}/{run}"
+    if not files.exists(copied):
+        drop_slices(spark, [f"{archive}/{run}", copying])
+        return
+    noted: dict[tuple[str, ...], dict[str, int]] = {}
+    for row in spark.read.parquet(copying).collect() if files.exists(copying) else ():
+        noted.setdefault(tuple(row["part"]), {})[row["name"]] = row["length"]
+    names = partition_names(spark, f"{archive}/{run}")
+    copies = partition_folders(spark, f"{archive}/{run}", names)
+    there = partition_folders(spark, path, names) if names == partition_names(spark, path) else {}
+    both = sorted(set(copies) & set(there))
+    marks = {values: slice_path(copied, dict(zip(names, values))) for values in both}
+    done, stale = [], []
+    for values, live in zip(both, files.all_data_files([there[values] for values in both])):
+        own = noted.get(values, {})
+        if live.items() <= own.items():
+            done.append(values)
+        elif own.items() <= live.items() or not files.exists(marks[values]):
+            # late rows beside the copied ones, or other rows in their place: the whole partition is to be archived again
+            stale.append(values)
+        # else the partition was dropped before, and these rows came afterwards: they are for the next archive
+    drop_slices(spark, [copies[values] for values in stale])
+    files.make_folders(marks[values] for values in done)
+    drop_slices(spark, [there[values] for values in done])
+    drop_slices(spark, [copied, copying])
 
 
 def erase(df: DataFrame, subjects: DataFrame, key: str) -> DataFrame:

@@ -137,9 +137,7 @@ def table_metrics(df: DataFrame, table: str, date_column: str) -> DataFrame:
 
 
 def drop_slices(spark: SparkSession, paths: Sequence[str]) -> None:
-    files = Files(spark)
-    for path in paths:
-        files.delete(path)
+    Files(spark).delete_all(paths)
 
 
 def _clustered(df: DataFrame, partition_by: Sequence[str], bulk: Column | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 from urllib.parse import unquote
@@ -40,8 +40,7 @@ class Files:
 
     def glob_all(self, patterns: Iterable[str]) -> list[str]:
         """Paths matching any of many patterns; the listings overlap, as each one mostly waits."""
-        with ThreadPoolExecutor(LISTING_THREADS) as pool:
-            return [path for found in pool.map(self.glob, patterns) for path in found]
+        return [path for found in self._each(self.glob, patterns) for path in found]
 
     def folders(self, path: str) -> list[str]:
         """The folders right below a path; none if it does not exist."""
@@ -50,11 +49,38 @@ class Files:
             return []
         return sorted(str(status.getPath()) for status in fs.listStatus(located) if status.isDirectory())
 
+    def data_files(self, path: str) -> dict[str, int]:
+        """Names and lengths of the files right in a folder, without hidden ones; none if it does not exist."""
+        fs, located = self._open(path)
+        if not fs.exists(located):
+            return {}
+        found = {status.getPath().getName(): status.getLen() for status in fs.listStatus(located) if not status.isDirectory()}
+        return {name: length for name, length in found.items() if name[0] not in "._"}
+
+    def all_data_files(self, paths: Sequence[str]) -> list[dict[str, int]]:
+        return self._each(self.data_files, paths)
+
     def make_folders(self, paths: Iterable[str]) -> None:
-        for path in paths:
+        def make(path: str) -> None:
             fs, located = self._open(path)
             fs.mkdirs(located)
 
+        self._each(make, paths)
+
+    def delete_all(self, paths: Iterable[str]) -> None:
+        self._each(self.delete, paths)
+
+    def delete_empty(self, path: str) -> None:
+        """Delete a folder if nothing is in it."""
+        fs, located = self._open(path)
+        if fs.exists(located) and not fs.listStatus(located):
+            fs.delete(located, False)
+
+    def _each(self, call: Callable, paths: Iterable[str]) -> list:
+        """Calls to the store overlap, as each one mostly waits."""
+        with ThreadPoolExecutor(LISTING_THREADS) as pool:
+            return list(pool.map(call, paths))
+
     def delete(self, path: str) -> None:
         fs, located = self._open(path)
         fs.delete(located, True)

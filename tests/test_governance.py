@@ -142,6 +142,40 @@ def test_an_archive_run_that_died_is_settled(spark, df, table, tmp_path, monkeyp
     assert kept == [(5,), (6,)] and moved == sorted([(1,), (2,), (20,), (3,), (4,)] + [(50,)] * late, key=repr)
 
 
+@pytest.mark.parametrize("corrected", [[21, 22], [21], [21, 22, 23]])
+def test_a_day_corrected_after_a_died_archive_run_is_kept(spark, df, table, tmp_path, monkeypatch, corrected):
+    archive, keep = str(tmp_path / "archive"), Retention("2d", "archive_local")
+    with monkeypatch.context() as broken:
+        broken.setattr(governance, "_settle_archive", lambda *_: 1 / 0)  # dies right after the copy
+        with pytest.raises(ZeroDivisionError):
+            governance.archive_expired(spark, table, archive, "day", keep, date(2025, 1, 6))
+    # the second day held 2 and 20: as many rows, fewer and more
+    overwrite_partitions(spark.createDataFrame([(date(2025, 1, 2), "u", n) for n in corrected], df.schema), table, ["day"])
+    governance.archive_expired(spark, table, archive, "day", keep, date(2025, 1, 6))
+    assert rows(spark.read.parquet(table), "n") == [(4,), (5,), (6,)]
+    assert rows(spark.read.parquet(archive), "n") == sorted([(1,), (3,), *((n,) for n in corrected)], key=repr)
+
+
+def test_rows_that_come_after_the_drop_are_archived_beside_the_copy(spark, df, table, tmp_path, monkeypatch):
+    archive, keep = str(tmp_path / "archive"), Retention("2d", "archive_local")
+    real, calls = governance.drop_slices, []
+
+    def dies_after_the_drop(spark, paths):
+        real(spark, paths)
+        calls.append(paths)
+        if any("/table/" in path for path in paths):
+            raise ZeroDivisionError
+
+    with monkeypatch.context() as broken:
+        broken.setattr(governance, "drop_slices", dies_after_the_drop)
+        with pytest.raises(ZeroDivisionError):
+            governance.archive_expired(spark, table, archive, "day", keep, date(2025, 1, 6))
+    overwrite_partitions(spark.createDataFrame([(date(2025, 1, 2), "late@x", 50)], df.schema), table, ["day"])
+    governance.archive_expired(spark, table, archive, "day", keep, date(2025, 1, 6))
+    assert rows(spark.read.parquet(archive), "n") == [(1,), (2,), (20,), (3,), (50,)]
+    assert rows(spark.read.parquet(table), "n") == [(4,), (5,), (6,)]
+
+
 @pytest.mark.parametrize("columns", [("year", "month", "day"), "year", "day"])
 def test_days_of_a_table_by_year_month_and_day(spark, df, tmp_path, columns):
     path = str(tmp_path / "order_date" / "t")
