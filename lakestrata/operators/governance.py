@@ -159,8 +159,6 @@ def archive_expired(
     overwrite_partitions(read_as_text(spark, path, list(old.values())), f"{archive}/{run}", names, clustered=True)
     files.make_folders([f"{archive}/{COPIED}/{run}"])
     _settle_archive(spark, path, archive, run)
-    for item in old.values():
-        files.delete_empty(item)
     return sorted(old)
 
 
@@ -200,6 +198,11 @@ def _settle_archive(spark: SparkSession, path: str, archive: str, run: str) -> N
     drop_slices(spark, [copies[values] for values in stale])
     files.make_folders(marks[values] for values in done)
     drop_slices(spark, [there[values] for values in done])
+    above = {there[values] for values in done}
+    for _ in names[1:]:
+        above = {item.rsplit("/", 1)[0] for item in above}
+        for item in sorted(above):
+            files.delete_empty(item)
     drop_slices(spark, [copied, copying])
 
 
@@ -221,8 +224,10 @@ def read_as_text(spark: SparkSession, path: str, folders: Sequence[str] | None =
     return spark.read.schema(schema).option("basePath", path).parquet(*(folders or [path]))
 
 
-def erase_from_table(spark: SparkSession, path: str, subjects: DataFrame, key: str) -> list[dict[str, str]]:
-    """Erase data subjects from a partitioned table; returns the changed partitions.
+def erase_from_table(
+    spark: SparkSession, path: str, subjects: DataFrame, key: str, folders: Sequence[str] | None = None
+) -> list[dict[str, str]]:
+    """Erase data subjects from a partitioned table, or from some of its folders; returns the changed partitions.
 
     A first pass over the key alone finds the partitions with rows to erase, by all partition columns the
     folders have. Only those are rewritten, in the same layout, and those without any other row are
@@ -232,17 +237,17 @@ def erase_from_table(spark: SparkSession, path: str, subjects: DataFrame, key: s
     if not names:
         raise ValueError(f"{path} is not a partitioned table")
     listed = subjects.select(named(key)).na.drop()
-    hits = _rows_per_partition(read_as_text(spark, path).join(listed, key, "left_semi"), names)
+    hits = _rows_per_partition(read_as_text(spark, path, folders).join(listed, key, "left_semi"), names)
     if not hits:
         return []
-    folders = partition_folders(spark, path, names)
-    touched = read_as_text(spark, path, [folders[values] for values in hits])
+    there = partition_folders(spark, path, names)
+    touched = read_as_text(spark, path, [there[values] for values in hits])
     rows = _rows_per_partition(touched, names)  # counted from the file footers
     emptied = [values for values in hits if hits[values] == rows[values]]
     if len(emptied) < len(hits):
         # rebalanced by partition: behind a shuffled join the rows lie by subject
         overwrite_partitions(erase(touched, subjects, key), path, names)
-    drop_slices(spark, [folders[values] for values in emptied])
+    drop_slices(spark, [there[values] for values in emptied])
     return [dict(zip(names, values)) for values in sorted(hits)]
 
 

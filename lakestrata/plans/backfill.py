@@ -133,7 +133,7 @@ def ingest_days(job: DailyJob, spark: SparkSession, days: Sequence[date], as_of:
 def _ingest(job: DailyJob, spark: SparkSession, paths: Sequence[str], as_of: datetime, mixed: bool) -> dict[date, dict]:
     rows = job.landing_rows(spark, paths, mixed)
     loaded_on = landing_day(job.landing, F.col("_metadata.file_path") if not mixed else F.input_file_name())
-    dated = rows.withColumn(LOAD_DATE, loaded_on)
+    dated = job.without_erased(rows.withColumn(LOAD_DATE, loaded_on))
     parts = {name: F.date_format(LOAD_DATE, form) for name, form in (("year", "yyyy"), ("month", "MM"), ("day", "dd"))}
     seen = Observation()
     counted = dated.withColumns(parts).observe(seen, F.count(RAW_LINE).alias("raw_lines"))
@@ -151,8 +151,9 @@ def _ingest(job: DailyJob, spark: SparkSession, paths: Sequence[str], as_of: dat
         counts = row.asDict()
         found[counts.pop(LOAD_DATE)] = counts
     if flawed:
-        job.keep_raw_lines(rows, loaded_on)
+        job.keep_raw_lines(dated, F.col(LOAD_DATE))
     job.save_load_results(spark, found, as_of)
+    job.index_subjects(spark, "bronze", [day_parts(day) for day in full])
     return found
 
 
@@ -266,4 +267,5 @@ def build_silver_days(
         for path in paths:
             of_load.setdefault(date.fromisoformat(partition_value(path, LOAD_DATE)), set()).add(day)
     job.note_dates(spark, of_load)
+    job.index_subjects(spark, "silver", parts)
     return in_order(touched | set(now))

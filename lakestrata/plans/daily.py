@@ -9,7 +9,7 @@ the folders of the touched dates are listed and read.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import date, datetime, timezone
 from functools import reduce
@@ -36,8 +36,10 @@ from lakestrata.operators.quality import (
 )
 from lakestrata.operators.runlog import RunLog
 from lakestrata.operators.steps import LayerStep, chain, steps_for, with_date, with_ingestion_timestamp
+from lakestrata.operators.subjects import index_subjects
 from lakestrata.session import use_utc
 from lakestrata.sources.lake import (
+    append_rows,
     day_parts,
     drop_slices,
     overwrite_partitions,
@@ -76,6 +78,7 @@ class DailyJob:
     expected_interval_hours: int = 24
     environment: str = "local"
     version: str = "unknown"
+    subject_key: str | None = None  # the column by which subjects are indexed, so that erasure reads few partitions
 
     def path(self, table: str) -> str:
         if table == "quarantine" and self.quarantine_path:
@@ -150,6 +153,34 @@ class DailyJob:
     def drop_raw_lines(self, spark: SparkSession, days: Sequence[date]) -> None:
         drop_slices(spark, [slice_path(self.path("unparsed"), {"processing_date": day.isoformat()}) for day in days])
 
+    # Data subjects
+
+    def index_path(self, table: str) -> str:
+        return self.path(f"subject_index/{table}")
+
+    def index_subjects(self, spark: SparkSession, table: str, slices: Sequence[Mapping[str, str]] | None = None) -> None:
+        """Keep the subject index of a table up to date, of some slices just written or of all."""
+        if self.subject_key:
+            index_subjects(spark, self.path(table), self.index_path(table), self.subject_key, slices)
+
+    def note_erased(self, spark: SparkSession, subjects: DataFrame, key: str) -> None:
+        """Remember erased subjects by a digest, so that loading their files again does not bring them back."""
+        path = slice_path(self.path("erased"), {"key": key})
+        new = subjects.select(F.sha2(named(key).cast("string"), 256).alias("digest")).na.drop().distinct()
+        if Files(spark).exists(path):
+            new = new.join(spark.read.parquet(path), "digest", "left_anti")
+        append_rows(new.withColumn("key", F.lit(key)), self.path("erased"), ["key"])
+
+    def without_erased(self, rows: DataFrame) -> DataFrame:
+        """Rows of subjects that were not erased; rows without a key stay."""
+        spark = rows.sparkSession
+        for folder in Files(spark).folders(self.path("erased")):
+            key = partition_value(folder, "key")
+            if key in rows.columns:
+                listed = spark.read.parquet(folder)
+                rows = rows.join(listed, F.sha2(named(key).cast("string"), 256) == listed["digest"], "left_anti")
+        return rows
+
     def ingest(self, spark: SparkSession, day: date, as_of: datetime) -> int:
         """Load the files of a day, in contract types, in place of an earlier load of that day.
 
@@ -157,7 +188,7 @@ class DailyJob:
         bronze; they are counted per column in the same pass, and their raw lines are kept.
         """
         path = landing_path(self.landing, day)
-        rows = self.landing_rows(spark, path)
+        rows = self.without_erased(self.landing_rows(spark, path))
         try:
             if rows.isEmpty():
                 return 0
@@ -165,16 +196,17 @@ class DailyJob:
         except Exception:  # the reader's own error comes in several classes
             if self.landing_format != "csv":
                 raise
-            rows = self.landing_rows(spark, path, mixed=True)
+            rows = self.without_erased(self.landing_rows(spark, path, mixed=True))
             counts = self._write_bronze(rows, day, as_of)
         self.drop_raw_lines(spark, [day])
         if counts["raw_lines"]:
             self.keep_raw_lines(rows, F.lit(day))
         self.save_load_results(spark, {day: counts}, as_of)
+        self.index_subjects(spark, "bronze", [day_parts(day)])
         return counts["rows"]
 
     def _write_bronze(self, rows: DataFrame, day: date, as_of: datetime) -> dict:
-        # No shuffle lies between the files and the write, so a task that runs again is counted once.
+        # No shuffle lies between the counters and the write, so a task that runs again is counted once.
         seen = Observation()
         counted = rows.observe(seen, *self.load_counters(rows)).drop(RAW_LINE)
         overwrite_slice(with_ingestion_timestamp(as_of)(counted), self.path("bronze"), day_parts(day))
@@ -262,6 +294,7 @@ class DailyJob:
                 own.clear()
         now = set(self.silver_folders(spark, [day]))
         self.note_dates(spark, {day: now})
+        self.index_subjects(spark, "silver", [{"load_date": day.isoformat()}])
         return written, in_order(before | now)
 
     def silver_rows(self, rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lakestrata.functions.columns import named
-from lakestrata.operators.governance import Retention, archive_expired, drop_expired, erase_from_table
+from lakestrata.operators.governance import Retention, archive_expired, drop_expired, erase_from_table, read_as_text
+from lakestrata.operators.subjects import may_hold
 from lakestrata.plans.daily import DailyJob
 from lakestrata.sources.lake import partition_names
 from lakestrata.sources.storage import Files, in_order
@@ -16,7 +17,7 @@ from lakestrata.sources.storage import Files, in_order
 # The outermost partition columns of each layer, which hold the day that retention goes by.
 DAY_COLUMNS = {"bronze": ("year", "month", "day"), "silver": ("load_date",), "gold": ("order_date",)}
 # Tables that hold rows of data subjects: the layers that a job writes row by row, and copies of them.
-PERSONAL_TABLES = ("bronze", "quarantine", "silver", "silver_archive")
+PERSONAL_TABLES = ("bronze", "bronze_archive", "quarantine", "silver", "silver_archive")
 DELETE = "delete"
 
 
@@ -34,24 +35,33 @@ def retain_lake(job: DailyJob, spark: SparkSession, policies: Mapping[str, Reten
             done[layer] = drop_expired(spark, path, columns, retention, as_of)
         else:
             done[layer] = archive_expired(spark, path, job.path(f"{layer}_archive"), columns, retention, as_of)
+            if done[layer] and f"{layer}_archive" in PERSONAL_TABLES:
+                job.index_subjects(spark, f"{layer}_archive")
     return done
 
 
 def erase_from_lake(job: DailyJob, spark: SparkSession, subjects: DataFrame, key: str) -> dict[str, list[dict[str, str]]]:
-    """Erase data subjects from every table of the job that holds their rows, and refresh the gold dates concerned.
+    """Erase data subjects from every table of the job that holds their rows, archives too, and refresh the gold dates concerned.
 
-    Returns the changed partitions per table. Raw lines of files that did not parse are dropped whole, as
-    nothing tells whose they are.
+    Returns the changed partitions per table. Landing files stay as they are, but loading them again leaves out the rows
+    of erased subjects. Raw lines of files that did not parse are dropped whole, as nothing tells whose they are. If the
+    job indexes this key, only partitions that may hold a subject are read.
     """
+    job.note_erased(spark, subjects, key)
     changed = {}
     for table in PERSONAL_TABLES:
         path = job.path(table)
         if not partition_names(spark, path):
             continue
-        if table == "silver":
-            changed[table] = _erase_from_silver(job, spark, subjects, key)
+        folders = list(may_hold(spark, path, job.index_path(table), subjects, key).values()) if key == job.subject_key else None
+        if folders == []:
+            changed[table] = []
+        elif table == "silver":
+            changed[table] = _erase_from_silver(job, spark, subjects, key, folders)
         else:
-            changed[table] = erase_from_table(spark, path, subjects, key)
+            changed[table] = erase_from_table(spark, path, subjects, key, folders)
+        if changed[table]:
+            job.index_subjects(spark, table, changed[table])
     archived = {date.fromisoformat(part["order_date"]) if part["order_date"][0].isdigit() else None for part in changed.get("silver_archive", ())}
     if archived:
         job.refresh_gold(spark, in_order(archived))
@@ -59,13 +69,15 @@ def erase_from_lake(job: DailyJob, spark: SparkSession, subjects: DataFrame, key
     return changed
 
 
-def _erase_from_silver(job: DailyJob, spark: SparkSession, subjects: DataFrame, key: str) -> list[dict[str, str]]:
+def _erase_from_silver(
+    job: DailyJob, spark: SparkSession, subjects: DataFrame, key: str, folders: Sequence[str] | None = None
+) -> list[dict[str, str]]:
     path = job.path("silver")
-    hit = spark.read.parquet(path).join(subjects.select(named(key)).na.drop(), key, "left_semi")
-    loads = sorted(row[0] for row in hit.select("load_date").distinct().collect())
+    hit = read_as_text(spark, path, folders).join(subjects.select(named(key)).na.drop(), key, "left_semi")
+    loads = sorted(date.fromisoformat(row[0]) for row in hit.select("load_date").distinct().collect())
     # noted first: should the run die before gold is refreshed, the next one knows the dates
     touched = job.note_replaced(spark, loads) if loads else set()
-    changed = erase_from_table(spark, path, subjects, key)
+    changed = erase_from_table(spark, path, subjects, key, folders)
     job.refresh_gold(spark, in_order(touched))
     job.settle(spark, loads)
     return changed

@@ -71,10 +71,10 @@ class Files:
         self._each(self.delete, paths)
 
     def delete_empty(self, path: str) -> None:
-        """Delete a folder if nothing is in it."""
+        """Delete a folder if nothing but hidden files is in it."""
         fs, located = self._open(path)
-        if fs.exists(located) and not fs.listStatus(located):
-            fs.delete(located, False)
+        if fs.exists(located) and all(status.getPath().getName()[0] in "._" for status in fs.listStatus(located)):
+            fs.delete(located, True)
 
     def _each(self, call: Callable, paths: Iterable[str]) -> list:
         """Calls to the store overlap, as each one mostly waits."""

@@ -225,6 +225,28 @@ def test_erasure_reaches_every_table_and_gold(spark, job):
     assert gold(job, spark) == [("A", D5, 1, Decimal("20.00"))]
 
 
+@pytest.mark.parametrize("key", [None, "customer_email"])
+@pytest.mark.parametrize("together", [False, True])
+def test_erased_subjects_are_in_no_archive_and_do_not_come_back(spark, job, key, together):
+    job = replace(job, subject_key=key, allow_partial_success=True)
+    for day in (D5, D6):
+        land(job, day, line(f"O1{day}", "A", 2, 100.0, f"{day}T10:00:00Z", email="gone@x"), line(f"O2{day}", "A", 1, 100.0, f"{day}T10:00:00Z", email="here@x"))
+    load = (lambda: run_days(job, spark, [D5, D6], AS_OF)) if together else (lambda: [job.run(spark, day, AS_OF) for day in (D5, D6)])
+    load()
+    retain_lake(job, spark, {"bronze": Retention("4d", "archive_local")}, date(2025, 5, 10))
+    assert spark.read.parquet(job.path("bronze_archive")).count() == 2
+    changed = erase_from_lake(job, spark, spark.createDataFrame([("gone@x",), ("nobody@x",)], "customer_email string"), "customer_email")
+    assert {table for table, parts in changed.items() if parts} == {"bronze", "bronze_archive", "silver"}
+    for name in ("bronze", "bronze_archive", "silver"):
+        assert [row.customer_email for row in spark.read.parquet(job.path(name)).select("customer_email").distinct().collect()] == ["here@x"]
+    load()
+    assert spark.read.parquet(job.path("bronze")).where("customer_email = 'gone@x'").count() == 0
+    assert gold(job, spark) == [("A", D5, 1, Decimal("20.00")), ("A", D6, 1, Decimal("20.00"))]
+    again = erase_from_lake(job, spark, spark.createDataFrame([("gone@x",)], "customer_email string"), "customer_email")
+    assert not any(again.values())
+    assert spark.read.parquet(job.path("erased")).count() == 2  # each noted once
+
+
 def test_another_run_heals_a_load_day_that_died_half_way(spark, job, monkeypatch):
     land(job, D5, line("O1", "A", 2, 100.0, "2025-05-05T10:00:00Z"), line("O2", "A", 1, 100.0, "2025-05-04T10:00:00Z"))
     land(job, D6, line("O3", "B", 1, 100.0, "2025-05-06T10:00:00Z"))
