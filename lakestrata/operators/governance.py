@@ -145,21 +145,29 @@ def archive_expired(
     changed meanwhile stays, and its copy goes. A run that died is settled by the next one in the same way.
     """
     archive = archive_path.rstrip("/")
-    files = Files(spark)
-    for run in {item.rsplit("/", 1)[1] for kind in (COPYING, COPIED) for item in files.folders(f"{archive}/{kind}")}:
+    for run in {item.rsplit("/", 1)[1] for kind in (COPYING, COPIED) for item in Files(spark).folders(f"{archive}/{kind}")}:
         _settle_archive(spark, path, archive, run)
-    cutoff = retention.cutoff(as_of)
+    run, days = copy_expired(spark, path, archive, columns, retention, as_of)
+    if run:
+        _settle_archive(spark, path, archive, run)
+    return days
+
+
+def copy_expired(
+    spark: SparkSession, path: str, archive: str, columns: str | Sequence[str], retention: Retention, as_of: date
+) -> tuple[str | None, list[date]]:
+    """The first half of `archive_expired`: copy the expired days and note their files; returns the run, if any, and its days."""
+    files, cutoff = Files(spark), retention.cutoff(as_of)
     old = {day: item for day, item in partition_days(spark, path, columns).items() if day < cutoff}
     if not old:
-        return []
+        return None, []
     number = len(files.glob(f"{archive}/run={as_of.isoformat()}-*"))
     run = f"run={as_of.isoformat()}-{number:04d}"
     names = partition_names(spark, path)
     _note_files(spark, path, names, old, f"{archive}/{COPYING}/{run}")
     overwrite_partitions(read_as_text(spark, path, list(old.values())), f"{archive}/{run}", names, clustered=True)
     files.make_folders([f"{archive}/{COPIED}/{run}"])
-    _settle_archive(spark, path, archive, run)
-    return sorted(old)
+    return run, sorted(old)
 
 
 def _note_files(spark: SparkSession, path: str, names: Sequence[str], days: Mapping[date, str], note: str) -> None:

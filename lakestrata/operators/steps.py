@@ -71,6 +71,54 @@ def aggregate(group_by: Sequence[str], specs: Sequence[AggSpec], date_from: str
     return step
 
 
+#: What each aggregate is made of: functions of its source whose results can be merged.
+PARTS = {"sum": ("sum",), "count": ("count",), "min": ("min",), "max": ("max",), "avg": ("sum", "count")}
+MERGED = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
+
+
+@dataclass(frozen=True)
+class Rollup:
+    """An aggregate that can be computed in parts: `step()` is `aggregate`, and equals `merge` of any `partial` results together.
+
+    Sums of decimals and whole numbers are exact, and so are averages of them; sums of doubles depend on the order of rows, as always.
+    """
+
+    group_by: Sequence[str]
+    specs: Sequence[AggSpec]
+    date_from: str | None = None
+
+    def step(self) -> Step:
+        return aggregate(self.group_by, self.specs, self.date_from)
+
+    def partial(self, df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+        """One row per group (and `by`) with the mergeable states of every aggregate; a hot group is one row of each task."""
+        dated = with_date(self.date_from)(df) if self.date_from else df
+        states = {
+            (spec.source, part): AGGREGATES[part](named(spec.source)).alias(self._state(spec, part))
+            for spec in self.specs
+            for part in PARTS[spec.function.lower()]
+        }
+        # a row whose type the final average is to have, whatever the parts are cast to
+        means = {spec.source: F.avg(named(spec.source)).alias(self._state(spec, "mean")) for spec in self.specs if spec.function.lower() == "avg"}
+        return dated.groupBy(*(named(name) for name in [*by, *self.group_by])).agg(*states.values(), *means.values())
+
+    def merge(self, states: DataFrame) -> DataFrame:
+        """The aggregates of all rows that the states stand for."""
+        return states.groupBy(*(named(name) for name in self.group_by)).agg(*(self._merged(spec, states) for spec in self.specs))
+
+    def _state(self, spec: AggSpec, part: str) -> str:
+        return f"{spec.source}__{part}"
+
+    def _merged(self, spec: AggSpec, states: DataFrame) -> Column:
+        parts = [MERGED[part](named(self._state(spec, part))) for part in PARTS[spec.function.lower()]]
+        if len(parts) == 1:
+            result = parts[0]
+        else:
+            mean = states.schema[self._state(spec, "mean")].dataType
+            result = F.when(parts[1] > 0, parts[0] / parts[1]).cast(mean)
+        return (result.try_cast(spec.type) if spec.type else result).alias(spec.target)
+
+
 def sql_step(sql: str, **values: Any) -> Step:
     """A step in SQL over `{input}`. Values are bound to `:name` markers, and column names to
     `IDENTIFIER(:name)`; nothing is pasted into the text."""

@@ -267,5 +267,6 @@ def build_silver_days(
         for path in paths:
             of_load.setdefault(date.fromisoformat(partition_value(path, LOAD_DATE)), set()).add(day)
     job.note_dates(spark, of_load)
+    job.save_states(spark, days)
     job.index_subjects(spark, "silver", parts)
     return in_order(touched | set(now))

@@ -35,7 +35,7 @@ from lakestrata.operators.quality import (
     success_percentage,
 )
 from lakestrata.operators.runlog import RunLog
-from lakestrata.operators.steps import LayerStep, chain, steps_for, with_date, with_ingestion_timestamp
+from lakestrata.operators.steps import LayerStep, Rollup, chain, steps_for, with_date, with_ingestion_timestamp
 from lakestrata.operators.subjects import index_subjects
 from lakestrata.session import use_utc
 from lakestrata.sources.lake import (
@@ -44,6 +44,7 @@ from lakestrata.sources.lake import (
     drop_slices,
     overwrite_partitions,
     overwrite_slice,
+    overwrite_slices,
     read_slices,
     slice_path,
 )
@@ -78,6 +79,7 @@ class DailyJob:
     expected_interval_hours: int = 24
     environment: str = "local"
     version: str = "unknown"
+    rollup: Rollup | None = None  # the gold aggregate as mergeable parts per load, in place of the gold steps
     subject_key: str | None = None  # the column by which subjects are indexed, so that erasure reads few partitions
 
     def path(self, table: str) -> str:
@@ -294,6 +296,7 @@ class DailyJob:
                 own.clear()
         now = set(self.silver_folders(spark, [day]))
         self.note_dates(spark, {day: now})
+        self.save_states(spark, [day])
         self.index_subjects(spark, "silver", [{"load_date": day.isoformat()}])
         return written, in_order(before | now)
 
@@ -407,10 +410,17 @@ class DailyJob:
     def refresh_gold(self, spark: SparkSession, dates: Sequence[date | None] | None = None) -> int:
         """Recompute gold for some order dates (or all); dates without sales any more go away.
 
-        Only the silver folders of these dates are listed and read, from every load day, archived or not.
+        Only the silver folders of these dates are listed and read, from every load day, archived or not. With a rollup
+        no silver row is read, but the parts that each load has stored for these dates.
         """
         if dates is not None and not dates:
             return 0
+        if self.rollup:
+            gold, there = self.merged_states(spark, dates)
+            written = overwrite_partitions(self._projected(gold, "gold"), self.path("gold"), ["order_date"]) if there else 0
+            gone = set(self._gold_dates(spark) if dates is None else dates) - there
+            drop_slices(spark, [slice_path(self.path("gold"), {"order_date": day_name(day)}) for day in in_order(gone)])
+            return written
         live = self.silver_folders(spark, order_dates=dates)
         archived = self.archived_folders(spark, dates)
         parts = [
@@ -428,6 +438,42 @@ class DailyJob:
         drop_slices(spark, [slice_path(self.path("gold"), {"order_date": day_name(day)}) for day in in_order(gone)])
         return written
 
+    def save_states(self, spark: SparkSession, loads: Sequence[date]) -> None:
+        """The parts of gold that some load days contribute, per order date, in place of what they contributed before.
+
+        Only the silver rows of these loads are read, archived ones where a load is not in silver any more.
+        """
+        if not self.rollup or not loads:
+            return
+        files, texts = Files(spark), [day.isoformat() for day in loads]
+        live = files.glob_all(slice_path(self.path("silver"), {"load_date": text}) for text in texts)
+        sources = [("silver", live)]
+        gone = set(texts) - {partition_value(path, "load_date") for path in live}
+        if gone and files.exists(self.path("silver_archive")):
+            runs = files.glob_all(slice_path(self.path("silver_archive"), {"run": "*", "load_date": text}) for text in sorted(gone))
+            last = {partition_value(path, "load_date"): path for path in sorted(runs, key=lambda path: partition_value(path, "run"))}
+            sources.append(("silver_archive", list(last.values())))
+        parts = [spark.read.option("basePath", self.path(table)).parquet(*paths).drop("run") for table, paths in sources if paths]
+        root, slices = self.path("gold_states"), [{"load_date": text} for text in texts]
+        if not parts:
+            drop_slices(spark, [slice_path(root, item) for item in slices])
+            return
+        rows = reduce(DataFrame.unionByName, parts)
+        overwrite_slices(self.rollup.partial(rows, ["load_date"]), root, slices, ["order_date"])
+
+    def merged_states(self, spark: SparkSession, dates: Sequence[date | None] | None) -> tuple[DataFrame | None, set[date | None]]:
+        """Gold rows of some order dates (or all) from the stored parts, and the dates that have any."""
+        files, root = Files(spark), self.path("gold_states")
+        if dates is None:
+            found = files.glob(slice_path(root, {"load_date": "*", "order_date": "*"}))
+        else:
+            noted = files.glob_all(slice_path(self.path("silver_dates"), {"order_date": day_name(day), "load_date": "*"}) for day in dates)
+            found = files.glob_all(slice_path(root, {name: partition_value(path, name) for name in ("load_date", "order_date")}) for path in noted)
+        if not found:
+            return None, set()
+        states = spark.read.option("basePath", root).parquet(*found).withColumn("order_date", F.col("order_date").cast("date"))
+        return self.rollup.merge(states), {day_value(path, "order_date") for path in found}
+
     def _gold_dates(self, spark: SparkSession) -> set[date | None]:
         return {day_value(path, "order_date") for path in Files(spark).glob(slice_path(self.path("gold"), {"order_date": "*"}))}
 

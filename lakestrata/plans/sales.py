@@ -5,7 +5,7 @@ from __future__ import annotations
 from lakestrata.operators.contract import CalculatedField, Contract, ContractColumn, CustomRule
 from lakestrata.operators.governance import Governance, Retention, RolePolicy
 from lakestrata.operators.quality import Rule
-from lakestrata.operators.steps import AggSpec, LayerStep, aggregate, convert_currency, line_total, where_equals
+from lakestrata.operators.steps import AggSpec, LayerStep, Rollup, convert_currency, line_total, where_equals
 
 PIPELINE_ID = "sales_daily_br_v1"
 DOMAIN = "sales"
@@ -62,7 +62,7 @@ COMPLETED = "completed"
 FILTER_COMPLETED = where_equals("status", COMPLETED)
 PRICE_IN_USD = convert_currency("unit_price_brl", "unit_price_usd", CONVERSION_RATE)
 TOTAL_IN_USD = line_total("quantity", "unit_price_usd", "total_value_usd")
-DAILY_BY_PRODUCT = aggregate(
+DAILY_ROLLUP = Rollup(
     ["product_id", "order_date"],
     [
         AggSpec("quantity", "sum", "total_quantity", "bigint"),
@@ -70,6 +70,7 @@ DAILY_BY_PRODUCT = aggregate(
     ],
     date_from="order_timestamp",
 )
+DAILY_BY_PRODUCT = DAILY_ROLLUP.step()
 
 STEPS = (
     LayerStep(FILTER_COMPLETED),

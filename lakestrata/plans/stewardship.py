@@ -64,6 +64,7 @@ def erase_from_lake(job: DailyJob, spark: SparkSession, subjects: DataFrame, key
             job.index_subjects(spark, table, changed[table])
     archived = {date.fromisoformat(part["order_date"]) if part["order_date"][0].isdigit() else None for part in changed.get("silver_archive", ())}
     if archived:
+        job.save_states(spark, sorted({date.fromisoformat(part["load_date"]) for part in changed["silver_archive"]}))
         job.refresh_gold(spark, in_order(archived))
     Files(spark).delete(job.path("unparsed"))
     return changed
@@ -78,6 +79,7 @@ def _erase_from_silver(
     # noted first: should the run die before gold is refreshed, the next one knows the dates
     touched = job.note_replaced(spark, loads) if loads else set()
     changed = erase_from_table(spark, path, subjects, key, folders)
+    job.save_states(spark, loads)
     job.refresh_gold(spark, in_order(touched))
     job.settle(spark, loads)
     return changed

@@ -143,12 +143,9 @@ def test_an_archive_run_that_died_is_settled(spark, df, table, tmp_path, monkeyp
 
 
 @pytest.mark.parametrize("corrected", [[21, 22], [21], [21, 22, 23]])
-def test_a_day_corrected_after_a_died_archive_run_is_kept(spark, df, table, tmp_path, monkeypatch, corrected):
+def test_a_day_corrected_after_a_died_archive_run_is_kept(spark, df, table, tmp_path, corrected):
     archive, keep = str(tmp_path / "archive"), Retention("2d", "archive_local")
-    with monkeypatch.context() as broken:
-        broken.setattr(governance, "_settle_archive", lambda *_: 1 / 0)  # dies right after the copy
-        with pytest.raises(ZeroDivisionError):
-            governance.archive_expired(spark, table, archive, "day", keep, date(2025, 1, 6))
+    governance.copy_expired(spark, table, archive, "day", keep, date(2025, 1, 6))  # dies right after the copy
     # the second day held 2 and 20: as many rows, fewer and more
     overwrite_partitions(spark.createDataFrame([(date(2025, 1, 2), "u", n) for n in corrected], df.schema), table, ["day"])
     governance.archive_expired(spark, table, archive, "day", keep, date(2025, 1, 6))
