@@ -7,7 +7,8 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
-from lakestrata.operators import governance
+from lakestrata.operators import governance, profiles
+from lakestrata.operators.key_history import KeyHistory
 from lakestrata.plans import sales as domain
 from lakestrata.plans.stewardship import erase_from_lake as erase_everywhere
 from lakestrata.plans.stewardship import retain_lake
@@ -87,3 +88,72 @@ def gold_additive(spark, sf_dir):
     """Late rows merge into their dates from the states of each load."""
     job = lake_of(spark, sf_dir, rollup=domain.DAILY_ROLLUP)
     return shown(job.gold(spark).select("product_id", "order_date", "total_quantity", "total_aggregated_value_usd"))
+
+
+KEYED_SQL = "keyed AS (SELECT concat(user_id, '-', CAST(floor(value) AS BIGINT)) AS ref, CAST(ts AS DATE) AS load_date FROM events)"
+
+
+def keyed(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    ref = F.concat(F.col("user_id").cast("string"), F.lit("-"), F.floor("value").cast("string"))
+    return events.select(ref.alias("ref"), F.to_date("ts").alias("load_date"))
+
+
+@query(f"""
+WITH {KEYED_SQL}
+SELECT ref, COUNT(*) AS occurrences, COUNT(DISTINCT load_date) AS loads, MIN(load_date) AS first_load
+FROM keyed WHERE ref IS NOT NULL GROUP BY 1 HAVING COUNT(*) > 1""")
+def dq_unique_all_loads(spark, sf_dir):
+    """Keys that are not unique over all load days, from the stored keys of each day."""
+    history = KeyHistory(spark, scratch_dir(spark, "keys"), {"ref": "string"}, buckets=8)
+    history.replace_all(keyed(spark, sf_dir))
+    return history.repeated()
+
+
+@query(f"""
+WITH {KEYED_SQL}, last AS (SELECT MAX(load_date) AS day FROM keyed),
+own AS (SELECT ref, COUNT(*) AS occurrences FROM keyed, last WHERE load_date = day AND ref IS NOT NULL GROUP BY 1),
+others AS (SELECT ref, COUNT(*) AS elsewhere, MIN(load_date) AS first_load FROM keyed, last WHERE load_date < day AND ref IS NOT NULL GROUP BY 1)
+SELECT ref, occurrences, COALESCE(elsewhere, 0) AS elsewhere, first_load FROM own LEFT JOIN others USING (ref)
+WHERE occurrences > 1 OR elsewhere > 0""")
+def dq_unique_across_loads(spark, sf_dir):
+    """Keys of the last load that are not unique in it, or were loaded before."""
+    rows = keyed(spark, sf_dir)
+    last = rows.agg(F.max("load_date")).first()[0]
+    history = KeyHistory(spark, scratch_dir(spark, "keys"), {"ref": "string"}, buckets=8)
+    history.replace_all(rows.where(F.col("load_date") < F.lit(last)))
+    return history.repeated_in(rows.where(F.col("load_date") == F.lit(last)), last)
+
+
+PROFILED = ("event_id", "user_id", "event_type", "value")
+
+
+@query("""
+WITH part AS (SELECT * FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-08' AND DATE '2024-01-21')
+SELECT 'event_id' AS column_name, COUNT(*) AS total, COUNT(*) - COUNT(event_id) AS nulls, MIN(event_id)::DOUBLE AS least_number, MAX(event_id)::DOUBLE AS greatest_number,
+       NULL::VARCHAR AS least_text, NULL::VARCHAR AS greatest_text, TRUE AS distinct_near, TRUE AS median_near FROM part
+UNION ALL SELECT 'user_id', COUNT(*), COUNT(*) - COUNT(user_id), MIN(user_id)::DOUBLE, MAX(user_id)::DOUBLE, NULL, NULL, TRUE, TRUE FROM part
+UNION ALL SELECT 'event_type', COUNT(*), COUNT(*) - COUNT(event_type), NULL, NULL, MIN(event_type), MAX(event_type), TRUE, TRUE FROM part
+UNION ALL SELECT 'value', COUNT(*), COUNT(*) - COUNT(value), MIN(value)::DOUBLE, MAX(value)::DOUBLE, NULL, NULL, TRUE, TRUE FROM part""")
+def profile_date_range(spark, sf_dir):
+    """Daily profiles united for two weeks, and whether the estimates are within their errors of the exact values."""
+    path = scratch_dir(spark, "profiles")
+    events = table(spark, sf_dir, "events").withColumn("event_date", F.to_date("ts"))
+    profiles.save_profiles(events, PROFILED, path, ["event_date"])
+    within = F.col("event_date").between(F.lit("2024-01-08").cast("date"), F.lit("2024-01-21").cast("date"))
+    found = profiles.report(profiles.united(spark.read.parquet(path).where(within)))
+    exact, median = None, F.expr("quantiles[1]")
+    for name in PROFILED:
+        number = name != "event_type"
+        below = [F.count_if(F.col(name) <= F.col("at")), F.count_if(F.col(name) < F.col("at"))] if number else [F.lit(None), F.lit(None)]
+        at = found.where(F.col("column_name") == name).select(median.alias("at"))
+        # one row of estimates beside the rows they are tried against
+        own = events.where(within).join(F.broadcast(at)).agg(
+            F.lit(name).alias("column_name"), F.count_distinct(name).alias("exact"), F.count(name).alias("n"), *(b.alias(f"below{i}") for i, b in enumerate(below))
+        )
+        exact = own if exact is None else exact.unionByName(own)
+    near = F.abs(F.col("distinct_values") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * (4 * profiles.DISTINCT_ERROR))
+    slack = F.col("n") * (3 * profiles.RANK_ERROR) + 1
+    middle = (F.col("below0") >= F.col("n") / 2 - slack) & (F.col("below1") <= F.col("n") / 2 + slack)
+    columns = ["column_name", "total", "nulls", "least_number", "greatest_number", "least_text", "greatest_text"]
+    return found.join(exact, "column_name").select(*columns, near.alias("distinct_near"), F.coalesce(middle, F.lit(True)).alias("median_near"))
