@@ -1,9 +1,13 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-Documents come in batches. What a batch says about its line keys (in how many documents, the largest id)
-is merge-joined with the runs: keys that no run holds (the anti-join) are new in the batch's own run of level 0,
-the others add to what is known. Once a level has `fanout` runs they are merged into one run of the next
-level. Runs are sorted files of (hash, documents, largest id, new); they can be kept and fed with later batches.
+Documents come in batches. A run holds the keys that one batch was the first to bring, with what that batch said of them (in how many
+documents, the largest id). What a new batch says is merge-anti-joined with all runs: keys that none holds become the batch's own run of
+level 0, so runs never share a key; what it says of keys that some run holds is an addition to them, kept beside the runs. Once a level
+has `fanout` runs they are merged into one of the next level, and so are additions.
+
+Runs and additions are tables bucketed and sorted by hash, so the joins of a batch with them move none of their rows. They lie in one folder
+together with a manifest of the levels, which is written last: another session opens the folder and goes on with later batches, and what a
+run that died has left half-written is not in the manifest.
 
 Skew: counts are combined within tasks before they are shuffled, and documents are counted by (key, id), so a
 line that a third of the documents share is dealt out by id. Texts are shuffled once, by document, beside the
@@ -23,12 +27,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakestrata.llm.common import ascii_lower, new_folder, stored, whole_text
+from lakestrata.sources.storage import Files
 
 WHITE = " \t\n\x0b\x0c\r"
 LEAST_CHARS = 40
 LEAST_DOCUMENTS = 5
 BATCHES = 4
 FANOUT = 2
+BUCKETS = 32
 
 
 def key_of(line: Column) -> Column:
@@ -57,55 +63,99 @@ def counted(lines: DataFrame) -> DataFrame:
     return pairs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("documents"), F.max("id").alias("largest"))
 
 
-def merged(runs: DataFrame) -> DataFrame:
-    """One row per key; it is new where the first of its rows was."""
-    return runs.groupBy("h1", "h2").agg(
-        F.sum("documents").alias("documents"), F.max("largest").alias("largest"), F.max("new").alias("new")
-    )
+RUN = "h1 BIGINT, h2 BIGINT, documents BIGINT, largest {}"
+KEY = ["h1", "h2"]
 
 
 class LineRuns:
-    """Levelled sorted runs in files under one folder.
-
-    A row of a run is a key, what its batches say of it, and whether the run was the first to hold it; so
-    a key is new in one run only, and in later runs it adds to its counts.
-    """
+    """Levelled sorted runs and additions in files under one folder; an existing folder is opened as it was left."""
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = FANOUT):
-        self.spark, self.fanout = spark, fanout
+    def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = FANOUT, buckets: int = BUCKETS, id_type: str = "bigint"):
+        self.spark, self.fanout, self.buckets, self.id_type = spark, fanout, buckets, id_type
         self.folder = folder or new_folder(spark, "line-runs")
-        self.levels: list[list[DataFrame]] = []
-
-    def _write(self, rows: DataFrame) -> DataFrame:
-        return stored(rows.sortWithinPartitions("h1", "h2"), f"{self.folder}/run-{uuid.uuid4().hex}")
+        self.levels: dict[str, list[list[str]]] = {"run": [], "addition": []}
+        self.version = 0
+        found = [path for path in Files(spark).glob(f"{self.folder}/manifest-*/_SUCCESS")]
+        if found:
+            self.version = max(int(path.rsplit("/", 2)[1].split("-")[1]) for path in found)
+            for row in spark.read.parquet(f"{self.folder}/manifest-{self.version}").orderBy("place").collect():
+                levels = self.levels[row.kind]
+                levels += [[] for _ in range(row.level + 1 - len(levels))]
+                levels[row.level].append(row.name)
+
+    def _table(self, name: str) -> DataFrame:
+        """A stored run; a session that did not write it registers its files first."""
+        if not self.spark.catalog.tableExists(name):
+            self.spark.sql(
+                f"CREATE TABLE {name} ({RUN.format(self.id_type)}) USING parquet "
+                f"CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{name}'"
+            )
+        return self.spark.table(name)
+
+    def _write(self, rows: DataFrame) -> str:
+        name = f"lines_{uuid.uuid4().hex}"
+        sorted_rows = rows.select("h1", "h2", "documents", "largest").repartition(self.buckets, *KEY).sortWithinPartitions(*KEY)
+        sorted_rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", f"{self.folder}/{name}").saveAsTable(name)
+        return name
+
+    def _of(self, kind: str) -> list[DataFrame]:
+        return [self._table(name) for level in self.levels[kind] for name in level]
 
     def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
+        return self._of("run")
+
+    def additions(self) -> list[DataFrame]:
+        return self._of("addition")
+
+    def fresh(self, said: DataFrame) -> DataFrame:
+        """What is said of keys that no run holds."""
+        return reduce(lambda rest, run: rest.join(run.select(*KEY), KEY, "left_anti"), self.runs(), said)
+
+    def known(self, said: DataFrame) -> DataFrame | None:
+        """What is said of keys that some run holds; only one does."""
+        parts = [said.join(run.select(*KEY), KEY, "left_semi") for run in self.runs()]
+        return reduce(DataFrame.unionByName, parts) if parts else None
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Fold in one batch of (id, h1, h2), whose ids no earlier batch has; returns its run."""
-        said = counted(batch)
-        if self.runs():
-            held = reduce(DataFrame.unionByName, self.runs()).filter("new").select("h1", "h2", F.lit(False).alias("new"))
-            said = said.join(held, ["h1", "h2"], "left").withColumn("new", F.coalesce("new", F.lit(True)))
-        else:
-            said = said.withColumn("new", F.lit(True))
-        run = self._write(said)
-        self._push(run, 0)
-        return run
-
-    def _push(self, run: DataFrame, level: int) -> None:
-        if len(self.levels) == level:
-            self.levels.append([])
-        self.levels[level].append(run)
-        if len(self.levels[level]) == self.fanout:
-            compacted = self._write(merged(reduce(DataFrame.unionByName, self.levels[level])))
-            self.levels[level] = []
-            self._push(compacted, level + 1)
+        said = self._table(self._write(counted(batch)))
+        run, known = self._write(self.fresh(said)), self.known(said)
+        if known is not None:
+            self._push("addition", self._write(known), 0)
+        self._push("run", run, 0)
+        self._save()
+        return self._table(run)
+
+    def _push(self, kind: str, name: str, level: int) -> None:
+        levels = self.levels[kind]
+        if len(levels) == level:
+            levels.append([])
+        levels[level].append(name)
+        if len(levels[level]) == self.fanout:
+            together = reduce(DataFrame.unionByName, map(self._table, levels[level]))
+            compacted = self._write(together if kind == "run" else summed(together))
+            levels[level] = []
+            self._push(kind, compacted, level + 1)
+
+    def _save(self) -> None:
+        rows = [(kind, k, name) for kind, levels in self.levels.items() for k, level in enumerate(levels) for name in level]
+        numbered = [(place, *row) for place, row in enumerate(rows)]
+        self.version += 1
+        manifest = self.spark.createDataFrame(numbered, "place int, kind string, level int, name string").coalesce(1)
+        manifest.write.parquet(f"{self.folder}/manifest-{self.version}")
 
     def all(self) -> DataFrame:
-        """Every key with its documents and largest id."""
-        return merged(reduce(DataFrame.unionByName, self.runs()))
+        """Every key with its documents and largest id: the keys of all runs, which have none in common, and what was added to them."""
+        keys = reduce(DataFrame.unionByName, self.runs())
+        if not self.additions():
+            return keys
+        more = summed(reduce(DataFrame.unionByName, self.additions())).withColumnsRenamed({"documents": "more", "largest": "later"})
+        both = keys.join(more, KEY, "left")
+        return both.select(*KEY, (F.col("documents") + F.coalesce("more", F.lit(0))).alias("documents"), F.greatest("largest", "later").alias("largest"))
+
+
+def summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*KEY).agg(F.sum("documents").alias("documents"), F.max("largest").alias("largest"))
 
 
 def repeated_lines(
@@ -115,21 +165,19 @@ def repeated_lines(
     least_chars: int = LEAST_CHARS,
     least_documents: int = LEAST_DOCUMENTS,
     batches: int = BATCHES,
-) -> DataFrame:
-    """h1, h2 and the largest id of keys found in at least `least_documents` documents."""
+) -> tuple[DataFrame, DataFrame]:
+    """h1, h2 and the largest id of keys found in at least `least_documents` documents; and id, h1, h2 of all lines."""
     spark = docs.sparkSession
     batch = F.pmod(F.xxhash64(F.lit("batch"), "id"), F.lit(batches))
     lines = line_hashes(docs, id_column, text_column, least_chars).withColumn("batch", batch)
     path = new_folder(spark, "line-hashes")
     lines.write.partitionBy("batch").parquet(path)
-    runs = LineRuns(spark)
+    lines = spark.read.schema(lines.schema).parquet(path)
+    runs = LineRuns(spark, id_type=lines.schema["id"].dataType.simpleString())
     for number in range(batches):
-        part = spark.read.schema(lines.schema).parquet(path).filter(F.col("batch") == number).drop("batch")
-        runs.add(part)
-    return stored(
-        runs.all().filter(F.col("documents") >= least_documents).select("h1", "h2", "largest"),
-        new_folder(spark, "line-repeated"),
-    )
+        runs.add(lines.filter(F.col("batch") == number).drop("batch"))
+    repeated = runs.all().filter(F.col("documents") >= least_documents).select("h1", "h2", "largest")
+    return stored(repeated, new_folder(spark, "line-repeated")), lines.drop("batch")
 
 
 def drop_repeated_lines(
@@ -144,10 +192,9 @@ def drop_repeated_lines(
 
     These two are prefixed with `_` as often as needed to differ from the columns of `docs`.
     """
-    repeated = repeated_lines(docs, id_column, text_column, least_chars, least_documents, batches)
-    lines = line_hashes(docs, id_column, text_column, least_chars)
+    repeated, lines = repeated_lines(docs, id_column, text_column, least_chars, least_documents, batches)
     lost = (
-        lines.join(repeated, ["h1", "h2"])
+        lines.join(repeated, KEY)
         .filter(~F.col("id").eqNullSafe(F.col("largest")))
         .groupBy("id")
         .agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))

@@ -3,7 +3,7 @@ import random
 import pytest
 from brute import dedup_lines
 
-from lakestrata.llm.line_dedup import LineRuns, drop_repeated_lines, hash_of, key_of, line_hashes
+from lakestrata.llm.line_dedup import LineRuns, counted, drop_repeated_lines, hash_of, key_of, line_hashes
 from pyspark.sql import functions as F
 
 LINE = "A line that is long enough to be looked at, "
@@ -44,20 +44,71 @@ def test_a_line_of_a_third_of_all_documents(spark):
     assert told(found, ("line_count", "lines_dropped")) == sorted(dedup_lines(docs), key=repr)
 
 
+def batch_of(spark, docs):
+    return line_hashes(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", 40)
+
+
+def counts_of(runs):
+    return {(r.h1, r.h2): (r.documents, r.largest) for r in runs.all().collect()}
+
+
+BATCHES = [[(10 * b + i, f"{LINE}{(b + i) % 7}\n{LINE}{b}x{i}") for i in range(6)] for b in range(5)]
+
+
 @pytest.mark.parametrize("fanout", [2, 3])
-def test_runs_are_levelled_and_hold_each_key_as_new_once(spark, fanout):
-    runs = LineRuns(spark, fanout=fanout)
-    batches = [[(10 * b + i, f"{LINE}{(b + i) % 7}") for i in range(6)] for b in range(5)]
-    for batch in batches:
-        runs.add(line_hashes(spark.createDataFrame(batch, "doc_id long, text string"), "doc_id", "text", 40))
-        assert all(len(level) < fanout for level in runs.levels)
-    for run in runs.runs():
-        keys = [(r.h1, r.h2) for r in run.collect()]
-        assert len(keys) == len(set(keys))
-    new = [(r.h1, r.h2) for run in runs.runs() for r in run.filter("new").collect()]
-    assert len(new) == len(set(new)) == 7
-    found = {(r.h1, r.h2): (r.documents, r.largest) for r in runs.all().collect()}
+def test_runs_are_levelled_and_share_no_key(spark, fanout):
+    runs = LineRuns(spark, fanout=fanout, buckets=4)
+    for batch in BATCHES:
+        runs.add(batch_of(spark, batch))
+        assert all(len(level) < fanout for levels in runs.levels.values() for level in levels)
+    keys = [(r.h1, r.h2) for run in runs.runs() for r in run.collect()]
+    assert len(keys) == len(set(keys)) == 7 + 30
+    found = counts_of(runs)
     for k in range(7):
-        own = [d for batch in batches for d, text in batch if text.endswith(f", {k}")]
+        own = [d for batch in BATCHES for d, text in batch if f"{LINE}{k}\n" in text]
         h = spark.range(1).select(*hash_of(key_of(F.lit(f"{LINE}{k}")))).first()
         assert found[tuple(h)] == (len(own), max(own))
+
+
+@pytest.mark.parametrize("session", ["same", "new"])
+def test_a_reopened_folder_goes_on_where_it_was_left(spark, tmp_path, session):
+    folder = str(tmp_path / "runs")
+    whole = LineRuns(spark, fanout=2, buckets=4)
+    whole.add(batch_of(spark, [doc for batch in BATCHES for doc in batch]))
+    for batch in BATCHES:
+        own = spark.newSession() if session == "new" else spark
+        LineRuns(own, folder, fanout=2, buckets=4).add(batch_of(own, batch))
+    again = LineRuns(spark, folder, fanout=2, buckets=4)
+    assert counts_of(again) == counts_of(whole) and again.version == 5
+
+
+def test_a_batch_that_died_leaves_nothing_behind(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "runs")
+    LineRuns(spark, folder, buckets=4).add(batch_of(spark, BATCHES[0]))
+    with monkeypatch.context() as broken:
+        broken.setattr(LineRuns, "_save", lambda self: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            LineRuns(spark, folder, buckets=4).add(batch_of(spark, BATCHES[1]))
+    runs = LineRuns(spark, folder, buckets=4)
+    runs.add(batch_of(spark, BATCHES[1]))
+    whole = LineRuns(spark, buckets=4)
+    whole.add(batch_of(spark, BATCHES[0] + BATCHES[1]))
+    assert counts_of(runs) == counts_of(whole)
+
+
+def test_joins_with_runs_exchange_nothing(spark):
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name, None) for name in names}
+    try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        runs = LineRuns(spark, fanout=3, buckets=4)
+        for batch in BATCHES[:2]:
+            runs.add(batch_of(spark, batch))
+        said = runs._table(runs._write(counted(batch_of(spark, BATCHES[2]))))
+        for found in (runs.fresh(said), runs.known(said)):
+            tree = found._jdf.queryExecution().executedPlan().toString()
+            assert tree.count("SortMergeJoin") == 2 and "Exchange" not in tree
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
