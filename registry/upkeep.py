@@ -142,14 +142,13 @@ def profile_date_range(spark, sf_dir):
     profiles.save_profiles(events, PROFILED, path, ["event_date"])
     within = F.col("event_date").between(F.lit("2024-01-08").cast("date"), F.lit("2024-01-21").cast("date"))
     found = profiles.report(profiles.united(spark.read.parquet(path).where(within)))
-    exact, median = None, F.expr("quantiles[1]")
+    medians = {row.column_name: row.median for row in found.select("column_name", F.expr("quantiles[1]").alias("median")).collect()}
+    exact = None
     for name in PROFILED:
-        number = name != "event_type"
-        below = [F.count_if(F.col(name) <= F.col("at")), F.count_if(F.col(name) < F.col("at"))] if number else [F.lit(None), F.lit(None)]
-        at = found.where(F.col("column_name") == name).select(median.alias("at"))
-        # one row of estimates beside the rows they are tried against
-        own = events.where(within).join(F.broadcast(at)).agg(
-            F.lit(name).alias("column_name"), F.count_distinct(name).alias("exact"), F.count(name).alias("n"), *(b.alias(f"below{i}") for i, b in enumerate(below))
+        at, column = F.lit(medians[name]).cast("double"), F.col(name)
+        below = [F.count_if(column <= at), F.count_if(column < at)] if medians[name] is not None else [F.lit(None).cast("long")] * 2
+        own = events.where(within).agg(
+            F.lit(name).alias("column_name"), F.count_distinct(column).alias("exact"), F.count(column).alias("n"), *(b.alias(f"below{i}") for i, b in enumerate(below))
         )
         exact = own if exact is None else exact.unionByName(own)
     near = F.abs(F.col("distinct_values") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * (4 * profiles.DISTINCT_ERROR))
