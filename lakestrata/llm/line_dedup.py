@@ -34,7 +34,6 @@ LEAST_CHARS = 40
 LEAST_DOCUMENTS = 5
 BATCHES = 4
 FANOUT = 2
-BUCKETS = 32
 
 
 def key_of(line: Column) -> Column:
@@ -70,8 +69,10 @@ KEY = ["h1", "h2"]
 class LineRuns:
     """Levelled sorted runs and additions in files under one folder; an existing folder is opened as it was left."""
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = FANOUT, buckets: int = BUCKETS, id_type: str = "bigint"):
-        self.spark, self.fanout, self.buckets, self.id_type = spark, fanout, buckets, id_type
+    def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = FANOUT, buckets: int | None = None, id_type: str = "bigint"):
+        self.spark, self.fanout, self.id_type = spark, fanout, id_type
+        # one bucket for each task of a shuffle, so that a task writes one file
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.folder = folder or new_folder(spark, "line-runs")
         self.levels: dict[str, list[list[str]]] = {"run": [], "addition": []}
         self.version = 0
@@ -79,7 +80,7 @@ class LineRuns:
         if found:
             self.version = max(int(path.rsplit("/", 2)[1].split("-")[1]) for path in found)
             for row in spark.read.parquet(f"{self.folder}/manifest-{self.version}").orderBy("place").collect():
-                levels = self.levels[row.kind]
+                levels, self.buckets = self.levels[row.kind], row.buckets
                 levels += [[] for _ in range(row.level + 1 - len(levels))]
                 levels[row.level].append(row.name)
 
@@ -139,9 +140,9 @@ class LineRuns:
 
     def _save(self) -> None:
         rows = [(kind, k, name) for kind, levels in self.levels.items() for k, level in enumerate(levels) for name in level]
-        numbered = [(place, *row) for place, row in enumerate(rows)]
+        numbered = [(place, *row, self.buckets) for place, row in enumerate(rows)]
         self.version += 1
-        manifest = self.spark.createDataFrame(numbered, "place int, kind string, level int, name string").coalesce(1)
+        manifest = self.spark.createDataFrame(numbered, "place int, kind string, level int, name string, buckets int").coalesce(1)
         manifest.write.parquet(f"{self.folder}/manifest-{self.version}")
 
     def all(self) -> DataFrame:

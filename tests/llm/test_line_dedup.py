@@ -78,8 +78,8 @@ def test_a_reopened_folder_goes_on_where_it_was_left(spark, tmp_path, session):
     for batch in BATCHES:
         own = spark.newSession() if session == "new" else spark
         LineRuns(own, folder, fanout=2, buckets=4).add(batch_of(own, batch))
-    again = LineRuns(spark, folder, fanout=2, buckets=4)
-    assert counts_of(again) == counts_of(whole) and again.version == 5
+    again = LineRuns(spark, folder, fanout=2)
+    assert counts_of(again) == counts_of(whole) and again.version == 5 and again.buckets == 4
 
 
 def test_a_batch_that_died_leaves_nothing_behind(spark, tmp_path, monkeypatch):
