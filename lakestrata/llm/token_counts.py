@@ -77,22 +77,23 @@ class Counts:
 
     def count(self, texts: list[str], frequent: dict[str, int]) -> list[int]:
         split = [self.split(text) for text in texts]
-        known, cache = frequent, self.cache
-        missing = list({x for tokens, _ in split for x in tokens if x not in known and x not in cache})
         # what this batch needs stays at hand until it is counted, whatever the cache forgets
+        lengths: dict[str, int] = {}
+        missing = []
+        for x in set().union(*(tokens for tokens, _ in split)):
+            n = frequent.get(x)
+            if n is None:
+                n = self.cache.get(x)
+            if n is None:
+                missing.append(x)
+            else:
+                lengths[x] = n
         fresh: dict[str, int] = {}
         for at in range(0, len(missing), ENCODED):
             part = missing[at : at + ENCODED]
             fresh.update(zip(part, map(len, self.tokenizer.encode_batch(part, add_special_tokens=False))))
-        out = []
-        for tokens, special in split:
-            total = special
-            for x in tokens:
-                n = known.get(x)
-                if n is None:
-                    n = cache.get(x)
-                total += fresh[x] if n is None else n
-            out.append(total)
+        lengths.update(fresh)
+        out = [special + sum(map(lengths.__getitem__, tokens)) for tokens, special in split]
         self.learn(fresh)
         return out
 
