@@ -5,8 +5,13 @@ Tier 1 is a hash table from frequent pre-tokens to their token counts, broadcast
 `table_size` entries of at most 64 characters, so some megabytes. Tier 2 encodes what the table misses, once per
 worker, and remembers it in a bounded cache that outlives tasks.
 
-What is frequent is taken from the whole corpus: each task counts its pre-tokens and passes on its most frequent
-ones, at most `TASK_SIZE`, and Spark adds these up. That choice bears on speed alone; every count is exact.
+A pre-token holds white space at its beginning only, or is white space alone, so a text is first cut at white space into
+units, each of one or more whole pre-tokens. A unit that both tiers know needs no further split; others are split into
+their pre-tokens, once a batch, and remembered beside these.
+
+What is frequent is taken from the whole corpus: each task counts the words of its texts, splits each distinct one into
+pre-tokens and passes on its most frequent ones, at most `TASK_SIZE`, and Spark adds these up. That choice bears on speed
+alone; every count is exact.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens. Special strings inside a text are one token each, as the
 tokenizer has them by default. Other columns are not read; repeated rows give repeated results.
@@ -15,8 +20,9 @@ tokenizer has them by default. Other columns are not read; repeated rows give re
 from __future__ import annotations
 
 import json
+import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
@@ -30,6 +36,9 @@ PRE_TOKENS = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
+#: The characters of the property White_Space.
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+UNITS = rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 TABLE_SIZE = 1 << 16
 CACHE_SIZE = 1 << 19
 TASK_SIZE = 1 << 13
@@ -52,6 +61,7 @@ class Counts:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.pattern = regex.compile(PRE_TOKENS)
+        self.unit = re.compile(UNITS)
         special = special_tokens(path)
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.cache: dict[str, int] = {}
@@ -62,11 +72,24 @@ class Counts:
             _workers[path] = cls(path)
         return _workers[path]
 
-    def split(self, text: str) -> tuple[list[str], int]:
-        """Pre-tokens between special strings, and the number of special strings."""
+    def units(self, text: str) -> tuple[list[str], int]:
+        """Units between special strings, and the number of special strings."""
         if self.special is None or not (found := self.special.findall(text)):
-            return self.pattern.findall(text), 0
-        return [x for part in self.special.split(text) for x in self.pattern.findall(part)], len(found)
+            return self.unit.findall(text), 0
+        return [x for part in self.special.split(text) for x in self.unit.findall(part)], len(found)
+
+    def known(self, wanted: Iterable[str], frequent: dict[str, int]) -> tuple[dict[str, int], list[str]]:
+        """What the table or the cache knows, and what neither does."""
+        lengths, missing = {}, []
+        for x in wanted:
+            n = frequent.get(x)
+            if n is None:
+                n = self.cache.get(x)
+            if n is None:
+                missing.append(x)
+            else:
+                lengths[x] = n
+        return lengths, missing
 
     def learn(self, counts: dict[str, int]) -> None:
         """Remember short pre-tokens, in an empty cache if they would not fit, and no more than fit."""
@@ -76,24 +99,19 @@ class Counts:
         self.cache.update((x, counts[x]) for x in short)
 
     def count(self, texts: list[str], frequent: dict[str, int]) -> list[int]:
-        split = [self.split(text) for text in texts]
+        split = [self.units(text) for text in texts]
         # what this batch needs stays at hand until it is counted, whatever the cache forgets
-        lengths: dict[str, int] = {}
-        missing = []
-        for x in set().union(*(tokens for tokens, _ in split)):
-            n = frequent.get(x)
-            if n is None:
-                n = self.cache.get(x)
-            if n is None:
-                missing.append(x)
-            else:
-                lengths[x] = n
+        lengths, new = self.known(set().union(*(units for units, _ in split)), frequent)
+        tokens = {unit: self.pattern.findall(unit) for unit in new}
+        parts, missing = self.known(set().union(*tokens.values()), frequent)
         fresh: dict[str, int] = {}
         for at in range(0, len(missing), ENCODED):
             part = missing[at : at + ENCODED]
             fresh.update(zip(part, map(len, self.tokenizer.encode_batch(part, add_special_tokens=False))))
-        lengths.update(fresh)
-        out = [special + sum(map(lengths.__getitem__, tokens)) for tokens, special in split]
+        parts.update(fresh)
+        fresh.update((unit, sum(map(parts.__getitem__, found))) for unit, found in tokens.items())
+        lengths.update((unit, fresh[unit]) for unit in tokens)
+        out = [special + sum(map(lengths.__getitem__, units)) for units, special in split]
         self.learn(fresh)
         return out
 
@@ -102,13 +120,17 @@ def frequent_pre_tokens(texts: DataFrame, path: str, table_size: int) -> list[st
     """The most frequent pre-tokens of a column `text`, from counts that each task combines."""
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, split = Counter(), Counts.of(path).split
+        words, counts, pattern = Counter(), Counter(), Counts.of(path).pattern
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                counts.update(split(text)[0])
-            if len(counts) > 8 * table_size:  # a bounded summary: rare ones give way
-                counts = Counter(dict(counts.most_common(2 * table_size)))
-        found = [(x, n) for x, n in counts.most_common(TASK_SIZE) if n > 1 and len(x) <= 64]
+                words.update(text.split())
+            if len(words) > 8 * table_size:  # a bounded summary: rare ones give way
+                words = Counter(dict(words.most_common(2 * table_size)))
+        for word, n in words.items():
+            if n > 1:
+                for x in pattern.findall(f" {word}"):
+                    counts[x] += n
+        found = [(x, n) for x, n in counts.most_common(TASK_SIZE) if len(x) <= 64]
         yield pa.RecordBatch.from_arrays(
             [pa.array([x for x, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["token", "n"]
         )

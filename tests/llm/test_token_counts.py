@@ -64,6 +64,16 @@ def test_pre_tokens_split_like_the_library_for_every_code_point():
     assert counts.count(texts, {}) == brute(texts)
 
 
+def test_units_are_whole_pre_tokens():
+    counts = T.Counts(PATH)
+    spaces = " \t\n\r\x0b\x0c\x1c\x1f\x85\xa0\u1680\u180e\u2000\u200b\u2028\u202f\u205f\u3000"
+    assert all((regex.match(r"\p{White_Space}", chr(k)) is None) == (T.re.match(f"[{T.SPACE}]", chr(k)) is None) for k in range(0x110000))
+    texts = [f"it's{a}{b}x,{b}{a}'s{a}{a}{a}!{b}1{a}" for a in spaces for b in spaces]
+    for text in texts:
+        assert [x for unit in counts.units(text)[0] for x in counts.pattern.findall(unit)] == counts.pattern.findall(text)
+    assert counts.count(texts, {}) == brute(texts)
+
+
 def test_frequent_ones_come_from_all_rows(spark):
     df = spark.createDataFrame([(i, "aa bb" if i % 2 else "aa cc aa") for i in range(40)], "doc_id long, text string").repartition(4)
     assert T.frequent_pre_tokens(df.select(F.col("text")), PATH, 2)[0] in ("aa", " aa")
