@@ -217,25 +217,52 @@ def freshness(df: DataFrame, timestamp: str, as_of: datetime | str, max_latency_
     )
 
 
+#: Intervals of one range: neighbours within a range are found by a window over that range alone.
+RANGE_BITS = 12
+#: Ranges are numbered from here, so that no number is negative, and in 20 bits, for any moment of the years 1 to 9999 and interval of an hour or more.
+FIRST_RANGE, NUMBER_BITS = 1 << 15, 20
+
+
 def load_gaps(
     df: DataFrame, timestamp: str, expected_interval_hours: int = 24, by: Sequence[str] = ()
 ) -> DataFrame:
     """Neighbouring loads that lie further apart than the expected interval, for each value of `by`.
 
-    Moments are cut to the interval, in UTC. Without `by` the window runs in one task, over distinct
-    intervals with a load: a few thousand rows however large the table.
+    Moments are cut to the interval, in UTC. Distinct intervals with a load are put in ranges of 4,096, and neighbours
+    are found range by range, so no task sees all loads of a hot value, nor of the whole table without `by`. The first load of a range
+    finds its predecessor by a join: all earlier ranges make up one aligned block per bit that is set in its number, and each block knows its
+    last load.
     """
-    seconds = expected_interval_hours * 3600
-    cut = F.floor(F.unix_timestamp(named(timestamp).cast("timestamp")) / seconds) * seconds
-    loads = df.select(*map(named, by), cut.alias("load")).na.drop(subset=["load"]).distinct()
-    previous = F.lag("load").over(W.partitionBy(*map(named, by)).orderBy("load"))
-    return (
-        loads.withColumn("previous", previous)
-        .where(F.col("load") - F.col("previous") > seconds)
-        .select(
-            *map(named, by),
-            F.timestamp_seconds("load").alias("loaded_at"),
-            F.timestamp_seconds("previous").alias("previous_at"),
-            F.floor((F.col("load") - F.col("previous")) / 3600).alias("gap_hours"),
-        )
+    seconds = int(expected_interval_hours * 3600)
+    keys = [f"__by{i}" for i in range(len(by))]
+    slot = F.floor(F.unix_timestamp(named(timestamp).cast("timestamp")) / seconds)
+    loads = df.select(*(named(name).alias(key) for name, key in zip(by, keys)), slot.alias("__load")).na.drop(subset=["__load"]).distinct()
+    number = (F.shiftright("__load", RANGE_BITS) + FIRST_RANGE).alias("__range")
+    ranged = loads.select("*", number)
+    beside = ranged.withColumn("__previous", F.lag("__load").over(W.partitionBy(*keys, "__range").orderBy("__load")))
+
+    bits = F.sequence(F.lit(0), F.lit(NUMBER_BITS))
+    lasts = ranged.groupBy(*keys, "__range").agg(F.max("__load").alias("__last"))
+    blocks = (
+        lasts.select("*", F.explode(bits).alias("__bit"))
+        .groupBy(*keys, "__bit", F.expr("shiftright(__range, __bit)").alias("__block"))
+        .agg(F.max("__last").alias("__last"))
+    )
+    earlier = beside.where(F.col("__previous").isNull()).select(
+        *keys, "__load", F.expr(f"explode(filter(sequence(0, {NUMBER_BITS}), b -> shiftright(__range, b) % 2 = 1))").alias("__bit"), "__range"
+    )
+    earlier = earlier.select(*keys, "__load", "__bit", F.expr("shiftright(__range, __bit) - 1").alias("__block"))
+    left, right = earlier.alias("left"), blocks.alias("right")
+    same = F.lit(True)
+    for name in [*keys, "__bit", "__block"]:
+        same = same & F.col(f"left.{name}").eqNullSafe(F.col(f"right.{name}"))
+    found = left.join(right, same).groupBy(*(F.col(f"left.{key}").alias(key) for key in keys), F.col("left.__load").alias("__load"))
+    across = found.agg(F.max("right.__last").alias("__previous"))
+    pairs = beside.where(F.col("__previous").isNotNull()).select(*keys, "__load", "__previous").unionByName(across)
+    apart = F.col("__load") - F.col("__previous")
+    return pairs.where(apart > 1).select(
+        *(F.col(key).alias(name) for key, name in zip(keys, by)),
+        F.timestamp_seconds(F.col("__load") * seconds).alias("loaded_at"),
+        F.timestamp_seconds(F.col("__previous") * seconds).alias("previous_at"),
+        F.floor(apart * seconds / 3600).alias("gap_hours"),
     )

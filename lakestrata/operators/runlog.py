@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 from typing import Any
@@ -113,3 +114,32 @@ def run_summary(events: DataFrame) -> DataFrame:
         )
         .withColumn("duration_seconds", F.unix_timestamp("ended_at") - F.unix_timestamp("started_at"))
     )
+
+
+def step_attempts(events: DataFrame, pause: str = "30 minutes", by: Sequence[str] = ("pipeline_id", "step_name")) -> DataFrame:
+    """Runs of a step with its retries: events of a step that lie no further apart than `pause` are one run.
+
+    Per run: first and last event, how often the step started and failed, the mean seconds from one start to the next (NULL with less than
+    two), and its outcome: the last of SUCCEEDED and FAILED, or NULL if it never ended. With
+    `spark.sql.sessionWindow.merge.sessions.in.local.partition`, which `session.tune_for` sets, tasks merge their events into
+    runs before the shuffle, so that a step with most of the events is not one task's work. Events without a time are left out.
+    """
+    starts = F.when(F.col("status") == "STARTING", F.col("timestamp_utc"))
+    ends = F.when(F.col("status").isin("SUCCEEDED", "FAILED"), F.struct("timestamp_utc", "status"))
+    apart = (F.unix_micros("__last_start") - F.unix_micros("__first_start")) / 1_000_000
+    return (
+        events.where(F.col("timestamp_utc").isNotNull())
+        .groupBy(*by, F.session_window("timestamp_utc", pause).alias("__run"))
+        .agg(
+            F.min("timestamp_utc").alias("started_at"),
+            F.max("timestamp_utc").alias("ended_at"),
+            F.count(F.lit(1)).alias("events"),
+            F.count(starts).alias("attempts"),
+            F.count_if(F.col("status") == "FAILED").alias("failures"),
+            F.max(ends)["status"].alias("outcome"),
+            F.min(starts).alias("__first_start"),
+            F.max(starts).alias("__last_start"),
+        )
+        .withColumn("seconds_between", F.when(F.col("attempts") > 1, apart / (F.col("attempts") - 1)))
+        .drop("__run", "__first_start", "__last_start")
+    )

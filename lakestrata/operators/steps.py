@@ -71,6 +71,36 @@ def aggregate(group_by: Sequence[str], specs: Sequence[AggSpec], date_from: str
     return step
 
 
+def totals(
+    group_by: Sequence[str],
+    specs: Sequence[AggSpec],
+    levels: Sequence[Sequence[str]] | None = None,
+    date_from: str | None = None,
+    level_column: str = "total_level",
+) -> Step:
+    """The aggregates of several levels of grouping at once: by default all columns, then one fewer from the right, down to none.
+
+    A level is a subset of `group_by`; the others are NULL in its rows. `total_level` tells such a NULL from one in the data:
+    bit i from the right is set where the i-th column from the right is summed over. Rows are expanded once and summed in their
+    tasks before the one shuffle, so a grand total is one row of each task. An empty table has a grand total, if that level is asked for.
+    """
+    wanted = [list(level) for level in levels] if levels is not None else [list(group_by[:n]) for n in range(len(group_by), -1, -1)]
+    if strange := [name for level in wanted for name in level if name not in group_by]:
+        raise ValueError(f"levels name columns that are not grouped by: {', '.join(strange)}")
+    if not wanted:
+        raise ValueError("no level is asked for")
+
+    def step(df: DataFrame) -> DataFrame:
+        dated = with_date(date_from)(df) if date_from else df
+        if not group_by:
+            return dated.agg(F.lit(0).cast("long").alias(level_column), *(spec.column() for spec in specs))
+        sets = [[named(name) for name in level] for level in wanted]
+        grouped = dated.groupingSets(sets, *(named(name) for name in group_by))
+        return grouped.agg(F.grouping_id().alias(level_column), *(spec.column() for spec in specs))
+
+    return step
+
+
 #: What each aggregate is made of: functions of its source whose results can be merged.
 PARTS = {"sum": ("sum",), "count": ("count",), "min": ("min",), "max": ("max",), "avg": ("sum", "count")}
 MERGED = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}

@@ -18,6 +18,7 @@ LARGE_INPUT_SETTINGS = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 TARGET_SHUFFLE_BYTES = 256 * 1024 * 1024
 
