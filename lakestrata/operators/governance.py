@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from datetime import date, timedelta
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -245,7 +246,13 @@ def erase_from_table(
     if not names:
         raise ValueError(f"{path} is not a partitioned table")
     listed = subjects.select(named(key)).na.drop()
-    hits = _rows_per_partition(read_as_text(spark, path, folders).join(listed, key, "left_semi"), names)
+    try:
+        rows = read_as_text(spark, path, folders)
+    except AnalysisException as error:
+        if error.getCondition() == "UNABLE_TO_INFER_SCHEMA":  # folders whose rows have all gone
+            return []
+        raise
+    hits = _rows_per_partition(rows.join(listed, key, "left_semi"), names)
     if not hits:
         return []
     there = partition_folders(spark, path, names)

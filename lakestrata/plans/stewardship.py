@@ -17,7 +17,7 @@ from lakestrata.sources.storage import Files, in_order
 # The outermost partition columns of each layer, which hold the day that retention goes by.
 DAY_COLUMNS = {"bronze": ("year", "month", "day"), "silver": ("load_date",), "gold": ("order_date",)}
 # Tables that hold rows of data subjects: the layers that a job writes row by row, and copies of them.
-PERSONAL_TABLES = ("bronze", "bronze_archive", "quarantine", "silver", "silver_archive")
+PERSONAL_TABLES = ("bronze", "bronze_archive", "quarantine", "corrections", "silver", "silver_archive")
 DELETE = "delete"
 
 

@@ -1,13 +1,20 @@
-"""Queries over what happened to tables and jobs: totals of all levels, gaps between loads, attempts of steps, drift between versions."""
+"""Queries over what happened to tables and jobs: totals of all levels, gaps between loads, attempts of steps, drift between versions, corrections."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+from datetime import date, datetime
+
 from pyspark.sql import functions as F
 
 from lakestrata.operators import contract as contracts
 from lakestrata.operators import drift, runlog
+from lakestrata.operators.quality import DataQualityError
 from lakestrata.operators.steps import AggSpec, totals
-from registry.queries import LOG_SQL, _log_events, query, shown
+from lakestrata.plans.redrive import redrive
+from lakestrata.session import scratch_dir
+from lakestrata.sources.landing import landing_path
+from registry.queries import EVENT_GOLD_SQL, LOG_SQL, _log_events, _sales_job, event_sales, query, shown
 from registry.sales_view import SALES_SQL, sales, table
 
 
@@ -130,3 +137,25 @@ FROM (SELECT change, old_rows, new_rows, unnest(list_concat([NULL], string_split
 WHERE column_name IS DISTINCT FROM '' GROUP BY 1, 2""")
 def version_drift_summary(spark, sf_dir):
     return drift.drift_summary(drift.version_drift(*_versions(spark, sf_dir), ["order_id"]))
+
+
+@query(f"""
+WITH {EVENT_GOLD_SQL}
+SELECT product_id, order_date, total_quantity, CAST(total_aggregated_value_usd AS DOUBLE) AS total_aggregated_value_usd
+FROM event_gold""")
+def redrive_quarantine(spark, sf_dir):
+    """Every second quantity arrives negated, the check stops the day, and its quarantined rows come back corrected, twice."""
+    root = scratch_dir(spark, "redrive")
+    job, day = replace(_sales_job(root, root + "/landing/{yyyy}/{MM}/{dd}/"), drop_quarantined=True), date(2024, 1, 31)
+    rows = event_sales(spark, sf_dir)
+    negated = F.when(F.col("quantity") % 2 == 0, -F.col("quantity")).otherwise(F.col("quantity"))
+    rows.withColumn("quantity", negated).write.option("header", True).csv(landing_path(job.landing, day))
+    try:
+        job.run(spark, day, datetime(2024, 2, 1))
+    except DataQualityError:
+        pass
+    failed = spark.read.parquet(job.path("quarantine")).where(F.col("rule_id") == "DQ-SALES-001")
+    versions = ((F.lit(1), datetime(2024, 2, 1, 8)), (F.abs("quantity"), datetime(2024, 2, 1, 9)))
+    first, last = (failed.withColumn("quantity", value).withColumn("corrected_at", F.lit(at)) for value, at in versions)
+    redrive(job, spark, day, last.unionByName(first), ["order_id"], datetime(2024, 2, 2))
+    return shown(job.gold(spark).select("product_id", "order_date", "total_quantity", "total_aggregated_value_usd"))
