@@ -4,7 +4,8 @@ The index holds postings (term, document, position, the terms around it) of the
 terms it needs follows from the benchmark: every window of 13 item words is found through its two rarest terms,
 rarest by counts over all documents. A window can only occur where both lists, shifted by the places of
 the terms in the item, meet in one document; the terms stored around a posting then decide
-whether the whole phrase is there. `proximity` returns where the two terms stand close, but not in phrase.
+whether the whole phrase is there. With `slop`, the same lists also tell where the two terms stand about as far apart as in
+the window (`proximity_matches`), whether or not the phrase is there.
 
 The benchmark is read in blocks of at most `block_words` words on average, so what is broadcast has a bound that
 does not grow with either table. Postings are written and never shuffled by term; matches are grouped by document.
@@ -96,7 +97,7 @@ def query_blocks(benchmark: DataFrame, window: int, block_words: int, id_column:
     total = items.agg(F.sum(F.size("words"))).first()[0] or 0
     blocks = max(1, -(-total // block_words))
     for block in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block).distinct().collect()
+        rows = items.filter(F.pmod(F.xxhash64("id", "words"), F.lit(blocks)) == block).distinct().collect()
         rows.sort(key=lambda row: (str(row.id), row.words))
         words = [np.array(row.words, np.int64).view(np.uint64) for row in rows]
         every = np.concatenate(words) if words else np.zeros(0, np.uint64)
@@ -228,18 +229,24 @@ def item_names(spark: SparkSession, queries: Queries) -> DataFrame:
 
 
 def proximity_matches(index: DataFrame, queries: Queries, counts: np.ndarray, slop: int) -> DataFrame:
-    """doc_id, mark, item_id, position, off: the two rarest terms of a window stand up to `slop` words from their distance in it."""
-    spark = index.sparkSession
-    pairs = F.broadcast(spark.createDataFrame(sorted(queries.pairs(counts)), "item int, term int, other int, distance int"))
-    first = index.filter("term >= 0").select("term", *ROW, "position").join(pairs, "term")
+    """doc_id, mark, item_id, position, off: the two rarest terms of a window stand up to `slop` words from their distance in it.
+
+    Lists are joined by document and stretch of 2 * slop + 1 positions, so a term that is everywhere in a long document meets the
+    neighbours of each place only. A place is no neighbour of itself; windows of one word have no neighbours.
+    """
+    spark, width = index.sparkSession, 2 * slop + 1
+    pairs = F.broadcast(spark.createDataFrame(sorted(queries.pairs(counts)), "item int, term int, other int, distance int"))  # bounded by the block
+    target = F.col("position") + F.col("distance")
+    stretches = F.array_distinct(F.array(F.floor((target - slop) / width), F.floor((target + slop) / width)))
+    first = index.filter("term >= 0").select("term", *ROW, "position").join(pairs, "term").select("*", F.explode(stretches).alias("stretch"))
     second = index.filter("term >= 0").select(
-        F.col("term").alias("other"), F.col("doc_id").alias("d"), F.col("mark").alias("m"), F.col("position").alias("there")
-    )
+        F.col("term").alias("term2"), F.col("doc_id").alias("d"), F.col("mark").alias("m"), F.col("position").alias("there"),
+        F.floor(F.col("position") / width).alias("stretch2"),
+    )
     off = F.col("there") - F.col("position") - F.col("distance")
-    met = first.join(
-        second,
-        (first.other == second.other) & first.doc_id.eqNullSafe(second.d) & (first.mark == second.m) & (F.abs(off) <= slop),
-    )
+    same = (F.col("other") == F.col("term2")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))
+    near = (F.col("stretch") == F.col("stretch2")) & (F.abs(off) <= slop) & (F.col("there") != F.col("position"))
+    met = first.join(second, same & near)
     return met.select(*ROW, "item", "position", off.alias("off")).distinct().join(item_names(spark, queries), "item").drop("item")
 
 
@@ -267,12 +274,17 @@ def decontaminate(
     text_column: str = "text",
     item_column: str = "item_id",
     item_text: str = "text",
+    slop: int | None = None,
 ) -> DataFrame:
-    """doc_id, mark (a hash of the text), n_words, n_hit and items (sorted ids as strings) of every row of `docs`."""
+    """doc_id, mark (a hash of the text), n_words, n_hit and items (sorted ids as strings) of every row of `docs`.
+
+    With `slop` also n_near and near_items: in how many places (of an item and a word) the two rarest words of a window stand within
+    `slop` words of their distance in it, phrases included, and of which items.
+    """
     spark = docs.sparkSession
     text = whole_text(text_column)
     rows = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    words = spans = None
+    words = spans = near = None
     for queries in query_blocks(benchmark, window, block_words, item_column, item_text):
         counts = term_counts(rows, queries.known)
         indexed = np.zeros(len(queries.known) + 1, bool)  # one more, for -1
@@ -282,9 +294,12 @@ def decontaminate(
         words = words or index.filter("term = -1").select(*ROW, F.col("position").alias("n_words"))
         found = phrase_matches(index, queries, counts)
         spans = found if spans is None else spans.unionByName(found)
+        if slop is not None:
+            close = proximity_matches(index, queries, counts, slop).select(*ROW, "item_id", "position")
+            near = close if near is None else near.unionByName(close)
     hits = covered(spans)
     none = F.array().cast("array<string>")
-    return (
+    result = (
         words.join(
             hits.withColumnsRenamed({"doc_id": "d", "mark": "m"}),
             F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")),
@@ -292,6 +307,13 @@ def decontaminate(
         )
         .select(*ROW, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"))
     )
+    if near is None:
+        return result
+    close = near.distinct().groupBy(F.col("doc_id").alias("d"), F.col("mark").alias("m"))
+    close = close.agg(F.count(F.lit(1)).alias("n_near"), F.array_sort(F.collect_set("item_id")).alias("near_items"))
+    return result.join(close, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left").select(
+        *result.columns, F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.coalesce("near_items", none).alias("near_items")
+    )
 
 
 def is_contaminated() -> Column:

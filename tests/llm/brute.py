@@ -85,3 +85,31 @@ def hits(text, items, window=13):
                     covered.update(range(i, i + size))
                     found.add(str(item))
     return len(own), len(covered), sorted(found)
+
+
+def near_places(docs, items, slop, window=13):
+    """Per text, the places (item id, word) where the two rarest words of a window stand within `slop` of their distance in it."""
+    from collections import Counter
+
+    counts = Counter(word for text in docs for word in words(text))
+    pairs = set()
+    for name, text in items:
+        own = words(text)
+        size = min(len(own), window)
+        for start in range(len(own) - size + 1 if size > 1 else 0):
+            a, b = sorted(range(start, start + size), key=lambda k: (counts[own[k]], k))[:2]
+            pairs.add((str(name), own[a], own[b], b - a))
+    out = []
+    for text in docs:
+        at = {}
+        for k, word in enumerate(words(text)):
+            at.setdefault(word, []).append(k)
+        out.append(
+            {
+                (name, p)
+                for name, a, b, distance in pairs
+                for p in at.get(a, ())
+                if any(q != p and abs(q - p - distance) <= slop for q in at.get(b, ()))
+            }
+        )
+    return out

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from brute import hits, words
+from brute import hits, near_places, words
 
 from lakestrata.llm.decontaminate import (
     clean_documents, decontaminate, index_postings, is_contaminated, proximity_matches, query_blocks, term_counts,
@@ -36,6 +36,18 @@ def test_as_brute_force(spark, seed, block_words):
     assert found == sorted([(d, *hits(t, items)) for d, t in docs], key=repr)
 
 
+@pytest.mark.parametrize("seed,block_words,slop", [(3, 1 << 21, 2), (4, 40, 0), (5, 100, 5)])
+def test_proximity_as_brute_force(spark, seed, block_words, slop):
+    docs, items = sample(seed)
+    docs = [(d, t) for d, t in docs if len(t or "") < 20_000]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    found = decontaminate(df, spark.createDataFrame(items, "item_id long, text string"), block_words=block_words, slop=slop)
+    places = near_places([t for _, t in docs], items, slop)
+    expected = [(d, *hits(t, items), len(near), sorted({name for name, _ in near})) for (d, t), near in zip(docs, places)]
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"]), r.n_near, list(r.near_items)) for r in found.collect()), key=repr) == sorted(expected, key=repr)
+    assert any(len(near) for near in places)
+
+
 def test_clean_documents_stay_whole(spark):
     item = "one two three four five six seven eight nine ten eleven twelve thirteen"
     docs = [(1, item), (2, item + " filler" * 300), (3, "clean"), (4, None), (4, item)]
