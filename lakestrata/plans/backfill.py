@@ -39,7 +39,7 @@ from lakestrata.sources.lake import (
     slice_path,
     written_partitions,
 )
-from lakestrata.sources.landing import landing_day, landing_path, landing_paths
+from lakestrata.sources.landing import header_differs, landing_day, landing_path, landing_paths
 from lakestrata.sources.storage import in_order, partition_value
 
 LOAD_DATE = "load_date"
@@ -123,8 +123,8 @@ def ingest_days(job: DailyJob, spark: SparkSession, days: Sequence[date], as_of:
     loaded = {day: 0 for day in days if landing_path(job.landing, day) in there}
     try:
         counts = _ingest(job, spark, paths, as_of, mixed=False)
-    except Exception:  # the reader's own error comes in several classes
-        if job.landing_format != "csv":
+    except Exception as error:  # the reader's own error comes in several classes
+        if job.landing_format != "csv" or not header_differs(error):
             raise
         counts = _ingest(job, spark, paths, as_of, mixed=True)
     return loaded | {day: found["rows"] for day, found in counts.items()}

@@ -48,7 +48,7 @@ from lakestrata.sources.lake import (
     read_slices,
     slice_path,
 )
-from lakestrata.sources.landing import landing_path, lost_cells, read_files, read_mixed
+from lakestrata.sources.landing import header_differs, landing_path, lost_cells, read_files, read_mixed
 from lakestrata.sources.storage import Files, day_name, day_value, in_order, partition_value
 
 RAW_LINE = "_raw_line"
@@ -195,8 +195,8 @@ class DailyJob:
             if rows.isEmpty():
                 return 0
             counts = self._write_bronze(rows, day, as_of)
-        except Exception:  # the reader's own error comes in several classes
-            if self.landing_format != "csv":
+        except Exception as error:  # the reader's own error comes in several classes
+            if self.landing_format != "csv" or not header_differs(error):
                 raise
             rows = self.without_erased(self.landing_rows(spark, path, mixed=True))
             counts = self._write_bronze(rows, day, as_of)

@@ -80,6 +80,18 @@ def read_files(
     raise ValueError(f"unsupported input format: {file_format}")
 
 
+def header_differs(error: BaseException | None) -> bool:
+    """Whether a load failed because a CSV file's header is not that of the others, and for no other reason.
+
+    The reader's check comes wrapped in whatever job met it, so its own words are looked for along the chain of causes.
+    """
+    while error is not None:
+        if any("CSV header" in str(part) for part in (error, getattr(error, "_stackTrace", ""))):
+            return True
+        error = getattr(error, "_cause", None) or error.__cause__
+    return False
+
+
 def read_mixed(
     spark: SparkSession, paths: Sequence[str], schema: T.StructType, corrupt_column: str | None = None
 ) -> DataFrame:
