@@ -6,10 +6,10 @@ cells up. The model has at most 29 ** 3 cells whatever the corpus.
 Channel. Only stretches that look disguised are decoded: letters with digits or signs between them, letters spelt out with
 spaces or punctuation (single letters and signs may be mixed), letters repeated twice or more in either case. Each becomes a
 lattice - a sign is itself lost, or one of the letters it can stand for; a run of one letter, also over separators and signs that
-stand for it alone, is one or two of it - and the Viterbi path under the model and the costs of the channel is the restored word. Longer stretches of single letters are decoded once more with a way to
-end a word at each gap, so spelt-out sentences fall into words again. Stretches of any length are decoded, with and without
-the signs at their ends; only those of up to `MOST_CHARS` characters are remembered. What still has more than
-`MOST_CHARS` letters or signs when runs are folded (keys and the like) counts if a beginning of it is likelier than letters drawn evenly.
+stand for it alone, is one or two of it - and the Viterbi path under the model and the costs of the channel is the restored word. Stretches of single letters are decoded once more with a way to
+end a word at each gap, so spelt-out sentences fall into words again. Stretches are decoded alike at every length, with and without
+the signs at their ends. A stretch read as one word counts if a beginning of it is likelier than letters drawn evenly, which keys and the like
+are not. Only stretches of up to `REMEMBERED_CHARS` characters are kept for the next text.
 
 Scores. Units are whole words and their first 4, 5 and 6 bytes. From the labelled training rows a lexicon is
 learnt by covering: units are taken in order of the lower bound of their precision, and each must explain toxic
@@ -54,8 +54,8 @@ SEPARATORS = " .-_*~'/\\"
 SUBSTITUTE, DOUBLE, BREAK = 1.0, 0.7, 0.5
 #: What it costs to lose a sign: marks of punctuation come beside words more often than digits and currencies do.
 LOSE = {sign: 4.5 if sign in "!|+(<*¡" else 9.0 for sign in LEET}
-MOST_CHARS = 64
-SENTENCE_CHARS = 12
+#: Longer stretches are decoded each time they come, so that what a worker remembers is bounded in bytes.
+REMEMBERED_CHARS = 64
 
 LETTERS = 29  # a-z, beyond ASCII, digits, and the edge of a word
 
@@ -209,11 +209,11 @@ def remember_for(model: np.ndarray) -> None:
 
 
 def likely(word: str, model: np.ndarray) -> bool:
-    """Whether one of the beginnings of a word that are units is likelier than letters drawn evenly."""
+    """Whether one of the beginnings of a word that are units, or a word shorter than those, is likelier than letters drawn evenly."""
     score, a, b = 0.0, 0, 0
     for n, letter in enumerate(word[: max(PREFIXES)], 1):
         score, a, b = score + model[a, b, code(letter)], b, code(letter)
-        if n in PREFIXES and score > -n * math.log(LETTERS):
+        if (n in PREFIXES or n == len(word) < min(PREFIXES)) and score > -n * math.log(LETTERS):
             return True
     return False
 
@@ -224,12 +224,9 @@ def readings(stretch: str, model: np.ndarray) -> list[str]:
     ends = SIGNS + SEPARATORS
     words = set()
     for part in {stretch, stretch.lstrip(ends), stretch.rstrip(ends), stretch.strip(ends)}:
-        short = sum(chars[0] not in GAPS for chars, _, _ in runs(part)) <= MOST_CHARS
-        if re.search(LETTER, part) and (short or not spelt):
-            word = restore(part, model)
-            if short or likely(word, model):
-                words.add(word)
-    if spelt and len(stretch) >= SENTENCE_CHARS:
+        if re.search(LETTER, part) and likely(word := restore(part, model), model):
+            words.add(word)
+    if spelt:
         words.update(restore(stretch, model, True).split())
     return sorted(words - {"", stretch.lower()})
 
@@ -245,7 +242,7 @@ def restored_words(text: str, model: np.ndarray) -> list[str]:
             if len(_restored) > 200_000:
                 _restored.clear()
             words = readings(stretch, model)
-            if len(stretch) <= MOST_CHARS:
+            if len(stretch) <= REMEMBERED_CHARS:
                 _restored[stretch] = words
         found += words
     return found
@@ -269,7 +266,7 @@ def doubled(words: Words, model: np.ndarray) -> tuple[list[int], list[str]]:
             ways = readings(word, model) if TWICE.search(word.lower()) else []
             if len(_restored) > 200_000:
                 _restored.clear()
-            if len(word) <= MOST_CHARS:
+            if len(word) <= REMEMBERED_CHARS:
                 _restored[value] = ways
         restored.append(ways)
     owners, extra = [], []

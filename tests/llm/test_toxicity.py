@@ -222,3 +222,17 @@ def test_every_disguise_reaches_the_decoder():
         words = words_of(pa.array([glue + "x", *texts], pa.large_string()))
         assert 1000 < wanted.sum() < len(texts) - 1000
         assert [text for text, a, b in zip(texts, wanted, disguise_possible(words.data, words.begins)[1:]) if a and not b] == []
+
+
+def test_length_switches_nothing(spark):
+    """Spelt stretches are read as one word and as several, short and long ones alike; what is no word is not read at any length."""
+    docs, _ = corpus(1)
+    model = letter_model(spark.createDataFrame(docs, "doc_id long, text string"))
+    remember_for(model)
+    glued = " ".join("moronriverstonehouse" * 6)
+    assert any(word.startswith("moron") for word in restored_words(f"x, {glued}.", model))
+    assert "moron" in restored_words("x, m o r o n.", model) and "the" in restored_words("x, t h e.", model)
+    for times in (1, 4, 40):
+        assert restored_words("q7x9z2" * times, model) == []
+        spelt = " ".join("theriver" * times + "moron")
+        assert "moron" in restored_words(f"x, {spelt}.", model), times
