@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from datetime import date, timedelta
 from functools import reduce
-from urllib.parse import unquote
 
-import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +14,6 @@ from pyspark.sql import types as T
 
 from lakestrata.sources.storage import Files
 
-#: As a partition's size and as the cost of opening a file, it puts each file in a partition of its own, undivided.
-WHOLE_FILE = "1t"
-
 
 def days_between(first: date, last: date) -> list[date]:
     return [first + timedelta(days=n) for n in range((last - first).days + 1)]
@@ -97,26 +92,8 @@ def header_differs(error: BaseException | None) -> bool:
 
 
 def first_lines(spark: SparkSession, names: Sequence[str]) -> list[tuple[str, str]]:
-    """Each file with its first line that is not blank; files without one are left out.
-
-    Every file is one task, which stops at that line, so a file's size does not matter.
-    """
-    if not names:
-        return []
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, line in enumerate(batch.column("value").to_pylist()):
-                if any(char > " " for char in line):
-                    yield batch.slice(at, 1)
-                    return
-
-    own = spark.newSession()  # these settings are for this read alone
-    own.conf.set("spark.sql.files.maxPartitionBytes", WHOLE_FILE)
-    own.conf.set("spark.sql.files.openCostInBytes", WHOLE_FILE)
-    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
-    lines = own.read.text(list(names)).select("value", F.col("_metadata.file_path").alias("file"))
-    return sorted((unquote(file), line) for line, file in lines.mapInArrow(run, "value string, file string").collect())
+    """Each file with its first line that is not blank; files without one are left out."""
+    return [(name, line) for name, line in zip(names, Files(spark).first_lines(names)) if line is not None]
 
 
 def read_mixed(
@@ -124,7 +101,7 @@ def read_mixed(
 ) -> DataFrame:
     """CSV files whose headers differ in order or number of columns: one read for each header, united by name.
 
-    One job reads the header lines of all files; columns that a file lacks are NULL.
+    The header line of every file is read, many at a time and without a job; columns that a file lacks are NULL.
     """
     files = Files(spark)
     every = [name for path in paths for name in (files.glob(path.rstrip("/") + "/*") or [path])]

@@ -19,6 +19,9 @@ class Files:
     def __init__(self, spark: SparkSession):
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._codecs = spark.sparkContext._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory
+        self._reader = spark.sparkContext._jvm.java.io.BufferedReader
+        self._decoder = spark.sparkContext._jvm.java.io.InputStreamReader
 
     def _open(self, path: str):
         located = self._path(path)
@@ -57,6 +60,24 @@ class Files:
         found = {status.getPath().getName(): status.getLen() for status in fs.listStatus(located) if not status.isDirectory()}
         return {name: length for name, length in found.items() if name[0] not in "._"}
 
+    def first_line(self, path: str) -> str | None:
+        """The first line of a text file that is not blank, or None; no more than a buffer is read beyond it."""
+        fs, located = self._open(path)
+        stream = fs.open(located)
+        try:
+            codec = self._codecs(self._conf).getCodec(located)
+            lines = self._reader(self._decoder(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+            while (line := lines.readLine()) is not None:
+                if any(char > " " for char in line):
+                    return line
+            return None
+        finally:
+            stream.close()
+
+    def first_lines(self, paths: Iterable[str]) -> list[str | None]:
+        """`first_line` of many files; the calls overlap."""
+        return list(self._each(self.first_line, paths))
+
     def all_data_files(self, paths: Sequence[str]) -> list[dict[str, int]]:
         return self._each(self.data_files, paths)
 
