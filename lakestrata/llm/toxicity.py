@@ -280,7 +280,8 @@ def doubled(words: Words, model: np.ndarray) -> tuple[list[int], list[str]]:
 def disguise_possible(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """Which texts hold a sign before a letter, a letter three times, or a letter, once or repeated, that stands alone.
 
-    Every text in which `DISGUISED` finds letters is among them; what is beyond ASCII counts as a letter and as an end of one.
+    In texts of ASCII alone a letter that stands alone counts only beside another such letter or digit. Every text in which
+    `DISGUISED` finds letters is among them; what is beyond ASCII counts as a letter and as an end of one.
     """
     if not len(data):
         return np.zeros(len(begins) - 1, bool)
@@ -301,8 +302,15 @@ def disguise_possible(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
     before, after = np.concatenate([[False], word[:-1]]), np.concatenate([word[1:], [False]])
     before[begins[:-1][begins[:-1] < len(data)]] = False
     after[begins[1:][begins[1:] > 0] - 1] = False
-    hit |= letter & ~before & (~after | high)
-    hit[1:] |= letter[1:] & (data[1:] == data[:-1]) & ~before[:-1] & ~after[1:]
+    lone = letter & ~before & (~after | high)
+    lone[1:] |= letter[1:] & (data[1:] == data[:-1]) & ~before[:-1] & ~after[1:]
+    beyond = np.searchsorted(np.flatnonzero(high), begins)
+    hit |= lone & np.repeat(beyond[1:] > beyond[:-1], np.diff(begins))
+    starts, ends = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after)
+    alone = (data[starts] == data[np.minimum(starts + 1, ends)]) & (data[starts] == data[ends])  # or nearly so
+    pairs = alone[:-1] & alone[1:] & (letter[starts[:-1]] | letter[starts[1:]])
+    owner = np.searchsorted(begins, starts, "right")
+    hit[starts[:-1][pairs & (owner[:-1] == owner[1:])]] = True
     counts = np.concatenate([[0], np.cumsum(hit)])
     return counts[begins[1:]] > counts[begins[:-1]]
 
