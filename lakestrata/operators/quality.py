@@ -19,6 +19,8 @@ from lakestrata.sources.storage import Files
 SEVERITY = {"PASS": 0, "SKIP": 0, "WARNING": 1, "ERROR": 2, "EXECUTION_ERROR": 2}
 # Actions that are carried out here; others are only reported.
 ACTIONS = ("log", "quarantine", "abort_pipeline")
+# A rule that fails one row of so many or more has its rows quarantined where they are found.
+PLENTY = 8
 
 RESULT_COLUMNS = [
     "pipeline_id",
@@ -423,13 +425,29 @@ def quarantine(
     duplicates: DuplicatedKeys | None = None,
 ) -> int:
     """Copy the failing rows of the rules whose outcome asks for it; a rerun replaces them."""
-    asked = {row["rule_id"] for row in quarantine_due(results, rules)}
-    chosen = [rule for rule in rules if rule.rule_id in asked]
+    due = quarantine_due(results, rules)
     parts = {"target_layer": layer, "processing_date": day}
-    if not chosen:
+    if not due:
         Files(df.sparkSession).delete(slice_path(path, parts))
         return 0
-    return overwrite_slice(failing_rows(df, chosen, duplicates=duplicates), path, parts, ["rule_id"])
+    return overwrite_slice(rows_due(df, rules, due, duplicates), path, parts, ["rule_id"], clustered=True)
+
+
+def rows_due(df: DataFrame, rules: Sequence[Rule], due: Sequence[Row], duplicates: DuplicatedKeys | None = None) -> DataFrame:
+    """The failing rows of some results, laid out to be written by `rule_id`.
+
+    Rows of a rule that fails many are left in the tasks that find them, behind a join too: each writes a file of fair size.
+    Those of the other rules are few, and are shuffled into few files.
+    """
+    asked = {row["rule_id"] for row in due}
+    plenty = {row["rule_id"] for row in due if row["failing_records"] * PLENTY >= row["total_records"]}
+    parts = []
+    if plenty:
+        parts.append(failing_rows(df, [rule for rule in rules if rule.rule_id in plenty], duplicates=duplicates))
+    if asked - plenty:
+        few = failing_rows(df, [rule for rule in rules if rule.rule_id in asked - plenty], duplicates=duplicates)
+        parts.append(few.hint("rebalance", "rule_id"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def save_results(results: DataFrame, path: str, layer: str, day: str) -> int:

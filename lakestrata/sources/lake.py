@@ -31,16 +31,19 @@ def overwrite_slice(
     parts: Mapping[str, str],
     partition_by: Sequence[str] = (),
     bulk: Column | None = None,
+    clustered: bool = False,
 ) -> int:
     """Replace exactly one partition (a day, a layer and date) and nothing else.
 
     Inner partitions that the new rows no longer have go away too, so a corrected rerun leaves
     no stale rows behind. `bulk` marks the rows of the one inner partition that is known to hold
     most of them: they are written where they are read, and only the others are shuffled. That is of
-    use only if the rows do lie where they were read, so not behind a shuffled join.
+    use only if the rows do lie where they were read, so not behind a shuffled join. Rows that already
+    lie as they are to be written (`clustered`) are not shuffled at all.
     """
+    rows = df.drop(*parts)
     return _write(
-        _clustered(df.drop(*parts), partition_by, bulk),
+        rows if clustered else _clustered(rows, partition_by, bulk),
         slice_path(path, parts),
         lambda w: _partitioned(w.mode("overwrite").option("partitionOverwriteMode", "static"), partition_by),
     )

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from lakestrata.operators import contract as contracts
 from lakestrata.operators import governance, quality, runlog
-from lakestrata.operators.duplicates import rows_with_duplicated_key, rows_without_duplicated_key
+from lakestrata.operators.duplicates import DuplicatedKeys, rows_with_duplicated_key, rows_without_duplicated_key
 from lakestrata.operators.quality import Rule
 from lakestrata.operators.steps import (
     AggSpec,
@@ -662,9 +662,10 @@ def dq_quarantine(spark, sf_dir):
     """Failing rows of the rules that ask for quarantine; the second run replaces the first."""
     path = scratch_dir(spark, "quarantine")
     rows = stored_sales(spark, sf_dir)
-    results = quality.run_rules(rows, STRICT_RULES, domain.PIPELINE_ID, "silver", RUN_DAY)
+    keys = DuplicatedKeys(rows)
+    results = quality.run_rules(rows, STRICT_RULES, domain.PIPELINE_ID, "silver", RUN_DAY, keys)
     for _ in range(2):
-        quality.quarantine(rows, STRICT_RULES, results, path, "silver", RUN_DAY)
+        quality.quarantine(rows, STRICT_RULES, results, path, "silver", RUN_DAY, keys)
     stored = spark.read.parquet(path)
     return shown(
         with_date("order_timestamp")(stored).drop("order_timestamp", "target_layer", "processing_date")

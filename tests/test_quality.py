@@ -5,7 +5,8 @@ from support import plan, rows
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from lakestrata.operators import quality
+import __spark_entry__ as entry
+from lakestrata.operators import duplicates, quality
 from lakestrata.operators.quality import Rule
 from lakestrata.plans.sales import RULES
 from lakestrata.sources.lake import overwrite_partitions
@@ -213,6 +214,32 @@ def test_quarantine_rerun_replaces_and_clears(df, spark, tmp_path):
     assert not (tmp_path / "quarantine/target_layer=silver/processing_date=2025-05-05").exists()
 
 
+def test_quarantine_shuffles_the_rows_of_rules_that_fail_few(spark, tmp_path, settings):
+    settings(spark__sql__autoBroadcastJoinThreshold="-1")
+    columns = ["CAST(id DIV 2 AS STRING) AS k", "IF(id = 7, -1, CAST(id AS INT)) AS q"]
+    spark.range(0, 1000, 1, 4).selectExpr(*columns).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    rules = [Rule("q", "validity", condition="q >= 0", on_error=("quarantine",)), Rule("k", "uniqueness", column="k", on_error=("quarantine",))]
+    due = {row["rule_id"]: row for row in quality.run_rules(df, rules, "p1", "silver", "2025-05-05")}
+    assert {name: row["failing_records"] for name, row in due.items()} == {"q": 1, "k": 1000}
+    # behind the join of the duplicated keys their rows are not shuffled again
+    assert "REBALANCE" not in plan(quality.rows_due(df, rules, [due["k"]])).upper()
+    assert plan(quality.rows_due(df, rules, [due["q"]])).upper().count("REBALANCE_PARTITIONS") > 0
+    both = quality.rows_due(df, rules, list(due.values()))
+    assert rows(both, "rule_id", "k", "q") == rows(quality.failing_rows(df, rules), "rule_id", "k", "q")
+    path = str(tmp_path / "quarantine")
+    assert quality.quarantine(df, rules, list(due.values()), path, "silver", "2025-05-05") == 1001
+    assert rows(spark.read.parquet(path), "rule_id", "k", "q") == rows(both, "rule_id", "k", "q")
+
+
+def test_quarantine_query_counts_its_keys_once(spark, monkeypatch):
+    calls = []
+    count = duplicates.key_counts
+    monkeypatch.setattr(duplicates, "key_counts", lambda *of: calls.append(of) or count(*of))
+    assert entry.queries()["dq_quarantine"](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(calls) == 1
+
+
 def test_gate_follows_the_latest_results(df, spark, tmp_path):
     path = str(tmp_path / "dq")
     assert quality.gate(spark, path, "silver", "2025-05-05") == "UNKNOWN"
