@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import date, timedelta
 from typing import Any
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakestrata.functions.columns import hash_masked, named
-from lakestrata.sources.lake import drop_slices, overwrite_partitions, partition_folders, partition_names, slice_path
+from lakestrata.session import clear_scratch, scratch_dir
+from lakestrata.sources.lake import drop_slices, overwrite_partitions, overwrite_table, partition_folders, partition_names, slice_path
 from lakestrata.sources.storage import NULL_PARTITION, Files
 
 # The layers of the lake.
@@ -215,6 +217,38 @@ def _settle_archive(spark: SparkSession, path: str, archive: str, run: str) -> N
     drop_slices(spark, [copied, copying])
 
 
+# Lists of up to so many subjects are broadcast, and the rows beside them are not shuffled.
+MOST_BROADCAST = 100_000
+
+
+@dataclass(frozen=True)
+class Listed:
+    """Data subjects to erase: their distinct keys as a stored table, and whether these are few."""
+
+    keys: DataFrame
+    few: bool
+
+
+def broadcast_few(listed: DataFrame, number: int) -> DataFrame:
+    """A list of so many keys, to be broadcast if these are few; otherwise Spark decides."""
+    return F.broadcast(listed) if number <= MOST_BROADCAST else listed
+
+
+@contextmanager
+def listed_subjects(subjects: DataFrame | Listed, key: str) -> Iterator[Listed]:
+    """The keys of some subjects, stored while the block runs, so that no pass over a table computes the list again."""
+    if isinstance(subjects, Listed):
+        yield subjects
+        return
+    spark = subjects.sparkSession
+    keys, path = subjects.select(named(key)).na.drop().distinct(), scratch_dir(spark, "subjects")
+    try:
+        number = overwrite_table(keys, path)
+        yield Listed(broadcast_few(spark.read.schema(keys.schema).parquet(path), number), number <= MOST_BROADCAST)
+    finally:
+        clear_scratch([path])
+
+
 def erase(df: DataFrame, subjects: DataFrame, key: str) -> DataFrame:
     """Drop the rows of the data subjects listed in `subjects`; rows without a key stay.
 
@@ -233,37 +267,49 @@ def read_as_text(spark: SparkSession, path: str, folders: Sequence[str] | None =
     return spark.read.schema(schema).option("basePath", path).parquet(*(folders or [path]))
 
 
+def partitions_holding(
+    spark: SparkSession, path: str, subjects: Listed, key: str, folders: Sequence[str] | None = None
+) -> dict[tuple[str, ...], int]:
+    """The partitions of a table, or of some of its folders, with rows of some subjects, and how many; only the key is read."""
+    try:
+        rows = read_as_text(spark, path, folders)
+    except AnalysisException as error:
+        if error.getCondition() == "UNABLE_TO_INFER_SCHEMA":  # folders whose rows have all gone
+            return {}
+        raise
+    return _rows_per_partition(rows.join(subjects.keys, key, "left_semi"), partition_names(spark, path))
+
+
 def erase_from_table(
-    spark: SparkSession, path: str, subjects: DataFrame, key: str, folders: Sequence[str] | None = None
+    spark: SparkSession,
+    path: str,
+    subjects: DataFrame | Listed,
+    key: str,
+    folders: Sequence[str] | None = None,
+    hits: Mapping[tuple[str, ...], int] | None = None,
 ) -> list[dict[str, str]]:
     """Erase data subjects from a partitioned table, or from some of its folders; returns the changed partitions.
 
     A first pass over the key alone finds the partitions with rows to erase, by all partition columns the
-    folders have. Only those are rewritten, in the same layout, and those without any other row are
-    dropped, which an overwrite would leave as is.
+    folders have (`hits`, if it was made before). Only those are rewritten, in the same layout, and those without any other row are
+    dropped, which an overwrite would leave as is. With few subjects rows are written where they are read, without a shuffle.
     """
     names = partition_names(spark, path)
     if not names:
         raise ValueError(f"{path} is not a partitioned table")
-    listed = subjects.select(named(key)).na.drop()
-    try:
-        rows = read_as_text(spark, path, folders)
-    except AnalysisException as error:
-        if error.getCondition() == "UNABLE_TO_INFER_SCHEMA":  # folders whose rows have all gone
+    with listed_subjects(subjects, key) as listed:
+        hits = partitions_holding(spark, path, listed, key, folders) if hits is None else hits
+        if not hits:
             return []
-        raise
-    hits = _rows_per_partition(rows.join(listed, key, "left_semi"), names)
-    if not hits:
-        return []
-    there = partition_folders(spark, path, names)
-    touched = read_as_text(spark, path, [there[values] for values in hits])
-    rows = _rows_per_partition(touched, names)  # counted from the file footers
-    emptied = [values for values in hits if hits[values] == rows[values]]
-    if len(emptied) < len(hits):
-        # rebalanced by partition: behind a shuffled join the rows lie by subject
-        overwrite_partitions(erase(touched, subjects, key), path, names)
-    drop_slices(spark, [there[values] for values in emptied])
-    return [dict(zip(names, values)) for values in sorted(hits)]
+        there = partition_folders(spark, path, names)
+        touched = read_as_text(spark, path, [there[values] for values in hits])
+        rows = _rows_per_partition(touched, names)  # counted from the file footers
+        emptied = [values for values in hits if hits[values] == rows[values]]
+        if len(emptied) < len(hits):
+            # rebalanced by partition behind a shuffled join, where the rows lie by subject
+            overwrite_partitions(erase(touched, listed.keys, key), path, names, clustered=listed.few)
+        drop_slices(spark, [there[values] for values in emptied])
+        return [dict(zip(names, values)) for values in sorted(hits)]
 
 
 def _rows_per_partition(df: DataFrame, names: Sequence[str]) -> dict[tuple[str, ...], int]:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakestrata.functions.columns import named
-from lakestrata.operators.governance import erase_from_table, read_as_text
+from lakestrata.operators.governance import Listed, erase_from_table, listed_subjects, read_as_text
 from lakestrata.sources.lake import overwrite_partitions, partition_folders, partition_names, slice_path
 from lakestrata.sources.storage import NULL_PARTITION, Files, partition_value
 
@@ -80,6 +80,7 @@ def index_subjects(
     """Make the filters of the partitions that have none or an old one, or of all in some slices just written; returns how many.
 
     Filters of dropped partitions stay, but are not used. Only the key column of those partitions is read. Keys are made distinct per partition first, so a hot subject is one row of each task.
+    They meet the sizes of their filters, a row per partition, where they lie, so that no partition's keys pass through one task.
     """
     names = partition_names(spark, path)
     if not names:
@@ -95,18 +96,20 @@ def index_subjects(
     # a partition without any key has a filter too: one empty word
     per_word = F.greatest(F.coalesce("_keys", F.lit(1)) / F.lit(KEYS_PER_WORD), F.lit(1))
     words = F.pow(F.lit(2), F.ceil(F.log2(per_word))).cast("long").alias(WORDS)
-    known = _as_rows(spark, names, due).join(sizes, names, "left").select(*names, STAMP, words)
+    known = _as_rows(spark, names, due).join(sizes, names, "left").select(*names, STAMP, words, F.col("_keys").isNull().alias("_empty"))
+    bare = known.where("_empty").select(*names, STAMP, WORDS, F.lit(0).cast("long").alias(WORD), F.lit(0).cast("long").alias(HELD))
     filters = (
-        known.join(keys, names, "left")
-        .withColumns({WORD: F.coalesce(_word(F.col("_key"), F.col(WORDS)), F.lit(0)), HELD: F.when(F.col("_key").isNotNull(), _bits(F.col("_key"))).otherwise(0)})
+        keys.join(F.broadcast(known), names)
+        .select(*names, STAMP, WORDS, _word(F.col("_key"), F.col(WORDS)).alias(WORD), _bits(F.col("_key")).alias(HELD))
         .groupBy(*names, STAMP, WORDS, WORD)
         .agg(F.bit_or(HELD).alias(HELD))
+        .unionByName(bare)
     )
     overwrite_partitions(filters, index_path, names)
     return len(due)
 
 
-def may_hold(spark: SparkSession, path: str, index_path: str, subjects: DataFrame, key: str) -> dict[tuple[str, ...], str]:
+def may_hold(spark: SparkSession, path: str, index_path: str, subjects: DataFrame | Listed, key: str) -> dict[tuple[str, ...], str]:
     """Folders of the partitions that may hold some of the subjects; names of partitions reach the driver."""
     names = partition_names(spark, path)
     folders = _folders(spark, path)
@@ -116,7 +119,7 @@ def may_hold(spark: SparkSession, path: str, index_path: str, subjects: DataFram
     if fresh:
         index = read_as_text(spark, index_path)
         sizes = [row[0] for row in index.select(WORDS).distinct().collect()]  # powers of two, so at most 63
-        listed = subjects.select(named(key).alias("_key")).na.drop().distinct()
+        listed = (subjects.keys if isinstance(subjects, Listed) else subjects).select(named(key).alias("_key")).na.drop().distinct()
         listed = listed.withColumn(WORDS, F.explode(F.array(*(F.lit(size).cast("long") for size in sizes))))
         asked = listed.select(WORDS, _word(F.col("_key"), F.col(WORDS)).alias(WORD), _bits(F.col("_key")).alias("_bits")).distinct()
         met = index.join(asked, [WORDS, WORD]).where(F.col(HELD).bitwiseAND(F.col("_bits")) == F.col("_bits"))
@@ -129,8 +132,9 @@ def erase_indexed(spark: SparkSession, path: str, index_path: str, subjects: Dat
     names = partition_names(spark, path)
     if not names:
         raise ValueError(f"{path} is not a partitioned table")
-    folders = may_hold(spark, path, index_path, subjects, key)
-    changed = erase_from_table(spark, path, subjects, key, list(folders.values())) if folders else []
+    with listed_subjects(subjects, key) as listed:
+        folders = may_hold(spark, path, index_path, listed, key)
+        changed = erase_from_table(spark, path, listed, key, list(folders.values())) if folders else []
     if changed:
         index_subjects(spark, path, index_path, key)
     return changed

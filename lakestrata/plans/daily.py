@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from lakestrata.functions.columns import named
 from lakestrata.operators.contract import Contract, project
 from lakestrata.operators.duplicates import DuplicatedKeys
+from lakestrata.operators.governance import broadcast_few
 from lakestrata.operators.quality import (
     RESULT_SCHEMA,
     DataQualityError,
@@ -180,6 +181,7 @@ class DailyJob:
             key = partition_value(folder, "key")
             if key in rows.columns:
                 listed = spark.read.parquet(folder)
+                listed = broadcast_few(listed, listed.count())  # from the file footers
                 rows = rows.join(listed, F.sha2(named(key).cast("string"), 256) == listed["digest"], "left_anti")
         return rows
 

@@ -7,8 +7,15 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakestrata.functions.columns import named
-from lakestrata.operators.governance import Retention, archive_expired, drop_expired, erase_from_table, read_as_text
+from lakestrata.operators.governance import (
+    Listed,
+    Retention,
+    archive_expired,
+    drop_expired,
+    erase_from_table,
+    listed_subjects,
+    partitions_holding,
+)
 from lakestrata.operators.subjects import may_hold
 from lakestrata.plans.daily import DailyJob
 from lakestrata.sources.lake import partition_names
@@ -47,21 +54,22 @@ def erase_from_lake(job: DailyJob, spark: SparkSession, subjects: DataFrame, key
     of erased subjects. Raw lines of files that did not parse are dropped whole, as nothing tells whose they are. If the
     job indexes this key, only partitions that may hold a subject are read.
     """
-    job.note_erased(spark, subjects, key)
     changed = {}
-    for table in PERSONAL_TABLES:
-        path = job.path(table)
-        if not partition_names(spark, path):
-            continue
-        folders = list(may_hold(spark, path, job.index_path(table), subjects, key).values()) if key == job.subject_key else None
-        if folders == []:
-            changed[table] = []
-        elif table == "silver":
-            changed[table] = _erase_from_silver(job, spark, subjects, key, folders)
-        else:
-            changed[table] = erase_from_table(spark, path, subjects, key, folders)
-        if changed[table]:
-            job.index_subjects(spark, table, changed[table])
+    with listed_subjects(subjects, key) as listed:
+        job.note_erased(spark, listed.keys, key)
+        for table in PERSONAL_TABLES:
+            path = job.path(table)
+            if not partition_names(spark, path):
+                continue
+            folders = list(may_hold(spark, path, job.index_path(table), listed, key).values()) if key == job.subject_key else None
+            if folders == []:
+                changed[table] = []
+            elif table == "silver":
+                changed[table] = _erase_from_silver(job, spark, listed, key, folders)
+            else:
+                changed[table] = erase_from_table(spark, path, listed, key, folders)
+            if changed[table]:
+                job.index_subjects(spark, table, changed[table])
     archived = {date.fromisoformat(part["order_date"]) if part["order_date"][0].isdigit() else None for part in changed.get("silver_archive", ())}
     if archived:
         job.save_states(spark, sorted({date.fromisoformat(part["load_date"]) for part in changed["silver_archive"]}))
@@ -71,14 +79,15 @@ def erase_from_lake(job: DailyJob, spark: SparkSession, subjects: DataFrame, key
 
 
 def _erase_from_silver(
-    job: DailyJob, spark: SparkSession, subjects: DataFrame, key: str, folders: Sequence[str] | None = None
+    job: DailyJob, spark: SparkSession, subjects: Listed, key: str, folders: Sequence[str] | None = None
 ) -> list[dict[str, str]]:
     path = job.path("silver")
-    hit = read_as_text(spark, path, folders).join(subjects.select(named(key)).na.drop(), key, "left_semi")
-    loads = sorted(date.fromisoformat(row[0]) for row in hit.select("load_date").distinct().collect())
+    hits = partitions_holding(spark, path, subjects, key, folders)
+    at = partition_names(spark, path).index("load_date")
+    loads = sorted({date.fromisoformat(values[at]) for values in hits})
     # noted first: should the run die before gold is refreshed, the next one knows the dates
     touched = job.note_replaced(spark, loads) if loads else set()
-    changed = erase_from_table(spark, path, subjects, key, folders)
+    changed = erase_from_table(spark, path, subjects, key, folders, hits)
     job.save_states(spark, loads)
     job.refresh_gold(spark, in_order(touched))
     job.settle(spark, loads)

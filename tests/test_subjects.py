@@ -2,11 +2,14 @@ from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
-from support import rows
+from support import plan, rows
 
+from lakestrata.operators import governance
 from lakestrata.operators import subjects as S
 from lakestrata.operators.governance import erase_from_table
+from lakestrata.session import shared_dir
 from lakestrata.sources.lake import overwrite_partitions
+from lakestrata.sources.storage import Files
 
 
 @pytest.fixture
@@ -75,3 +78,45 @@ def test_an_index_that_is_not_there(spark, places):
     assert S.erase_indexed(spark, path, index, subjects(spark, "u50"), "email") == [{"part": "10"}]
     with pytest.raises(ValueError):
         S.erase_indexed(spark, f"{path}/part=10", index, subjects(spark, "u50"), "email")
+
+
+def written(monkeypatch, module):
+    """What a module hands to `overwrite_partitions`: the plan, and whether the rows lie as they are to be written."""
+    calls, write = [], module.overwrite_partitions
+
+    def note(df, path, names, clustered=False):
+        calls.append((plan(df), clustered))
+        return write(df, path, names, clustered)
+
+    monkeypatch.setattr(module, "overwrite_partitions", note)
+    return calls
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_the_list_is_computed_once_and_few_subjects_shuffle_no_rows(spark, places, settings, monkeypatch, few):
+    path, index = places
+    settings(spark__sql__autoBroadcastJoinThreshold="-1")
+    if not few:
+        monkeypatch.setattr(governance, "MOST_BROADCAST", 1)
+    S.index_subjects(spark, path, index, "email")
+    before = rows(spark.read.parquet(path).where("coalesce(email, '') NOT IN ('u5', 'u47')"), "id")
+    seen, writes = spark.sparkContext.accumulator(0), written(monkeypatch, governance)
+    wanted = spark.sparkContext.parallelize(["u5", "u47"], 1).map(lambda name: seen.add(1) or (name,)).toDF("email string")
+    assert len(S.erase_indexed(spark, path, index, wanted, "email")) == 2
+    assert seen.value == 2
+    assert [clustered for _, clustered in writes] == [few]
+    assert ("BroadcastHashJoin" in writes[0][0]) == few and ("SortMergeJoin" in writes[0][0]) != few
+    assert rows(spark.read.parquet(path), "id") == before
+    assert not [item for item in Files(spark).folders(shared_dir(spark) + "/lakestrata") if "/subjects-" in item]
+
+
+def test_keys_of_a_partition_are_not_gathered_to_size_its_filter(spark, places, settings, monkeypatch):
+    path, index = places
+    settings(spark__sql__autoBroadcastJoinThreshold="-1")
+    writes = written(monkeypatch, S)
+    spark.createDataFrame([(None, 1)], "email string, id long").write.parquet(f"{path}/part=bare")
+    assert S.index_subjects(spark, path, index, "email") == 43
+    assert "BroadcastHashJoin" in writes[0][0]
+    found = spark.read.parquet(index).groupBy("part").agg(F.max(S.HELD).alias("held"), F.max(S.WORDS).alias("words"))
+    assert [tuple(row) for row in found.where("part = 'bare'").collect()] == [("bare", 0, 1)] and found.count() == 43
+    assert S.index_subjects(spark, path, index, "email") == 0
